@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, token_output
+from . import chat, decontaminate, simhash, token_output
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,11 +58,35 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_ids(token_output.write_ids(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM v WHERE len(w) >= 5)),
+docs AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+size AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
+SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(n AS INTEGER) AS n_item, count(*) / n AS containment
+FROM items JOIN docs USING (s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
-    return {f.__name__: f for f in (op4_chat_formatting, op5_token_output)}
+    return {f.__name__: f for f in (op2_decontamination, op4_chat_formatting, op5_token_output, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses."""
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL}
