@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, simhash, token_output
+from . import chat, decontaminate, simhash, substring_dedup, token_output
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,9 +82,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document after repeated windows of 20 words are removed."""
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
-    return {f.__name__: f for f in (op2_decontamination, op4_chat_formatting, op5_token_output, op6_simhash)}
+    return {f.__name__: f for f in (op2_decontamination, op4_chat_formatting, op5_token_output, op6_simhash, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

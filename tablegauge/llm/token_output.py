@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -143,8 +144,11 @@ class WordEncoder:
         model, letters = self.tokenizer.model, self._letters()
 
         def ids(pre_token: str) -> bytes:
-            got = model.tokenize(pre_token.encode().decode("latin-1").translate(letters))
-            return np.array([t.id for t in got], np.uint32).tobytes()
+            if pre_token.isascii():  # printable letters stand for themselves
+                mapped = pre_token.replace(" ", "\u0120") if pre_token.isprintable() else pre_token.translate(letters)
+            else:
+                mapped = pre_token.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
 
         self.pre = _Memory(ids, CACHE_WORDS)
         self.inner = _Memory(lambda word: self._word(" " + word), CACHE_WORDS)
@@ -160,6 +164,10 @@ class WordEncoder:
         if not body or body[0].isspace() or body[-1].isspace():
             return None
         pre = self.pre
+        if body.isalpha():  # one pre-token, or one and a mark
+            return pre[word]
+        if body[:-1].isalpha() and body[-1] in ".,":
+            return pre[word[:-1]] + pre[body[-1]]
         return b"".join([pre[p] for p in self.find(word)])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
