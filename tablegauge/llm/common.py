@@ -126,3 +126,18 @@ def chunks(rows: Iterable[tuple], limit: int = 1 << 20) -> Iterator[list[tuple]]
 def as_bytes(value: bytes | None) -> bytes:
     """A binary cell; null is empty."""
     return b"" if value is None else bytes(value)
+
+
+class Memory(dict):
+    """A dictionary of bounded size that forgets what was not asked for of late."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self[key] = self.old[key] if key in self.old else self.make(key)
+        return value

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, simhash, substring_dedup, token_output
+from . import chat, decontaminate, piece_fst, simhash, substring_dedup, token_counts, token_output
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_ids(token_output.write_ids(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into pieces and decoded again."""
+    return piece_fst.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that contains a benchmark item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,6 +87,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document after repeated windows of 20 words are removed."""
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
@@ -89,7 +99,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One query per operator."""
-    return {f.__name__: f for f in (op2_decontamination, op4_chat_formatting, op5_token_output, op6_simhash, op9_substring_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sentencepiece,
+            op2_decontamination,
+            op4_chat_formatting,
+            op5_token_output,
+            op6_simhash,
+            op8_token_counts,
+            op9_substring_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

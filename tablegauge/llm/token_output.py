@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shared_dir, written
+from .common import Memory, as_bytes, written
 
 MAGIC, HEAD = b"TGP1", struct.Struct("<4sIIQQ")
 BLOCK = 4096
@@ -109,21 +109,6 @@ class PackedFile:
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class _Memory(dict):
-    """A dictionary of bounded size that forgets what was not asked for of late."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        value = self[key] = self.old[key] if key in self.old else self.make(key)
-        return value
-
-
 class WordEncoder:
     """The tokenizer's ids of a text, remembering those of each space-delimited word.
 
@@ -150,8 +135,8 @@ class WordEncoder:
                 mapped = pre_token.encode().decode("latin-1").translate(letters)
             return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
 
-        self.pre = _Memory(ids, CACHE_WORDS)
-        self.inner = _Memory(lambda word: self._word(" " + word), CACHE_WORDS)
+        self.pre = Memory(ids, CACHE_WORDS)
+        self.inner = Memory(lambda word: self._word(" " + word), CACHE_WORDS)
 
     def _letters(self) -> dict[int, str]:
         """The character that stands for each byte: printable ones for themselves, others from 256 on."""
