@@ -10,26 +10,29 @@ In each shard an FM-index over its segments is built, and every segment is strea
 through it by backward search, which gives each window's interval of occurrences and the
 earliest of them. A word is removed if a window covers it whose text also starts earlier.
 
-Minimizers with very many occurrences (over ``hot_rows``) are taken apart: their windows
-are dealt out singly by their whole content and a salt, each salted shard keeps the first of
-its copies, and only those few meet in a second round.
+Minimizers with more occurrences than one shard holds (``hot_rows``) are taken apart: their
+windows are dealt out singly by their whole content and a salt, each salted shard keeps the
+first of its copies, and only those few meet in a second round.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, chunks, fan_out, grams, written
+from .common import Words, as_bytes, chunks, fan_out, grams, mix, written
 from .fm_index import FMIndex
 
-WINDOW, GRAM, HOT_ROWS = 20, 5, 20_000
-#: Words of one shard, at most (a hot minimizer's rows are fewer than that by HOT_ROWS).
+#: HOT_ROWS segments of 35 words and a separator fill the largest shard an index takes (2**21).
+WINDOW, GRAM, HOT_ROWS = 20, 5, 50_000
+#: Words of one shard that joins several minimizers.
 SHARD_WORDS = 1_200_000
 
 
@@ -77,30 +80,46 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInPandas(find, "key long, doc_id long, start int, n int")
 
 
-def _segments(docs: DataFrame, runs: DataFrame, window: int, single: bool) -> DataFrame:
-    """``key, doc_id, start, n, words``: the words under each run.
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, packed``: texts compressed before they are shuffled."""
 
-    ``single``: a row for each window, keyed by its whole content.
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [None if t is None else squeeze(bytes(t)) for t in batch["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(pack, "doc_id long, packed binary")
+
+
+def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> DataFrame:
+    """``key, doc_id, start, n, hot, words``: the words under each run.
+
+    A hot run gives a row for each window, keyed by its whole content and a salt.
     """
-    wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
+    wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("runs"))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, len(batch), 200):
                 out = []
-                for doc, text, found in zip(*(batch[c].iloc[at : at + 200] for c in ("doc_id", "text", "runs")), strict=True):
-                    words = as_bytes(text).split()
+                for doc, packed, found in zip(*(batch[c].iloc[at : at + 200] for c in ("doc_id", "packed", "runs")), strict=True):
+                    words = unpack(bytes(packed)).split()
+                    salt = np.uint64(doc % salts)
                     for r in found:
                         s, n = int(r["start"]), int(r["n"])
-                        if single:
-                            part = words[s : s + n + window - 1]
-                            keys = grams(Words([b" ".join(part)]).hash, window).view(np.int64)
-                            out += [(int(k), doc, s + i, 1, b" ".join(part[i : i + window])) for i, k in enumerate(keys[:n])]
-                        elif s + n + window - 1 <= len(words):  # else the run is of another text of the same id
-                            out.append((int(r["key"]), doc, s, n, b" ".join(words[s : s + n + window - 1])))
-                yield pd.DataFrame(out, columns=["key", "doc_id", "start", "n", "words"])
+                        if s + n + window - 1 > len(words):
+                            continue  # the run is of another text of the same id
+                        part = words[s : s + n + window - 1]
+                        if not r["hot"]:
+                            out.append((int(r["key"]), doc, s, n, False, b" ".join(part)))
+                            continue
+                        keys = mix(grams(Words([b" ".join(part)]).hash, window) + salt).view(np.int64)
+                        out += [(int(k), doc, s + i, 1, True, b" ".join(part[i : i + window])) for i, k in enumerate(keys)]
+                yield pd.DataFrame(out, columns=["key", "doc_id", "start", "n", "hot", "words"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInPandas(cut, "key long, doc_id long, start int, n int, words binary")
+    joined = _packed(docs).join(wanted, "doc_id").select("doc_id", "packed", "runs")
+    return joined.mapInPandas(cut, "key long, doc_id long, start int, n int, hot boolean, words binary")
 
 
 def _search(shard: pd.DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,13 +165,18 @@ def _shards(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _repeats(segments: DataFrame, window: int) -> DataFrame:
-    """``doc_id, start, n`` of the windows in ``segments(key, ...)`` that also start earlier."""
+def _round(segments: DataFrame, window: int) -> DataFrame:
+    """One round over ``segments(key, doc_id, start, n, hot, words)``.
+
+    Returns ``doc_id, start, n, words``: runs of windows that also start earlier, without
+    words, and the hot windows that are the first of their shard, with them.
+    """
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard in _shards(batches):
             shard = shard.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
             segment, offset, again = _search(shard, window)
+            rest = shard.iloc[np.setdiff1d(np.flatnonzero(shard["hot"].to_numpy(bool)), segment[again])]
             segment, offset = segment[again], offset[again]
             order = np.lexsort((offset, segment))
             segment, offset = segment[order], offset[order]
@@ -163,45 +187,31 @@ def _repeats(segments: DataFrame, window: int) -> DataFrame:
                     "doc_id": shard["doc_id"].to_numpy()[segment[first]],
                     "start": (shard["start"].to_numpy()[segment[first]] + offset[first]).astype(np.int32),
                     "n": np.diff(np.r_[first, len(segment)]).astype(np.int32),
+                    "words": None,
                 }
             )
+            if len(rest):
+                yield rest[["doc_id", "start", "n", "words"]]
 
     dealt = segments.repartition(fan_out(segments.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(search, "doc_id long, start int, n int")
-
-
-def _first_of_salt(segments: DataFrame, window: int, salts: int) -> tuple[DataFrame, DataFrame]:
-    """One row per window: those repeated within their salt, and the others."""
-
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard in _shards(batches):
-            shard = shard.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-            segment, _, again = _search(shard, window)
-            flag = np.zeros(len(shard), bool)
-            flag[segment] = again
-            yield shard.assign(again=flag)[["key", "doc_id", "start", "n", "words", "again"]]
-
-    # one window's copies are one key in a salt; each salt has a share of the documents
-    salted = segments.withColumn("content", F.col("key")).withColumn("key", F.xxhash64("key", F.pmod("doc_id", F.lit(salts))))
-    kept = salted.repartition(fan_out(segments.sparkSession), "key").sortWithinPartitions("key")
-    out = written(kept.drop("content").mapInPandas(search, "key long, doc_id long, start int, n int, words binary, again boolean"), "salted-windows")
-    return out.where("again").select("doc_id", "start", "n"), out.where("not again")
+    return dealt.mapInPandas(search, "doc_id long, start int, n int, words binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, start, n``: runs of windows of ``docs(doc_id, text binary)`` that also start earlier."""
+    spark = docs.sparkSession
     runs = _runs(docs, window)
-    often = runs.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = runs.join(often, "key")
-    if often.where(F.col("rows") > hot_rows).limit(1).count() == 0:
-        return _repeats(_segments(docs, shared, window, False), window)
-    cold = _repeats(_segments(docs, shared.where(F.col("rows") <= hot_rows), window, False), window)
-    single = _segments(docs, shared.where(F.col("rows") > hot_rows), window, True)
-    salts = fan_out(docs.sparkSession, 16)
-    within, rest = _first_of_salt(single, window, salts)
-    # survivors are keyed by content again: at most one a salt
-    keyed = rest.withColumn("key", F.xxhash64("words"))
-    return cold.unionByName(within).unionByName(_repeats(keyed, window))
+    # a table, so that its join's two sides are plain exchanges, which Spark can split at hot keys
+    often = written(runs.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "minimizers")
+    shared = runs.join(often, "key").withColumn("hot", F.col("rows") > hot_rows)
+    found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window), "repeats")
+    out = found.where("words is null").select("doc_id", "start", "n")
+    rest = found.where("words is not null")
+    if rest.limit(1).count() == 0:
+        return out
+    # survivors of the salted shards meet by their content: at most one a salt
+    again = _round(rest.withColumns({"key": F.xxhash64("words"), "hot": F.lit(False)}), window)
+    return out.unionByName(again.select("doc_id", "start", "n"))
 
 
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -242,17 +252,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for doc, text, found in zip(batch["doc_id"], batch["text"], batch["cuts"], strict=True):
-                words = as_bytes(text).split()
-                left = words
-                if found is not None:
-                    keep = keep_mask(len(words), found, window)
-                    left = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                kept = b" ".join(left)
-                out.append((None if pd.isna(doc) else int(doc), len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-            yield made.astype({"doc_id": "Int64"})
-
-    return rows.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+            for at in range(0, len(batch), 500):
+                out = []
+                for doc, packed, found in zip(*(batch[c].iloc[at : at + 500] for c in ("doc_id", "packed", "cuts")), strict=True):
+                    words = b"".split() if packed is None else unpack(bytes(packed)).split()
+                    left = words
+                    if found is not None:
+                        left = list(compress(words, keep_mask(len(words), found, window).tolist()))
+                    kept = b" ".join(left)
+                    out.append((None if pd.isna(doc) else int(doc), len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                yield made.astype({"doc_id": "Int64"})
+
+    return _packed(rows).join(cuts, "doc_id", "left").select("doc_id", "packed", "cuts").mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
