@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,36 +144,59 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     match nothing, as do null texts. Rows repeat as their inputs do. Other columns are
     ignored; an empty table on either side gives an empty result.
     """
-    spark = docs.sparkSession
-    keyed = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").cast("binary").alias("text"))
-    total = keyed.count()
-    passes = max(1, -(-total // block_items))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     schema = "doc_id long, item_id long, n_shared int, n_item int, containment double"
     out = None
-    for block in range(passes):
-        mine = keyed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == block) if passes > 1 else keyed
-        held = spark.sparkContext.broadcast([(r["item_id"], as_bytes(r["text"])) for r in mine.collect()])
+    for held in _blocks(items, item_id_col, item_text_col, block_items):
 
         def search(batches: Iterable[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = ItemIndex(held.value, n, bands)
             for batch in batches:
-                texts = [as_bytes(t) for t in batch["text"]]
-                for group in chunks(zip(batch["doc_id"], [t.lower() for t in texts], strict=True)):
-                    got = []
-                    for t, k in sorted(index.candidates(Words([g[1] for g in group]))):
-                        shared, of = index.shared(group[t][1], k), len(index.items[k][1])
-                        if shared >= containment * of:
-                            got.append((int(group[t][0]), index.items[k][0], shared, of, shared / of))
-                    if got:
-                        yield pd.DataFrame(got, columns=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                for ids, found in _search(index, batch["doc_id"], batch["text"], containment):
+                    if found:
+                        got = [(ids[t], item, shared, of, shared / of) for t, item, shared, of in found]
+                        made = pd.DataFrame(got, columns=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                        yield made.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         found = rows.mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is in no contaminated pair, all columns kept."""
-    bad = contaminated(docs, items, id_col, **how).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("__bad_id"), "left_anti")
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[Broadcast]:
+    """The items, broadcast a block of about ``block_items`` at a time."""
+    keyed = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    passes = max(1, -(-keyed.count() // block_items))
+    for block in range(passes):
+        mine = keyed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == block) if passes > 1 else keyed
+        yield items.sparkSession.sparkContext.broadcast([(r["item_id"], as_bytes(r["text"])) for r in mine.collect()])
+
+
+def _search(index: ItemIndex, ids: pd.Series, texts: pd.Series, containment: float) -> Iterator[tuple[list, list[tuple[int, int, int, int]]]]:
+    """For groups of rows: their ids, and ``(row, item id, shared, of)`` of each contained item."""
+    rows = zip([None if pd.isna(i) else int(i) for i in ids], [as_bytes(t).lower() for t in texts], strict=True)
+    for group in chunks(rows):
+        found = []
+        for t, k in sorted(index.candidates(Words([g[1] for g in group]))):
+            shared, of = index.shared(group[t][1], k), len(index.items[k][1])
+            if shared >= containment * of:
+                found.append((t, index.items[k][0], shared, of))
+        yield [g[0] for g in group], found
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns; edge cases as above."""
+    for held in _blocks(items, item_id_col, item_text_col, block_items):
+
+        def keep(batches: Iterable[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            index = ItemIndex(held.value, n, bands)
+            for batch in batches:
+                texts = batch[text_col].map(lambda t: b"" if t is None else t.encode())
+                bad, at = np.zeros(len(batch), bool), 0
+                for ids, found in _search(index, batch[id_col], texts, containment):
+                    bad[[at + f[0] for f in found]] = True
+                    at += len(ids)
+                yield batch[~bad]
+
+        docs = docs.mapInPandas(keep, docs.schema)
+    return docs

@@ -271,9 +271,11 @@ def transducer(path: str) -> PieceTransducer:
     return _MODELS[path]
 
 
-def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc_id, ids, decoded`` for every row: piece ids, and the text decoded from them.
 
+    ``keep_text`` adds ``text``, the input with null as empty.
+
     The model file must lie on every executor (a public vocabulary, not part of the
     job's data). Null and empty texts have no ids and decode to an empty text. Rows
     repeat as they occur, other columns are ignored, an empty table gives an empty one.
@@ -285,10 +287,11 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
             for at in range(0, len(batch), 200):
                 some = batch.iloc[at : at + 200]
                 ids = [fst.encode(t or "") for t in some["text"]]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "ids": [i.astype(np.int32) for i in ids], "decoded": [fst.decode(i.tolist()) for i in ids]})
+                made = pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [i.astype(np.int32) for i in ids], "decoded": [fst.decode(i.tolist()) for i in ids]})
+                yield made.assign(text=[t or "" for t in some["text"]]) if keep_text else made
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string" + ", text string" * keep_text)
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, piece_fst, simhash, substring_dedup, token_counts, token_output
+from . import chat, decontaminate, html_extract, media, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a network fitted on labels outside the held-out fold."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     control = "</s>[INST] ok [/INST]"
@@ -87,6 +92,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -97,6 +107,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image and read back through a media reference."""
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
     return {
@@ -104,11 +119,14 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_sentencepiece,
             op2_decontamination,
+            op3_toxicity,
             op4_chat_formatting,
             op5_token_output,
             op6_simhash,
+            op7_html_extraction,
             op8_token_counts,
             op9_substring_dedup,
+            op10_media_columns,
         )
     }
 

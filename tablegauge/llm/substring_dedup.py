@@ -267,3 +267,35 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield made.astype({"doc_id": "Int64"})
 
     return _packed(rows).join(cuts, "doc_id", "left").select("doc_id", "packed", "cuts").mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``docs`` with repeated windows removed from its texts, in the columns of ``docs``.
+
+    A text that loses nothing is unchanged; another becomes its remaining words joined
+    by one space, none of them if all go. ``n_chars``, where there is one, follows.
+    """
+    cuts = removal(docs, id_col, text_col, window, hot_rows).withColumnRenamed("doc_id", "__cut_id")
+    joined = docs.join(cuts.withColumnRenamed("cuts", "__cuts"), docs[id_col].cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
+    counted = "n_chars" in docs.columns
+
+    def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            texts, chars = batch[text_col].tolist(), batch["n_chars"].tolist() if counted else None
+            for k, found in enumerate(batch["__cuts"]):
+                if found is None or texts[k] is None:
+                    continue
+                words = texts[k].encode().split()
+                keep = keep_mask(len(words), found, window)
+                if not keep.all():
+                    texts[k] = b" ".join(compress(words, keep.tolist())).decode()
+                    if counted:
+                        chars[k] = len(texts[k])
+            out = batch.drop(columns="__cuts")
+            out[text_col] = pd.Series(texts, dtype=object)
+            if counted:
+                out["n_chars"] = pd.array([None if pd.isna(c) else int(c) for c in chars], "Int64")
+            yield out
+
+    return joined.mapInPandas(apply, docs.schema)

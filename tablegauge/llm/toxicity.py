@@ -30,6 +30,8 @@ WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 16, 12, 8
 TRAIN_WINDOWS = 240_000
 #: Texts of the sample in which a bucket must occur; rarer ones, and unseen ones, stay zero.
 LEAST_TEXTS = 3
+#: Share of words that a training pass leaves out.
+DROP = 0.2
 
 _SOLID = np.zeros(258, bool)  # letters, digits, apostrophes and bytes of longer characters
 _SOLID[[*range(48, 58), *range(97, 123), 39, *range(128, 256)]] = True
@@ -189,9 +191,12 @@ def _gradients(model: dict, table: WordTable, ids: np.ndarray, text: np.ndarray,
     g["A"], g["a"] = np.einsum("tnd,tna->da", states, d_inner), d_inner.sum((0, 1))
     d_states += d_inner @ model["A"].T
     d_x = np.zeros_like(x)
+    flat = ids.T.reshape(-1)
+    by_word = np.argsort(flat, kind="stable")
+    used, first = np.unique(flat[by_word], return_index=True)
     for k, w in enumerate("fb"):
         u = model[f"U{w}"]
-        d_proj = np.zeros_like(projected[w])
+        steps = np.empty((WINDOW, n, 3 * h), np.float32)
         d_u, d_e = np.zeros_like(u), np.zeros_like(model[f"e{w}"])
         d_h = np.zeros((n, h), np.float32)
         for t, before, z, r, hn, new, m in reversed(kept[w]):
@@ -203,15 +208,21 @@ def _gradients(model: dict, table: WordTable, ids: np.ndarray, text: np.ndarray,
             d_gate = np.concatenate([d_z, d_r, d_hn], axis=1)
             d_u += before.T @ d_gate
             d_e += d_hn.sum(0)
-            np.add.at(d_proj, ids[:, t], np.concatenate([d_z, d_r, d_new], axis=1))
+            steps[t] = np.concatenate([d_z, d_r, d_new], axis=1)
             d_h = d_h * (1 - m * (1 - z)) + d_gate @ u.T
+        d_proj = np.zeros_like(projected[w])
+        d_proj[used] = np.add.reduceat(steps.reshape(-1, 3 * h)[by_word], first, axis=0)
         d_proj = d_proj[1:]
         g |= {f"U{w}": d_u, f"e{w}": d_e, f"W{w}": x.T @ d_proj, f"c{w}": d_proj.sum(0)}
         d_x += d_proj @ model[f"W{w}"].T
     g["word"] = np.zeros_like(model["word"])
     np.add.at(g["word"], table.word_bucket, d_x[:, :WORD_DIM])
     g["gram"] = np.zeros_like(model["gram"])
-    np.add.at(g["gram"], table.gram, (d_x[:, WORD_DIM:] / np.maximum(table.gram_count, 1)[:, None])[table.gram_owner])
+    if len(table.gram):
+        by_gram = np.argsort(table.gram, kind="stable")
+        used, first = np.unique(table.gram[by_gram], return_index=True)
+        shares = d_x[:, WORD_DIM:] / np.maximum(table.gram_count, 1)[:, None]
+        g["gram"][used] = np.add.reduceat(shares[table.gram_owner[by_gram]], first, axis=0)
     return loss, g
 
 
@@ -244,7 +255,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> dict[str, np.nd
         model[name] *= mask
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     sizes = np.array([max(1, len(t) // 90) for t in texts])
-    rounds = int(np.clip(TRAIN_WINDOWS // max(1, sizes.sum()), 3, 40))
+    rounds = int(np.clip(TRAIN_WINDOWS // max(1, sizes.sum()), 3, 12))
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
     step = 0
@@ -259,6 +270,8 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> dict[str, np.nd
         if not len(ids):
             continue
         done = k / len(plan)
+        ids = np.where(rng.random(ids.shape) < DROP, 0, ids)
+        ids[:, 0] = np.maximum(ids[:, 0], 1)  # a window keeps a word
         _, g = _gradients(model, table, ids, text, y[chosen], balance[chosen], 0.5 + 3 * done)
         step += 1
         rate = 0.012 * (1 - 0.9 * done)
@@ -266,9 +279,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> dict[str, np.nd
         for name, value in g.items():
             value = value * scale * known.get(name, 1)
             first[name] += 0.1 * (value - first[name])
-            # an embedding table has one scale, else Adam would move its rarest rows as far as the telling ones
-            square = (value**2).max() if name in known else value**2
-            second[name] += 0.01 * (square - second[name])
+            second[name] += 0.01 * (value**2 - second[name])
             model[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)
     return model
 
@@ -288,6 +299,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC,
     return [r[2] for r in rows], [int(r[1]) for r in rows]
 
 
+def text_scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's score, that of its most toxic window, and its number of windows."""
+    top, many = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
+    table = WordTable(texts)
+    ids, text = table.windows()
+    if len(ids):
+        many = np.bincount(text, minlength=len(texts))
+        if model is not None:
+            np.maximum.at(top, text, window_logits(model, table, ids).astype(float))
+    return np.where(np.isfinite(top), _sigmoid(top), 0.0), many
+
+
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, n_windows`` for every row, over all its overlapping windows.
 
@@ -301,14 +324,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, id_col: str = "d
         weights = held.value
         for batch in batches:
             for group in chunks(zip(batch["doc_id"], map(as_bytes, batch["text"]), strict=True)):
-                top = np.full(len(group), -np.inf)
-                many = np.zeros(len(group), np.int64)
-                table = WordTable([g[1] for g in group])
-                ids, text = table.windows()
-                if weights is not None and len(ids):
-                    np.maximum.at(top, text, window_logits(weights, table, ids).astype(float))
-                    many = np.bincount(text, minlength=len(group))
-                values = np.where(np.isfinite(top), _sigmoid(top), 0.0)
+                values, many = text_scores(weights, [g[1] for g in group])
                 doc_ids = pd.array([None if pd.isna(g[0]) else int(g[0]) for g in group], "Int64")
                 yield pd.DataFrame({"doc_id": doc_ids, "score": values, "n_windows": many})
 
@@ -321,3 +337,16 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(*training_rows(docs, labels))
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
+
+
+def clean(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels)))
+
+    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [(b"" if t is None else t.encode(),) for t in batch[text_col]]
+            scores = np.concatenate([text_scores(held.value, [g[0] for g in group])[0] for group in chunks(texts)]) if texts else np.zeros(0)
+            yield batch[scores < threshold]
+
+    return docs.mapInPandas(keep, docs.schema)
