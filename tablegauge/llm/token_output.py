@@ -34,7 +34,7 @@ MAGIC, HEAD = b"TGP1", struct.Struct("<4sIIQQ")
 BLOCK = 4096
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -129,14 +129,14 @@ class WordEncoder:
         model, letters = self.tokenizer.model, self._letters()
 
         def ids(pre_token: str) -> bytes:
-            if pre_token.isascii():  # printable letters stand for themselves
-                mapped = pre_token.replace(" ", "\u0120") if pre_token.isprintable() else pre_token.translate(letters)
+            if pre_token.isascii() and pre_token.isprintable():  # printable letters stand for themselves
+                mapped = pre_token.replace(" ", "\u0120")
             else:
                 mapped = pre_token.encode().decode("latin-1").translate(letters)
             return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
 
-        self.pre = Memory(ids, CACHE_WORDS)
-        self.inner = Memory(lambda word: self._word(" " + word), CACHE_WORDS)
+        self.ids, self.marks = ids, {m: ids(m) for m in ".,"}
+        self.inner = Memory(self._inner, CACHE_WORDS)
 
     def _letters(self) -> dict[int, str]:
         """The character that stands for each byte: printable ones for themselves, others from 256 on."""
@@ -144,16 +144,20 @@ class WordEncoder:
         other = [b for b in range(256) if b not in own]
         return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
 
-    def _word(self, word: str) -> bytes | None:
+    def _inner(self, word: str) -> bytes | None:
+        """Ids of a word after a space."""
+        if word.isalpha():  # one pre-token, or one and a mark
+            return self.ids(" " + word)
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return self.inner[word[:-1]] + self.marks[word[-1]]
+        return self._any(" " + word)
+
+    def _any(self, word: str) -> bytes | None:
+        """Ids of a word with its space, if it has one; ``None`` if white space touches its ends."""
         body = word[1:] if word[:1] == " " else word
         if not body or body[0].isspace() or body[-1].isspace():
             return None
-        pre = self.pre
-        if body.isalpha():  # one pre-token, or one and a mark
-            return pre[word]
-        if body[:-1].isalpha() and body[-1] in ".,":
-            return pre[word[:-1]] + pre[body[-1]]
-        return b"".join([pre[p] for p in self.find(word)])
+        return b"".join([self.ids(p) for p in self.find(word)])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
@@ -163,7 +167,7 @@ class WordEncoder:
             if not text:
                 continue
             first, *rest = text.split(" ")
-            found = [self._word(first), *[inner[w] for w in rest]]
+            found = [self._any(first), *[inner[w] for w in rest]]
             if None in found or any(t in text for t in self.added):
                 whole.append(k)
             else:
