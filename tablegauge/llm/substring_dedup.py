@@ -10,7 +10,7 @@ In each shard an FM-index over its segments is built, and every segment is strea
 through it by backward search, which gives each window's interval of occurrences and the
 earliest of them. A word is removed if a window covers it whose text also starts earlier.
 
-Minimizers with more occurrences than one shard holds (``hot_rows``) are taken apart: their
+Minimizers with more words around them than one shard holds (``hot_words``) are taken apart: their
 windows are dealt out singly by their whole content and a salt, each salted shard keeps the
 first of its copies, and only those few meet in a second round.
 """
@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, chunks, fan_out, grams, mix, written
 from .fm_index import FMIndex
 
-#: HOT_ROWS segments of 35 words and a separator fill the largest shard an index takes (2**21).
-WINDOW, GRAM, HOT_ROWS = 20, 5, 50_000
+#: With what a shard already holds, HOT_WORDS fit the largest one an index takes (2**21).
+WINDOW, GRAM, HOT_WORDS = 20, 5, 1_800_000
 #: Words of one shard that joins several minimizers.
 SHARD_WORDS = 1_200_000
 
 
-def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share a minimizer occurrence: text, key, first window, windows.
+def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share a minimizer: text, key, first window, windows, and whether
+    the minimizer occurs more than once in the run, so that windows may repeat inside it.
 
     Window and word numbers count from each text's first word.
     """
@@ -46,7 +47,7 @@ def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     g = grams(h, gram)
     n = len(h) - window + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     value, at, width = g, np.arange(len(g)), 1
     while width < span:  # leftmost minimum over growing spans
         step = min(width, span - width)
@@ -60,24 +61,25 @@ def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     valid = owner[:n] == owner[window - 1 :]
     where = np.flatnonzero(valid)
     if not len(where):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     at, value, own = at[where], value[where], owner[where]
-    new = np.r_[True, (at[1:] != at[:-1]) | (where[1:] != where[:-1] + 1)]
+    new = np.r_[True, (value[1:] != value[:-1]) | (where[1:] != where[:-1] + 1)]
     first = np.flatnonzero(new)
-    return own[first], value[first].view(np.int64), where[first] - words.first[own[first]], np.diff(np.r_[first, len(where)])
+    last = np.r_[first[1:], len(where)] - 1
+    return own[first], value[first].view(np.int64), where[first] - words.first[own[first]], last - first + 1, at[first] != at[last]
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """``key, doc_id, start, n`` of every run of every document."""
+    """``key, doc_id, start, n, inner`` of every run of every document."""
 
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for group in chunks(zip(batch["doc_id"], map(as_bytes, batch["text"]), strict=True)):
-                own, key, start, n = window_runs(Words([g[1] for g in group]), window)
+                own, key, start, n, inner = window_runs(Words([g[1] for g in group]), window)
                 ids = np.array([g[0] for g in group], np.int64)
-                yield pd.DataFrame({"key": key, "doc_id": ids[own], "start": start.astype(np.int32), "n": n.astype(np.int32)})
+                yield pd.DataFrame({"key": key, "doc_id": ids[own], "start": start.astype(np.int32), "n": n.astype(np.int32), "inner": inner.astype(bool)})
 
-    return docs.mapInPandas(find, "key long, doc_id long, start int, n int")
+    return docs.mapInPandas(find, "key long, doc_id long, start int, n int, inner boolean")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -197,13 +199,14 @@ def _round(segments: DataFrame, window: int) -> DataFrame:
     return dealt.mapInPandas(search, "doc_id long, start int, n int, words binary")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
     """``doc_id, start, n``: runs of windows of ``docs(doc_id, text binary)`` that also start earlier."""
     spark = docs.sparkSession
     runs = _runs(docs, window)
     # a table, so that its join's two sides are plain exchanges, which Spark can split at hot keys
-    often = written(runs.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "minimizers")
-    shared = runs.join(often, "key").withColumn("hot", F.col("rows") > hot_rows)
+    totals = runs.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("n") + (window - 1)).alias("words"), F.max("inner").alias("inner"))
+    often = written(totals.where("rows > 1 or inner").select("key", (F.col("words") > hot_words).alias("hot")), "minimizers")
+    shared = runs.drop("inner").join(often, "key")
     found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window), "repeats")
     out = found.where("words is null").select("doc_id", "start", "n")
     rest = found.where("words is not null")
@@ -214,7 +217,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_rows: int = HOT_
     return out.unionByName(again.select("doc_id", "start", "n"))
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
     """``doc_id, cuts``: for documents that lose words, the runs of windows to remove.
 
     A copy of a whole earlier text has the one cut ``(0, 2**31 - 1)``.
@@ -224,7 +227,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copies = written(digests.join(firsts, "digest").where("doc_id > least").select("doc_id").distinct(), "copies")
     originals = rows.join(copies, "doc_id", "left_anti")
-    cuts = repeated_windows(originals, window, hot_rows).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("n")))
+    cuts = repeated_windows(originals, window, hot_words).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("n")))
     return written(cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")), "cuts")
 
 
@@ -239,7 +242,7 @@ def keep_mask(n_words: int, cuts: Iterable, window: int) -> np.ndarray:
     return keep
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` for every row of ``docs``.
 
     ``kept`` is the remaining words joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``,
@@ -248,7 +251,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id are kept whole. Other columns are ignored; an empty table gives an
     empty result.
     """
-    cuts = removal(docs, id_col, text_col, window, hot_rows)
+    cuts = removal(docs, id_col, text_col, window, hot_words)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,13 +272,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _packed(rows).join(cuts, "doc_id", "left").select("doc_id", "packed", "cuts").mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
     """``docs`` with repeated windows removed from its texts, in the columns of ``docs``.
 
     A text that loses nothing is unchanged; another becomes its remaining words joined
     by one space, none of them if all go. ``n_chars``, where there is one, follows.
     """
-    cuts = removal(docs, id_col, text_col, window, hot_rows).withColumnRenamed("doc_id", "__cut_id")
+    cuts = removal(docs, id_col, text_col, window, hot_words).withColumnRenamed("doc_id", "__cut_id")
     joined = docs.join(cuts.withColumnRenamed("cuts", "__cuts"), docs[id_col].cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
     counted = "n_chars" in docs.columns
 
