@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, profiling
+from . import cleaning, measuring, modelling, profiling
 from .base import Query
 
-MODULES = (cleaning, profiling)
+MODULES = (cleaning, profiling, measuring, modelling)
 
 
 def queries() -> dict[str, Query]:
