@@ -89,16 +89,16 @@ class FMIndex:
         _, rank = _order(rank)
         padded = np.r_[rank + 1, 0, 0]
         order, rank = _order((padded[:-2] << 42) | (padded[1:-1] << 21) | padded[2:])
-        done, capped = 3, rank
+        done, capped = 3, None
         while done < window or int(rank.max()) + 1 < n:
-            if 2 * done > window >= done:
+            if capped is None and 2 * done > window:
                 capped, at = rank, done
             later = np.zeros(n, np.int64)
             later[: max(0, n - done)] = rank[done:] + 1
             order, rank = _order(rank * (n + 1) + later)
             done *= 2
-        if done <= window or window == 3:
-            capped, at = rank, min(done, window)
+        if capped is None:
+            capped, at = rank, done
         self.order = order
         # rows whose suffixes share their first `window` symbols
         a = capped[order]

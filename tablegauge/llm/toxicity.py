@@ -27,7 +27,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1200, 1800
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 14
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 16, 12, 8
 #: Windows that training passes over, all rounds together (at least three rounds).
-TRAIN_WINDOWS = 240_000
+TRAIN_WINDOWS = 120_000
 #: Texts of the sample in which a bucket must occur; rarer ones, and unseen ones, stay zero.
 LEAST_TEXTS = 3
 #: Share of words that a training pass leaves out.
@@ -255,14 +255,15 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> dict[str, np.nd
         model[name] *= mask
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     sizes = np.array([max(1, len(t) // 90) for t in texts])
-    rounds = int(np.clip(TRAIN_WINDOWS // max(1, sizes.sum()), 3, 12))
+    rounds = int(np.clip(TRAIN_WINDOWS // max(1, sizes.sum()), 3, 40))
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
     step = 0
+    batch = int(np.clip(sizes.sum() // 40, 60, 600))  # windows of a step: few for small samples, which else see few steps
     plan = []
     for _ in range(rounds):
         order = rng.permutation(len(texts))
-        cut = np.cumsum(sizes[order]) // 600
+        cut = np.cumsum(sizes[order]) // batch
         plan += np.split(order, np.flatnonzero(cut[1:] != cut[:-1]) + 1)
     for k, chosen in enumerate(plan):
         table = WordTable([texts[i] for i in chosen])
