@@ -32,6 +32,8 @@ from .fm_index import FMIndex
 
 #: With what a shard already holds, HOT_WORDS fit the largest one an index takes (2**21).
 WINDOW, GRAM, HOT_WORDS = 20, 5, 1_800_000
+#: Rows of one hot window that a task holds before it drops copies.
+HOLD_ROWS = 50_000
 #: Words of one shard that joins several minimizers.
 SHARD_WORDS = 1_200_000
 
@@ -142,10 +144,22 @@ def _search(shard: pd.DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, n
     return segment, offset, again
 
 
-def _shards(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cut a partition, sorted by key, into shards of whole keys and a bounded number of words."""
+def _shards(batches: Iterable[pd.DataFrame], hold_rows: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | None]]:
+    """Cut a partition, sorted by key, into shards of whole keys and a bounded number of words.
+
+    Beside each come hot windows already known to repeat: of a key with more than
+    ``hold_rows`` rows at hand, only the first of equal windows is held on to.
+    """
     held, size = [], 0
     rest: pd.DataFrame | None = None
+    gone: list[pd.DataFrame] = []
+
+    def shard() -> tuple[pd.DataFrame, pd.DataFrame | None]:
+        out = pd.concat(held, ignore_index=True), pd.concat(gone, ignore_index=True) if gone else None
+        held.clear()
+        gone.clear()
+        return out
+
     for batch in batches:
         if rest is not None:
             batch = pd.concat([rest, batch], ignore_index=True)
@@ -155,19 +169,27 @@ def _shards(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         length = np.cumsum(np.r_[0, batch["n"].to_numpy(np.int64) + WINDOW])
         for e in edges:
             if size and size + length[e] - length[at] > SHARD_WORDS:
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
+                yield shard()
+                size = 0
             held.append(batch.iloc[at:e])
             size += int(length[e] - length[at])
             at = e
         rest = batch.iloc[at:]
+        if len(rest) > hold_rows:
+            rest = rest.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+            again = rest["hot"].to_numpy(bool) & rest.duplicated("words").to_numpy()
+            if again.any():
+                gone.append(rest.loc[again, ["doc_id", "start", "n"]])
+                rest = rest[~again]
     if rest is not None and len(rest):
+        if size and size + int(rest["n"].sum()) + WINDOW * len(rest) > SHARD_WORDS:
+            yield shard()
         held.append(rest)
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield shard()
 
 
-def _round(segments: DataFrame, window: int) -> DataFrame:
+def _round(segments: DataFrame, window: int, hold_rows: int) -> DataFrame:
     """One round over ``segments(key, doc_id, start, n, hot, words)``.
 
     Returns ``doc_id, start, n, words``: runs of windows that also start earlier, without
@@ -175,7 +197,9 @@ def _round(segments: DataFrame, window: int) -> DataFrame:
     """
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard in _shards(batches):
+        for shard, gone in _shards(batches, hold_rows):
+            if gone is not None:
+                yield gone.assign(words=None)
             shard = shard.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
             segment, offset, again = _search(shard, window)
             rest = shard.iloc[np.setdiff1d(np.flatnonzero(shard["hot"].to_numpy(bool)), segment[again])]
@@ -199,7 +223,7 @@ def _round(segments: DataFrame, window: int) -> DataFrame:
     return dealt.mapInPandas(search, "doc_id long, start int, n int, words binary")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_words: int = HOT_WORDS, hold_rows: int = HOLD_ROWS) -> DataFrame:
     """``doc_id, start, n``: runs of windows of ``docs(doc_id, text binary)`` that also start earlier."""
     spark = docs.sparkSession
     runs = _runs(docs, window)
@@ -207,17 +231,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_words: int = HOT
     totals = runs.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("n") + (window - 1)).alias("words"), F.max("inner").alias("inner"))
     often = written(totals.where("rows > 1 or inner").select("key", (F.col("words") > hot_words).alias("hot")), "minimizers")
     shared = runs.drop("inner").join(often, "key")
-    found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window), "repeats")
+    found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window, hold_rows), "repeats")
     out = found.where("words is null").select("doc_id", "start", "n")
     rest = found.where("words is not null")
     if rest.limit(1).count() == 0:
         return out
     # survivors of the salted shards meet by their content: at most one a salt
-    again = _round(rest.withColumns({"key": F.xxhash64("words"), "hot": F.lit(False)}), window)
-    return out.unionByName(again.select("doc_id", "start", "n"))
+    again = _round(rest.withColumns({"key": F.xxhash64("words"), "hot": F.lit(True)}), window, hold_rows)
+    return out.unionByName(again.where("words is null").select("doc_id", "start", "n"))
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
+def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS, hold_rows: int = HOLD_ROWS) -> DataFrame:
     """``doc_id, cuts``: for documents that lose words, the runs of windows to remove.
 
     A copy of a whole earlier text has the one cut ``(0, 2**31 - 1)``.
@@ -227,7 +251,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copies = written(digests.join(firsts, "digest").where("doc_id > least").select("doc_id").distinct(), "copies")
     originals = rows.join(copies, "doc_id", "left_anti")
-    cuts = repeated_windows(originals, window, hot_words).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("n")))
+    cuts = repeated_windows(originals, window, hot_words, hold_rows).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("n")))
     return written(cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")), "cuts")
 
 
@@ -242,7 +266,7 @@ def keep_mask(n_words: int, cuts: Iterable, window: int) -> np.ndarray:
     return keep
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS, hold_rows: int = HOLD_ROWS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` for every row of ``docs``.
 
     ``kept`` is the remaining words joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``,
@@ -251,7 +275,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id are kept whole. Other columns are ignored; an empty table gives an
     empty result.
     """
-    cuts = removal(docs, id_col, text_col, window, hot_words)
+    cuts = removal(docs, id_col, text_col, window, hot_words, hold_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -308,10 +308,10 @@ def without_repeats(docs, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot_words", [substring_dedup.HOT_WORDS, 60])
-def test_substring_dedup_equals_brute_force(spark, hot_words):
+@pytest.mark.parametrize("hot_words,hold_rows", [(substring_dedup.HOT_WORDS, substring_dedup.HOLD_ROWS), (60, 50_000), (60, 2)])
+def test_substring_dedup_equals_brute_force(spark, hot_words, hold_rows):
     docs = corpus(7)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(table(spark, docs).repartition(4), hot_words=hot_words).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(table(spark, docs).repartition(4), hot_words=hot_words, hold_rows=hold_rows).collect()}
     assert got == without_repeats(docs)
     assert substring_dedup.deduplicated(empty(spark)).count() == 0
 
