@@ -246,7 +246,8 @@ def read_ids(files: DataFrame) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     place = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("inside")).join(starts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("ids_before"))
-    spread = files.join(place, ["part", "seq"])
+    # a written table's size is known to the planner, which need not shuffle the payload to join few rows
+    spread = files.join(written(place, "token-places"), ["part", "seq"])
 
     def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
