@@ -44,6 +44,14 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: DataFrame, k
     return met.select(label, "draw", "base", "neighbour", mixed.alias("vector"))
 
 
+def smote_tomek(df: DataFrame, key: str, label: str, vector: str, wanted: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """``key, label, vector``: synthetic rows added (negative keys), then Tomek links cleaned."""
+    made = smote(df, key, label, vector, wanted, k, seed)
+    numbered = made.select((-F.abs(F.xxhash64(label, "draw")) - 1).alias(key), label, F.col("vector").alias(vector))
+    both = df.select(F.col(key).cast("bigint").alias(key), label, F.transform(vector, lambda x: x.cast("double")).alias(vector)).unionByName(numbered)
+    return without_tomek(both, key, label, vector)
+
+
 def _class_order(label: str, key: str, seed: int):
     from pyspark.sql import Window
 

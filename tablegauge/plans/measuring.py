@@ -157,11 +157,19 @@ def smote_rows(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"""WITH {_NN}, o AS (SELECT key, other, label, other_label FROM n WHERE rank = 1 AND label <> other_label), t AS (SELECT a.* FROM o a JOIN o b ON a.key = b.other AND a.other = b.key),
 c AS (SELECT label, count(*) AS k FROM embeddings GROUP BY 1), x AS (SELECT t.key FROM t JOIN c a ON t.label = a.label JOIN c b ON t.other_label = b.label WHERE a.k >= b.k)
 SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT key FROM x)""")
-def smote_tomek(spark: SparkSession, d: str) -> DataFrame:
+def tomek_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Rows that Tomek cleaning keeps."""
     return B.without_tomek(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("vec_id", "label")
 
 
+@R.add()
+def smote_tomek(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic rows added, then Tomek links cleaned."""
+    e = table(spark, d, "embeddings")
+    wanted = e.select("label").distinct().withColumn("n", F.lit(5))
+    return B.smote_tomek(e, "vec_id", "label", "embedding", wanted).select("vec_id", "label", F.round(F.col("embedding")[0], 6).alias("first_value"))
+
+
 @R.add(f"WITH {_MOMENTS} SELECT 'anova_f' AS metric, feature AS sub_metric, round({_F}, 6) AS value, 'ok' AS status FROM m JOIN g USING (feature) GROUP BY feature UNION ALL SELECT 'anova_f', 'absent', NULL, 'missing'")
 def metric_validation(spark: SparkSession, d: str) -> DataFrame:
     """Expected metrics that are there, missing, or not numbers."""
