@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Well-known ports and their services.
+# Ports and the names they are binned under.
 PORT_SERVICES = {
-    20: "FTP", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 67: "DHCP_Server", 68: "DHCP_Client", 69: "TFTP", 80: "HTTP",
-    110: "POP3", 123: "NTP", 137: "NetBIOS_NS", 138: "NetBIOS_DGM", 139: "NetBIOS_SSN", 143: "IMAP", 161: "SNMP", 162: "SNMP_Trap",
-    179: "BGP", 389: "LDAP", 443: "HTTPS", 445: "SMB", 465: "SMTPS", 514: "Syslog", 587: "SMTP_Submission", 636: "LDAPS", 993: "IMAPS",
-    995: "POP3S", 1433: "MSSQL", 1521: "Oracle", 1883: "MQTT", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 5900: "VNC", 8080: "HTTP_Proxy",
+    20: "FTP-Data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 67: "DHCP", 68: "DHCP", 69: "TFTP", 80: "HTTP", 110: "POP3", 123: "NTP",
+    137: "NetBIOS", 143: "IMAP", 161: "SNMP", 443: "HTTPS", 465: "SMTPS", 502: "Modbus", 514: "Syslog", 789: "CrimsonV3", 993: "IMAPS", 995: "POP3S",
+    1883: "MQTT", 2222: "EtherNet/IP", 2404: "IEC-104", 3306: "MySQL", 3389: "RDP", 5060: "SIP", 5900: "VNC", 8080: "MQTT-WS", 8081: "MQTT-WSS", 8883: "MQTT-TLS",
+    12345: "NetBus", 20000: "DNP3", 31337: "BackOrifice", 44818: "CIP",
 }
 # Upper ends of the port ranges and their names.
-PORT_RANGES = [(255, "Range_0_255"), (1023, "Range_256_1023"), (49151, "Registered"), (57343, "Dynamic_Low"), (65535, "Dynamic_High")]
+PORT_RANGES = [(255, "System_0_255"), (1023, "System_256_1023"), (49151, "Registered_1024_49151"), (57343, "Dynamic_49152_57343"), (65535, "Dynamic_57344_65535")]
 IPV4 = r"^\s*(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}\s*$"
 IPV6 = r"^\s*(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|([0-9A-Fa-f]{1,4}:){1,7}:|:(:[0-9A-Fa-f]{1,4}){1,7}|([0-9A-Fa-f]{1,4}:){1,6}(:[0-9A-Fa-f]{1,4}){1,6}|::)\s*$"
 MAC = r"^\s*([0-9A-Fa-f]{2}([:_-][0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{12})\s*$"

@@ -10,8 +10,9 @@ from ..functions.scalars import IPV4, IPV6, MAC
 from .clean import columns_of
 
 _WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "boolean": 1, "timestamp": 8, "date": 4}
-#: Column names that speak of ports, and ones that do not although they hold the word.
-PORT_NAMES, NO_PORT_NAMES = ("port", "sport", "dport"), ("portion", "support", "report", "import", "export")
+# Parts of column names that speak of ports, and parts that speak of something else.
+PORT_NAMES = ("srcport", "dstport", "src_port", "dst_port", "sport", "dport", "srcp", "dstp", "src-p", "dst-p", "port", "prt", "orig_p", "resp_p")
+NO_PORT_NAMES = ("rate", "ltm", "is_", "ct_", "flag", "type", "pkts", "rtt", "time", "ttl", "len", "bytes", "flow", "duration")
 
 
 def per_column(df: DataFrame, measures: dict[str, object]) -> DataFrame:

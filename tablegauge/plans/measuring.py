@@ -313,16 +313,16 @@ def stage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # --- composite difficulty: nations as tables -----------------------------------------------------------
 
-_METRICS = "SELECT n_name AS dataset_id, avg(o_totalprice) AS anova_f_mean, stddev_pop(o_totalprice) AS mutual_information_mean, CAST(count(*) AS DOUBLE) AS pca_centroid_distance_pca_centroid_score, max(o_totalprice) AS mahalanobis_mean, min(o_totalprice) AS svm_margin_mean, CAST(count(DISTINCT o_orderpriority) AS DOUBLE) AS probability_entropy_mean, CAST(count(DISTINCT c_custkey) AS DOUBLE) AS intrinsic_dimension_percent, max(o_totalprice) - min(o_totalprice) AS calinski_harabasz_score, avg(c_acctbal) AS confusion_entropy_mean, CASE WHEN n_name < 'C' THEN NULL ELSE avg(o_orderkey % 7) END AS class_imbalance_normalized_entropy FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+_METRICS = "SELECT n_name AS dataset_id, avg(o_totalprice) AS anova_f_mean, stddev_pop(o_totalprice) AS mutual_info_mean, CAST(count(*) AS DOUBLE) AS pca_centroid_distance_pca_centroid_score, max(o_totalprice) AS mahalanobis_class_distance_mean, min(o_totalprice) AS svm_margin_mean, CAST(count(DISTINCT o_orderpriority) AS DOUBLE) AS class_proba_entropy_mean, CAST(count(DISTINCT c_custkey) AS DOUBLE) AS intrinsic_dimensionality_intrinsic_dimensionality_percent, max(o_totalprice) - min(o_totalprice) AS calinski_harabasz_calinski_harabasz_score, avg(c_acctbal) AS class_confusion_entropy_confusion_entropy, CASE WHEN n_name < 'C' THEN NULL ELSE avg(o_orderkey % 7) END AS class_imbalance_normalized_entropy FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
     p = F.col("o_totalprice")
     return x.groupBy(F.col("n_name").alias("dataset_id")).agg(
-        F.avg(p).alias("anova_f_mean"), F.stddev_pop(p).alias("mutual_information_mean"), F.count("*").cast("double").alias("pca_centroid_distance_pca_centroid_score"), F.max(p).alias("mahalanobis_mean"), F.min(p).alias("svm_margin_mean"),
-        F.count_distinct("o_orderpriority").cast("double").alias("probability_entropy_mean"), F.count_distinct("c_custkey").cast("double").alias("intrinsic_dimension_percent"), (F.max(p) - F.min(p)).alias("calinski_harabasz_score"),
-        F.avg("c_acctbal").alias("confusion_entropy_mean"), F.avg(F.col("o_orderkey") % 7).alias("class_imbalance_normalized_entropy"),
+        F.avg(p).alias("anova_f_mean"), F.stddev_pop(p).alias("mutual_info_mean"), F.count("*").cast("double").alias("pca_centroid_distance_pca_centroid_score"), F.max(p).alias("mahalanobis_class_distance_mean"), F.min(p).alias("svm_margin_mean"),
+        F.count_distinct("o_orderpriority").cast("double").alias("class_proba_entropy_mean"), F.count_distinct("c_custkey").cast("double").alias("intrinsic_dimensionality_intrinsic_dimensionality_percent"), (F.max(p) - F.min(p)).alias("calinski_harabasz_calinski_harabasz_score"),
+        F.avg("c_acctbal").alias("class_confusion_entropy_confusion_entropy"), F.avg(F.col("o_orderkey") % 7).alias("class_imbalance_normalized_entropy"),
     ).withColumn("class_imbalance_normalized_entropy", F.when(F.col("dataset_id") >= "C", F.col("class_imbalance_normalized_entropy")))
 
 

@@ -75,13 +75,13 @@ def mac_share(spark: SparkSession, d: str) -> DataFrame:
 @R.add("SELECT 'src_port' AS \"column\", avg(CASE WHEN (event_id * 37) % 66000 BETWEEN 0 AND 65535 THEN 1 ELSE 0 END) AS share FROM events")
 def port_like_columns(spark: SparkSession, d: str) -> DataFrame:
     """Columns that look like ports."""
-    return P.port_like(table(spark, d, "events").select(((F.col("event_id") * 37) % 66000).alias("src_port"), (F.col("user_id") * 100000).alias("dst_port"), F.col("user_id").alias("support")))
+    return P.port_like(table(spark, d, "events").select(((F.col("event_id") * 37) % 66000).alias("src_port"), (F.col("user_id") * 100000).alias("dst_port"), F.col("user_id").alias("port_time")))
 
 
-@R.add("SELECT bin, count(*) AS n FROM (SELECT CASE WHEN p IN (80, 8080) THEN CASE p WHEN 80 THEN 'HTTP' ELSE 'HTTP_Proxy' END WHEN p = 443 THEN 'HTTPS' WHEN p > 65535 THEN 'Other' ELSE 'Registered' END AS bin FROM (SELECT CASE event_id % 5 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 8080 WHEN 3 THEN 70000 ELSE 20000 END AS p FROM events)) GROUP BY bin")
+@R.add("SELECT bin, count(*) AS n FROM (SELECT CASE WHEN p IN (80, 8080) THEN CASE p WHEN 80 THEN 'HTTP' ELSE 'MQTT-WS' END WHEN p = 443 THEN 'HTTPS' WHEN p > 65535 THEN 'Other' ELSE 'Registered_1024_49151' END AS bin FROM (SELECT CASE event_id % 5 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 8080 WHEN 3 THEN 70000 ELSE 30000 END AS p FROM events)) GROUP BY bin")
 def port_binning(spark: SparkSession, d: str) -> DataFrame:
     """Detected port columns binned by service."""
-    p = F.element_at(F.array(*[F.lit(x) for x in (80, 443, 8080, 70000, 20000)]), (F.col("event_id") % 5 + 1).cast("int"))
+    p = F.element_at(F.array(*[F.lit(x) for x in (80, 443, 8080, 70000, 30000)]), (F.col("event_id") % 5 + 1).cast("int"))
     x = table(spark, d, "events").select(p.alias("sport"))
     found = [r["column"] for r in P.port_like(x, 0.5).collect()]  # a row per column
     return x.select(*[S.port_service(F.col(c)).alias("bin") for c in found]).groupBy("bin").agg(F.count("*").alias("n"))

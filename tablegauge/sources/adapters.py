@@ -20,6 +20,8 @@ class Adapter:
     label: tuple[str, ...] = ("label",)  # source columns, joined by an underscore
     from_name: str | None = None  # or a pattern on the file's name
     from_path: str | None = None  # or on its path
+    attack_flag: str = ""  # a column whose 0 means the benign label instead
+    label_rules: tuple[tuple[str, str], ...] = ()  # patterns and what replaces the whole label
     label_map: dict[str, str] = field(default_factory=dict)
     remove_from_label: str = ""
     lower_label: bool = False
@@ -37,6 +39,7 @@ class Adapter:
 
 
 # The columns and labels that the public sources use.
+EVSE_DROP = ("id", "expiration_id", "src_ip", "dst_ip", "src_mac", "dst_mac", "src_oui", "dst_oui", "src_port", "requested_server_name", "client_fingerprint", "server_fingerprint", "user_agent", "content_type", "tunnel_id", "vlan_id")
 ADAPTERS = {
     "KDD_Cup_1999": Adapter(("normal",), remove_from_label="."),
     "UNSW_NB15": Adapter(("Normal",), ("srcip", "dstip", "Label"), ("attack_cat",), trim=True, fill={"sport": "-1", "ct_ftp_cmd": "-1", "ct_flw_http_mthd": -1.0, "is_ftp_login": -1.0, "label": "Normal"}),
@@ -44,24 +47,24 @@ ADAPTERS = {
     "BoT_IoT_Micro": Adapter(("Normal_Normal",), ("pkSeqID", "stime", "saddr", "daddr", "seq", "ltime", "attack"), ("category", "subcategory"), integers=("sport", "dport")),
     "CIC_IDS_2017": Adapter(("BENIGN",), (), ("Label",)),
     "CIC_IOT_Dataset2023": Adapter(("BENIGN",), (), ("Label",)),
-    "IoT_23": Adapter(("Benign",), ("ts", "uid", "service", "local_orig", "local_resp", "history", "id.orig_h", "id.resp_h"), dash_is_zero=("duration", "orig_bytes", "resp_bytes"), deduplicate_first=True),
-    "IoT_Network_Intrusion_Macro": Adapter(("Normal",), ("_ws.col.Time", "_ws.col.cls_time"), (), from_name=r"^([^-_.]+)"),
-    "IoT_Network_Intrusion_Micro": Adapter(("Normal_Normal",), ("_ws.col.Time", "_ws.col.cls_time"), (), from_name=r"^([^-_.]+[-_][^-_.]+)"),
-    "MQTT_Biflow": Adapter(("normal",), ("ip_src", "ip_dst", "is_attack"), (), from_name=r"^(?:biflow_)?(.*?)\.csv"),
-    "MQTT_Uniflow": Adapter(("normal",), ("ip_src", "ip_dst", "is_attack"), (), from_name=r"^(?:uniflow_)?(.*?)\.csv"),
-    "MQTT_Packet": Adapter(("normal",), ("timestamp", "src_ip", "dst_ip", "is_attack"), (), from_name=r"^(.*?)\.csv"),
-    "CICIoMT2024_Bluetooth": Adapter(("Benign",), ("_ws.col.Time", "_ws.col.cls_time", "frame.number"), (), from_name=r"^([^-_.]+)", hexadecimal=True),
+    "IoT_23": Adapter(("Benign",), ("ts", "uid", "service", "local_orig", "local_resp", "history", "id.orig_h", "id.resp_h"), dash_is_zero=("duration", "orig_bytes", "resp_bytes"), numeric=("duration", "orig_bytes", "resp_bytes"), label_rules=((r"(?i)^\S+ {3}benign {3}-$", "Benign"), (r"^\S+ {3}Malicious {3}(.+)$", "$1")), deduplicate_first=True),
+    "IoT_Network_Intrusion_Macro": Adapter(("Normal",), ("_ws.col.Time", "_ws.col.cls_time"), (), from_name=r"^[^_]*_([^_.]+)"),
+    "IoT_Network_Intrusion_Micro": Adapter(("Normal_Normal",), ("_ws.col.Time", "_ws.col.cls_time"), (), from_name=r"^[^_]*_([^_]+_[^_.]+)"),
+    "MQTT_Biflow": Adapter(("normal",), ("ip_src", "ip_dst", "is_attack"), (), from_name=r"^(?:biflow_)?(.*?)\.csv", attack_flag="is_attack"),
+    "MQTT_Uniflow": Adapter(("normal",), ("ip_src", "ip_dst", "is_attack"), (), from_name=r"^(?:uniflow_)?(.*?)\.csv", attack_flag="is_attack"),
+    "MQTT_Packet": Adapter(("normal",), ("timestamp", "src_ip", "dst_ip", "is_attack"), (), from_name=r"^(.*?)\.csv", attack_flag="is_attack"),
+    "CICIoMT2024_Bluetooth": Adapter(("Benign",), ("_ws.col.Time", "_ws.col.cls_time", "frame.number"), (), from_name=r"^[^_]*_([^_.]+)", hexadecimal=True),
     "CICIoMT2024_WiFi_and_MQTT": Adapter(("Benign",), (), (), from_name=r"^(.*?)(?:\d+)?(?=_test|_train)"),
     "BCCC": Adapter(("Benign Traffic",), ("Flow ID", "Src IP", "Dst IP", "Timestamp", "Label"), ("Attack Name",), trim=True),
     "CICAPT_IIoT_Micro": Adapter(("benign",), ("ts", "Sequence number", "Source IP", "Destination IP", "Source Port", "MAC", "label", "subLabelCat"), ("subLabel",), label_map={"0": "benign"}, slug_label=True),
     "CICAPT_IIoT_Macro": Adapter(("benign",), ("ts", "Sequence number", "Source IP", "Destination IP", "Source Port", "MAC", "label", "subLabel"), ("subLabelCat",), label_map={"0": "benign"}, slug_label=True),
-    "CICEVSE2024_Micro": Adapter(("idle-benign", "charging-benign"), (), (), from_name=r"^(?:EVSE-[AB]-)?(.*?)\.csv", lower_label=True),
-    "CICEVSE2024_Macro": Adapter(("benign",), (), (), from_name=r"^(?:EVSE-[AB]-)?(?:(?:charging|idle|Charging|Idle)-)?(.*?)\.csv", lower_label=True),
+    "CICEVSE2024_Micro": Adapter(("idle-benign", "charging-benign"), EVSE_DROP, (), from_name=r"^(?:EVSE-[AB]-)?(.*?)\.csv", lower_label=True),
+    "CICEVSE2024_Macro": Adapter(("benign",), EVSE_DROP, (), from_name=r"^(?:EVSE-[AB]-)?(?:(?:charging|idle|Charging|Idle)-)?(.*?)\.csv", lower_label=True),
     "CICIoV2024_Micro": Adapter(("BENIGN_BENIGN",), ("label",), ("category", "specific_class")),
     "CICIoV2024_Macro": Adapter(("BENIGN",), ("label", "specific_class"), ("category",)),
-    "EDGE_IIOTSET": Adapter(("Normal",), ("frame.time", "ip.src_host", "ip.dst_host", "Attack_label"), ("Attack_type",), trim=True),
-    "N_BaIoT": Adapter(("benign_traffic",), (), (), from_path=r"([^/]+)\.csv", trim=True),
-    "NIDS": Adapter(("Benign",), ("Flow ID", "Src IP", "Dst IP", "Timestamp", "Label", "Dataset", "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "FLOW_START_MILLISECONDS", "FLOW_END_MILLISECONDS"), ("Attack",), markup="<!DOCTYPE html>", trim=True),
+    "EDGE_IIOTSET": Adapter(("Normal",), ("frame.time", "ip.src_host", "ip.dst_host", "arp.src.proto_ipv4", "arp.dst.proto_ipv4", "tcp.ack_raw", "tcp.payload", "tcp.options", "http.file_data", "http.request.full_uri", "http.request.uri.query", "http.referer", "Attack_label"), ("Attack_type",), trim=True),
+    "N_BaIoT": Adapter(("benign_traffic",), (), (), from_path=r"((?:[^/]+_attacks/)?[^/]+)\.csv", label_rules=((r"^(.+)_attacks/(.+)$", "$1_$2"),), trim=True),
+    "NIDS": Adapter(("Benign",), ("Flow ID", "Src IP", "Dst IP", "Timestamp", "Label", "Dataset", "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "FLOW_START_MILLISECONDS", "FLOW_END_MILLISECONDS", "DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER"), ("Attack",), markup="<!DOCTYPE html>", trim=True),
     "ToN_IoT": Adapter(("normal",), ("date", "time", "ts", "src_ip", "dst_ip", "label"), ("type",), strip_numbers=("VGROW", "RGROW"), numeric=("WRDSK", "RDDSK", "DSK"), suffixed=("WCANCL", "MINFLT", "MAJFLT", "VSTEXT", "RSIZE")),
 }
 
@@ -71,6 +74,8 @@ def adapted(df: DataFrame, spec: Adapter, binary: bool = False) -> DataFrame:
     if spec.from_name or spec.from_path:
         pattern, source = (spec.from_name, "_metadata.file_name") if spec.from_name else (spec.from_path, "_metadata.file_path")
         df = df.withColumn("__label", F.regexp_extract(F.col(source), pattern, 1))
+        if spec.attack_flag:
+            df = df.withColumn("__label", F.when(F.col(spec.attack_flag).cast("string") == "0", spec.benign[0]).otherwise(F.col("__label")))
     df = trimmed_names(df)
     if spec.deduplicate_first:
         df = df.na.drop("any").dropDuplicates()
@@ -95,7 +100,7 @@ def adapted(df: DataFrame, spec: Adapter, binary: bool = False) -> DataFrame:
         elif c in spec.suffixed:
             x = kmg_to_number(x.cast("string"))
         elif c in spec.numeric:
-            x = x.cast("string").try_cast("double")
+            x = F.trim(x.cast("string")).try_cast("double")
         elif c in text and c != "label" and spec.hexadecimal:
             x = hex_to_int(x)
         return x.alias(c)
@@ -106,6 +111,8 @@ def adapted(df: DataFrame, spec: Adapter, binary: bool = False) -> DataFrame:
     label = F.col("label")
     if spec.remove_from_label:
         label = F.replace(label, F.lit(spec.remove_from_label), F.lit(""))
+    for pattern, new in spec.label_rules:
+        label = F.regexp_replace(label, pattern, new)
     for old, new in spec.label_map.items():
         label = F.when(label == old, new).otherwise(label)
     if spec.lower_label:

@@ -32,8 +32,8 @@ def test_ports(spark):
     rows = [None, -1.0, 0.0, 20.0, 22.0, 80.0, 255.0, 256.0, 443.0, 1023.0, 1024.0, 1883.0, 49151.0, 49152.0, 57343.0, 57344.0, 65535.0, 65536.0]
     got = values(spark, rows, S.port_service, "double")
     assert got[0] == got[1] == got[-1] == "Other"
-    assert (got[3], got[4], got[5], got[8], got[11]) == ("FTP", "SSH", "HTTP", "HTTPS", "MQTT")
-    assert got[12] == "Registered" and got[13] == got[14] == "Dynamic_Low" and got[15] == got[16] == "Dynamic_High"
+    assert (got[3], got[4], got[5], got[8], got[11]) == ("FTP-Data", "SSH", "HTTP", "HTTPS", "MQTT")
+    assert got[12] == "Registered_1024_49151" and got[13] == got[14] == "Dynamic_49152_57343" and got[15] == got[16] == "Dynamic_57344_65535"
 
 
 def test_rounding_half_even(spark):

@@ -65,7 +65,19 @@ def test_adapters(spark, tmp_path):
     ton = spark.createDataFrame([("1.5K 3", "2", "1K", "normal", "0")], "VGROW string, WRDSK string, RSIZE string, type string, label string")
     assert tuple(adapted(ton, ADAPTERS["ToN_IoT"]).first()) == ("1.5K", 2.0, 1000.0, "normal")
     iot = spark.createDataFrame([("-", "5", "-   Malicious   C&C"), ("-", "5", "-   Malicious   C&C")], "duration string, orig_bytes string, label string")
-    assert [tuple(r) for r in adapted(iot, ADAPTERS["IoT_23"]).collect()] == [("0", "5", "-   Malicious   C&C")]
+    assert [tuple(r) for r in adapted(iot, ADAPTERS["IoT_23"]).collect()] == [(0.0, 5.0, "C&C")]
+    mqtt = tmp_path / "mqtt"
+    mqtt.mkdir()
+    (mqtt / "biflow_scan_A.csv").write_text("ip_src,x,is_attack\n1,2,0\n1,3,1\n")
+    read = lambda p: spark.read.option("header", True).option("recursiveFileLookup", True).csv(str(p))
+    assert [tuple(r) for r in adapted(read(mqtt), ADAPTERS["MQTT_Biflow"]).orderBy("x").collect()] == [("2", "normal"), ("3", "scan_A")]
+    bot = tmp_path / "device"
+    (bot / "mirai_attacks").mkdir(parents=True)
+    (bot / "benign_traffic.csv").write_text("x\n1\n")
+    (bot / "mirai_attacks" / "ack.csv").write_text("x\n2\n")
+    assert {r["label"] for r in adapted(read(bot), ADAPTERS["N_BaIoT"]).collect()} == {"benign_traffic", "mirai_ack"}
+    tmp_path = tmp_path / "evse"
+    tmp_path.mkdir()
     (tmp_path / "EVSE-A-Charging-Flood.csv").write_text("x\n1\n")
     assert adapted(spark.read.option("header", True).csv(str(tmp_path)), ADAPTERS["CICEVSE2024_Macro"]).first()["label"] == "flood"
 
