@@ -82,19 +82,28 @@ def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int, include
     return near.select("key", "label", F.posexplode("near").alias("rank", "x")).select("key", "label", "x.other", "x.other_label", "x.distance", (F.col("rank") + 1).alias("rank"))
 
 
-def approximate_neighbours(df: DataFrame, key: str, label: str, vector: str, k: int, bucket: float, tables: int = 8, reach: float = float("inf")) -> DataFrame:
+def approximate_neighbours(df: DataFrame, key: str, label: str, vector: str, k: int, bucket: float, tables: int = 8, reach: float = float("inf"), include_self: bool = False) -> DataFrame:
     """The same from locality-sensitive buckets, for tables of any size."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(rows)
-    met = model.approxSimilarityJoin(rows, rows, reach, "distance").where("datasetA.key <> datasetB.key")
+    met = model.approxSimilarityJoin(rows, rows, reach, "distance")
+    if not include_self:
+        met = met.where("datasetA.key <> datasetB.key")
     order = Window.partitionBy("key").orderBy("distance", "other")
     flat = met.select("datasetA.key", "datasetA.label", F.col("datasetB.key").alias("other"), F.col("datasetB.label").alias("other_label"), "distance")
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest(df: DataFrame, key: str, label: str, vector: str, k: int, include_self: bool = False, bucket: float = 0.5) -> DataFrame:
+    """``neighbours`` up to the declared number of rows, ``approximate_neighbours`` beyond."""
+    if df.count() <= EXACT_ROWS:
+        return neighbours(df, key, label, vector, k, include_self)
+    return approximate_neighbours(df, key, label, vector, k, bucket, include_self=include_self)
+
+
 def neighbour_count(n: int, most: int = 64) -> int:
     """Neighbours for a table of ``n`` rows."""
     return min(most, max(2, int(math.sqrt(n))))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_share
-from .complexity import neighbours
+from .complexity import nearest, neighbours
 
 
 def tomek_links(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """``key, other``: mutual nearest neighbours of different labels, each pair once."""
-    near = neighbours(df, key, label, vector, 1).where("label <> other_label").select("key", "other")
+    near = nearest(df, key, label, vector, 1).where("label <> other_label").select("key", "other")
     back = near.select(F.col("other").alias("key"), F.col("key").alias("other"))
     return near.join(back, ["key", "other"], "left_semi").where("key < other")
 

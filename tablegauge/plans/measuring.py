@@ -102,7 +102,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, other) AS
 
 
 def _near(spark: SparkSession, d: str, k: int, include_self: bool = False) -> DataFrame:
-    return X.neighbours(table(spark, d, "embeddings"), "vec_id", "label", "embedding", k, include_self)
+    return X.nearest(table(spark, d, "embeddings"), "vec_id", "label", "embedding", k, include_self)
 
 
 @R.add(f"WITH {_NN} SELECT key, round(avg(CASE WHEN label <> other_label THEN 1 ELSE 0 END), 6) AS kdn FROM n WHERE rank <= 22 GROUP BY key")
