@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_share
-from .complexity import nearest, neighbours
+from .complexity import nearest
 
 
 def tomek_links(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
@@ -38,7 +38,7 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: DataFrame, k
     share = lambda tag: hash_share(F.concat(F.col(label).cast("string"), F.lit(tag), F.col("draw").cast("string")), seed)
     plan = plan.withColumn("rank", (F.floor(share("|b|") * F.col("size")) + 1).cast("int")).withColumn("pick", (F.floor(share("|n|") * F.least(F.lit(k), F.col("size") - 1)) + 1).cast("int")).withColumn("at", share("|t|"))
     base = plan.join(rows.select(label, "rank", F.col(key).alias("base"), F.col(vector).alias("v")), [label, "rank"])
-    near = _within(df, key, label, vector, k).select(F.col("key").alias("base"), F.col("rank").alias("pick"), F.col("other").alias("neighbour"))
+    near = nearest(df, key, label, vector, k, within=True).select(F.col("key").alias("base"), F.col("rank").alias("pick"), F.col("other").alias("neighbour"))
     met = base.join(near, ["base", "pick"]).join(df.select(F.col(key).alias("neighbour"), F.col(vector).alias("u")), "neighbour")
     mixed = F.zip_with("v", "u", lambda a, b: a.cast("double") + (b.cast("double") - a.cast("double")) * F.col("at"))
     return met.select(label, "draw", "base", "neighbour", mixed.alias("vector"))
@@ -58,13 +58,3 @@ def _class_order(label: str, key: str, seed: int):
     from ..functions.scalars import hash_key
 
     return Window.partitionBy(label).orderBy(hash_key(F.col(key), seed), F.col(key))
-
-
-def _within(df: DataFrame, key: str, label: str, vector: str, k: int) -> DataFrame:
-    """Neighbours of the same class, ranked."""
-    from pyspark.sql import Window
-
-    n = df.count()
-    near = neighbours(df, key, label, vector, max(1, n - 1)).where("label = other_label")
-    order = Window.partitionBy("key").orderBy("distance", "other")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from tablegauge.operators import difficulty as D
 from tablegauge.operators import encode as E
 from tablegauge.operators import evaluate as V
 from tablegauge.operators import moments as M
+from tablegauge.operators import neighbour_sampling as B
 from tablegauge.operators import profile as P
 from tablegauge.operators import sample as A
 
@@ -129,6 +130,33 @@ def test_approximate_neighbours_find_most(spark):
     assert hit >= 0.9 * exact.count()
 
 
+def test_nearest_is_exact_above_the_broadcast_bound(spark):
+    import numpy as np
+
+    n, k = 5300, 5
+    x = np.random.default_rng(3).normal(size=(n, 6)).round(1)
+    x[5000:5200] = x[7]  # one common vector
+    df = spark.createDataFrame([(i, i % 3, x[i].tolist()) for i in range(n)], "id long, label int, v array<double>")
+    sample = [0, 7, 1234, 5100, 5299]
+    for kept, (own, within) in {"all": (False, False), "self": (True, False), "class": (False, True)}.items():
+        got = {}
+        for r in X.nearest(df, "id", "label", "v", k, own, within).where(F.col("key").isin(sample)).collect():
+            got[r["key"], r["rank"]] = r["other"], r["distance"]
+        for i in sample:
+            d = np.zeros(n)
+            for c in range(x.shape[1]):
+                d += (x[i, c] - x[:, c]) ** 2
+            order = [j for j in np.lexsort((np.arange(n), d)).tolist() if (own or j != i) and (not within or j % 3 == i % 3)][:k]
+            assert [got[i, r + 1] for r in range(k)] == [(j, float(np.sqrt(d[j]))) for j in order], (kept, i)
+
+
+def test_smote_above_the_broadcast_bound(spark):
+    df = spark.range(5100).select("id", (F.col("id") % 2).cast("int").alias("label"), F.array(F.col("id").cast("double")).alias("v"))
+    wanted = spark.createDataFrame([(0, 8), (1, 3)], "label int, n int")
+    made = B.smote(df, "id", "label", "v", wanted, k=2).collect()
+    assert len(made) == 11 and all(abs(r["base"] - r["neighbour"]) in (2, 4) for r in made)
+
+
 def test_pareto_ties(spark):
     rows = [(1, 1.0, 0.5), (2, 1.0, 0.7), (3, 2.0, 0.7), (4, 3.0, 0.9), (5, 3.0, 0.9), (6, 4.0, 0.8)]
     df = spark.createDataFrame(rows, "n int, latency double, f1 double")
