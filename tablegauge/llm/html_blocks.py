@@ -12,8 +12,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is not text of the page.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "textarea", "select", "option", "button"}
-#: Of those, the ones whose content is not markup either.
-_OPAQUE = {"script", "style", "textarea"}
+#: Of those, the ones whose content is not markup either: only their closing tag ends them.
+_OPAQUE = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea")}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "acronym", "source", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An element that ends an open one of these kinds when it starts.
@@ -62,8 +62,7 @@ def read(page: str) -> list[Block | Media]:
     out: list[Block | Media] = []
     path: list[Element] = []
     text: list[str] = []
-    linked = number = raw = 0
-    opaque = ""
+    linked = number = raw = at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -74,7 +73,8 @@ def read(page: str) -> list[Block | Media]:
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         close, tag, rest, words = m.groups()
         if tag is None:
             if words is not None and not raw:
@@ -83,11 +83,6 @@ def read(page: str) -> list[Block | Media]:
                     linked += len(words.strip())
             continue
         tag = tag.lower()
-        if opaque:
-            if close and tag == opaque:
-                opaque = ""
-            else:
-                continue
         if tag not in INLINE:
             flush()
         elif tag == "br":
@@ -95,12 +90,12 @@ def read(page: str) -> list[Block | Media]:
                 text.append("\n")
             continue
         if close:
-            at = next((k for k in range(len(path) - 1, -1, -1) if path[k].tag == tag), None)
-            if at is not None and (tag not in INLINE or all(e.tag in INLINE for e in path[at:])):
+            k = next((k for k in range(len(path) - 1, -1, -1) if path[k].tag == tag), None)
+            if k is not None and (tag not in INLINE or all(e.tag in INLINE for e in path[k:])):
                 if tag not in INLINE:
-                    del path[at:]
+                    del path[k:]
                 else:
-                    del path[at]
+                    del path[k]
                 raw = sum(e.tag in RAW for e in path)
             continue
         if tag in _CLOSES:
@@ -125,6 +120,7 @@ def read(page: str) -> list[Block | Media]:
         path.append(element)
         raw += tag in RAW
         if tag in _OPAQUE:
-            opaque = tag
+            end = _OPAQUE[tag].search(page, at)
+            at = end.start() if end else len(page)
     flush()
     return out

@@ -132,6 +132,12 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+@pytest.mark.parametrize("opaque", ["<script>for(i=0;i<n;i++){f(i)}</script>", "<SCRIPT>if (a<b) s = \"it's\"</Script >", "<script>var q = 'a<b\"</script>", "<style>a<b{content:'\"'}</style>", "<script>x</scripts><y</script>"])
+def test_scripts_with_comparisons_and_quotes(opaque):
+    page = f"<html><head>{opaque}</head><body><article><p>First, with text.</p>{opaque}<p>Second, with text.</p></article></body></html>"
+    assert html_extract.main_text(page) == "First, with text.\n\nSecond, with text."
+
+
 def test_reader_keeps_order_and_media():
     found = read('<p>a</p><figure><img src="media:1" alt="x"><figcaption>cap</figcaption></figure><p>b</p>')
     assert [x.text if isinstance(x, Block) else x.source for x in found] == ["a", "media:1", "cap", "b"] and isinstance(found[1], Media)
