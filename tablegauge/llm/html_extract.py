@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,15 @@ from .html_blocks import Block, Element, read
 CERTAIN = 1 << 20
 CONTENT_TAGS = {"article": 260, "main": 200, "p": 60, "h1": 70, "h2": 40, "h3": 30, "blockquote": 40, "pre": 40, "td": 5, "li": -10, "figcaption": 20}
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
-#: Parts of class names, ids and roles that name boilerplate, or content.
-BOILER_NAMES = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|sidebar|side|aside|ads?|advert\w*|adverts?|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|disqus|respond|widget|toolbar|copyright|legal|skip|pagination|pager|search|contentinfo|complementary)(?=$|[\s_-]|\d)", re.I)
+#: Whole class names, ids and roles that name boilerplate: its words, alone or with words of place and shape.
+_WORD = r"(?:nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|sidebar|side|aside|ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|reply|disqus|respond|widget|toolbar|copyright|legal|skip|pagination|pager|search|contentinfo|complementary)\d*"
+_PLACE = r"(?:site|global|top|bottom|left|right|main|primary|secondary|box|bar|list|links?|container|wrap|wrapper|section|area|block|inner|outer|\d+)"
+BOILER_NAMES = re.compile(rf"(?<!\S)(?:{_PLACE}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLACE}))*(?!\S)", re.I)
+#: Parts of them that name content.
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|story|post|entry|body|text)(?=$|[\s_-]|\d)", re.I)
 NEXT, NEAR = 24, 40
+#: Cost of being content under a name of boilerplate; long text under content's tags and names outweighs it.
+NAMED = 280
 
 
 def _names(e: Element) -> str:
@@ -35,24 +40,43 @@ def _names(e: Element) -> str:
     return " ".join((a.get("class", ""), a.get("id", ""), a.get("role", ""))).strip() if a else ""
 
 
-def costs(block: Block) -> tuple[int, int]:
-    """Cost of calling the block boilerplate, and of calling it content."""
-    content, boiler = 40, 40
+def wrappers(blocks: list[Block]) -> set[int]:
+    """Numbers of the elements that hold an article or the main element."""
+    out: set[int] = set()
+    for b in blocks:
+        inner = max((k for k, e in enumerate(b.path) if e.tag in ("article", "main")), default=0)
+        out.update(e.number for e in b.path[:inner])
+    return out
+
+
+def costs(block: Block, wrapping: Collection[int] = ()) -> tuple[int, int]:
+    """Cost of calling the block boilerplate, and of calling it content.
+
+    An element of boilerplate's kind is certain, unless it is among the ``wrapping`` ones.
+    A name costs what is inside it, whatever holds it; an article inside halves that and
+    the main element ends it, as the name is then of the layout around them.
+    """
+    content, boiler, named = 40, 40, 0
     inside = False
     for e in block.path:
         names = _names(e)
         if e.tag in ("article", "main"):
             inside = True
+            named = named // 2 if e.tag == "article" else 0
         if e.tag in BOILER_TAGS or e.tag == "header" and not inside:
-            return 0, CERTAIN
-        if names and BOILER_NAMES.search(names):
-            if e.tag not in ("html", "body", "article", "main"):
+            if e.number not in wrapping:
                 return 0, CERTAIN
+            if e.tag in ("nav", "footer", "aside", "menu"):
+                content, named = 40, named + NAMED
+        elif names and BOILER_NAMES.search(names):
+            if e.tag not in ("html", "body", "article", "main"):
+                content, named = 40, named + NAMED
         elif names and CONTENT_NAMES.search(names):
             content += 80
         gain = CONTENT_TAGS.get(e.tag, 0)
         content += max(0, gain)
         boiler += max(0, -gain)
+    boiler += named
     n = len(block.text)
     content += min(n, 300) // 3
     content += 6 * min(10, sum(block.text.count(c) for c in ".,;:!?"))
@@ -139,7 +163,8 @@ def main_text(page: str) -> str:
     blocks = [b for b in read(page) if isinstance(b, Block)]
     if not blocks:
         return ""
-    keep = minimum_cut([costs(b) for b in blocks], edges(blocks))
+    wrapping = wrappers(blocks)
+    keep = minimum_cut([costs(b, wrapping) for b in blocks], edges(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

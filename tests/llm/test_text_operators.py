@@ -138,6 +138,20 @@ def test_scripts_with_comparisons_and_quotes(opaque):
     assert html_extract.main_text(page) == "First, with text.\n\nSecond, with text."
 
 
+@pytest.mark.parametrize("around", ['<div class="layout has-sidebar">{}</div>', '<div id="content" class="with-sidebar">{}</div>', '<div class="sidebar"><main>{}</main></div>', '<form id="aspnetForm">{}</form>', '<aside>{}</aside>'])
+def test_names_and_elements_around_an_article(around):
+    words = "A sentence of the article, with some length, goes here. " * 4
+    article = f'<article><div class="post-header"><h1>The title</h1></div><p>{words}</p><p>{words}</p><div class="comments"><p>{words}</p></div></article>'
+    page = f'<html><body><div class="ad-box"><p>{words}</p></div>{around.format(article)}<nav><p>{words}</p></nav><div class="sidebar left"><p>{words}</p></div></body></html>'
+    assert html_extract.main_text(page) == "\n\n".join(["The title", words.strip(), words.strip()])
+
+
+def test_names_can_be_outvoted_and_are_not_alone():
+    words = "A sentence of the text, with some length, goes here. " * 6
+    assert html_extract.main_text(f'<body><div class="side"><div class="story-text"><p>{words}</p></div></div></body>') == words.strip()
+    assert html_extract.main_text(f'<body><div class="side"><p>{words}</p></div></body>') == ""
+
+
 def test_reader_keeps_order_and_media():
     found = read('<p>a</p><figure><img src="media:1" alt="x"><figcaption>cap</figcaption></figure><p>b</p>')
     assert [x.text if isinstance(x, Block) else x.source for x in found] == ["a", "media:1", "cap", "b"] and isinstance(found[1], Media)
