@@ -5,8 +5,9 @@ a document is read as overlapping windows of ``2u`` shingles, ``u`` apart, so an
 an item's length lies inside one window and a contained item's Jaccard similarity to it
 is bounded from below: with containment ``c``, at least ``c n / (2u + (1 - c) n)``, above
 ``c / (5 - c)``. One band per MinHash function then misses a contained item with a
-probability of at most ``(1 - c / (5 - c)) ** bands``. Candidates are verified by exact shingle
-containment in the whole document.
+probability of at most ``(1 - c / (5 - c)) ** bands``. The smallest partition's windows are
+wider than items of few shingles ask for, so those are looked up by their shingles' hashes,
+which misses none. Candidates are verified by exact shingle containment in the whole document.
 
 Items are taken in blocks of a bounded number, so the broadcast has a size bound whatever
 the benchmark: a larger benchmark makes more passes.
@@ -27,6 +28,8 @@ from .common import Words, as_bytes, chunks, grams, mix
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 64
 #: Items of one pass; at most about 1 kB each of signatures and shingle hashes, by size.
 BLOCK_ITEMS = 20_000
+#: Items of so many shingles are looked up; the smallest partition holds those of up to twice as many.
+FEW = 4
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -47,18 +50,22 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, bytes]], n: int, bands: int):
         self.n, self.bands = n, bands
-        self.short: dict[int, list[int]] = {}  # items of fewer than n words, by word count
+        self.short_hash: dict[int, dict[int, list[int]]] = {}  # looked-up items, by words a shingle and its hash
         self.items = [(i, s) for i, t in items if (s := item_shingles(t, n))]
         self.by_size: dict[int, list[int]] = {}
         hashed = []
         for k, (_, shingles) in enumerate(self.items):
             words = Words([shingles[0]])
             if len(words.hash) < n:
-                self.short.setdefault(len(words.hash), []).append(k)
                 hashed.append(grams(words.hash, len(words.hash)))
-                continue
-            hashed.append(np.concatenate([grams(Words([s]).hash, n) for s in shingles]))
-            self.by_size.setdefault(1 << max(3, int(len(shingles) - 1).bit_length()), []).append(k)
+            else:
+                hashed.append(np.concatenate([grams(Words([s]).hash, n) for s in shingles]))
+            if len(shingles) <= FEW:
+                by_hash = self.short_hash.setdefault(min(n, len(words.hash)), {})
+                for h in set(hashed[-1].tolist()):
+                    by_hash.setdefault(h, []).append(k)
+            else:
+                self.by_size.setdefault(max(2 * FEW, 1 << int(len(shingles) - 1).bit_length()), []).append(k)
         self.hashed = hashed
         seeds = _seeds(bands)
         # for each size and band: sorted minima, the item of each, and which leading bits occur
@@ -73,7 +80,6 @@ class ItemIndex:
                 marked[minima >> np.uint64(48)] = True
                 table.append((minima[order], where[order], marked))
             self.tables[size] = table
-        self.short_hash = {w: {int(self.hashed[k][0]): [j for j in ks if self.hashed[j][0] == self.hashed[k][0]] for k in ks} for w, ks in self.short.items()}
 
     def candidates(self, words: Words) -> set[tuple[int, int]]:
         """``(text, item)`` pairs that share a minimum with a window."""

@@ -148,6 +148,14 @@ def test_clean_drops_just_the_contaminated(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 3] and out.columns == docs.columns
 
 
+def test_items_of_few_shingles_are_never_missed(spark):
+    say = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    docs = [(i, say(i, 60)) for i in range(600)]
+    items = [(i, " ".join(docs[i][1].split()[: 5 + i % 4])) for i in range(600)]
+    got = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in got.collect()) == [(i, i, 1 + i % 4, 1 + i % 4) for i in range(600)]
+
+
 # --- 3 ----------------------------------------------------------------------------------------------
 
 
