@@ -334,6 +334,28 @@ def test_dedup_stage_keeps_columns_and_null_ids(spark):
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    say = lambda n: " ".join(f"k{rnd.randrange(3000)}" for _ in range(n))
+    docs = [(i, say(200)) for i in range(60)]
+    for i in range(60, 140):  # copies of the last forty, of which up to four words differ; some groups' originals have larger ids
+        words = docs[20 + i % 40][1].split()
+        for at in rnd.sample(range(200), rnd.randrange(1, 5)):
+            words[at] = "other"
+        docs.append((i if i % 3 else -i, " ".join(words)))
+    docs += [(500, ""), (501, None), (502, "two words"), (503, "Two  words")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in docs}
+    component = {i: i for i in sets}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(component[a] != component[b] for a, b in close):
+        for a, b in close:
+            component[a] = component[b] = min(component[a], component[b])
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates_out(spark, table(spark, docs), "").collect()}
+    assert left == set(component.values()) and len(left) < 70
+
+
 def test_stages_over_a_small_corpus(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 
