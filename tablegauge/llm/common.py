@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,9 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, a temporary one for a local master.
+
+    Raises ``RuntimeError`` on a cluster that names no shared folder.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -128,14 +139,69 @@ def as_bytes(value: bytes | None) -> bytes:
     return b"" if value is None else bytes(value)
 
 
+def text_groups(batch: pa.RecordBatch, column: str, step: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of an Arrow batch of about ``step`` bytes of text each, and their texts; null is empty."""
+    text = batch.column(column)
+    if not pa.types.is_binary(text.type):
+        text = pc.cast(pc.cast(text, pa.string()), pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+        yield batch.slice(at, to - at), [b"" if t is None else t for t in text.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def with_computed(rows: DataFrame, compute: Callable[[list[bytes]], dict], schema: str, text_col: str = "text", keep: bool = False) -> DataFrame:
+    """``rows`` with the columns that ``compute`` makes of their texts in place of ``text_col`` (beside it: ``keep``).
+
+    ``compute`` gets some texts as bytes and returns the columns of ``schema`` by name. All
+    else passes as Arrow, so 64-bit ids stay exact beside nulls. Rows keep their number.
+    """
+    names = [c for c in rows.columns if keep or c != text_col]
+    made = StructType.fromDDL(schema)
+    fields = to_arrow_schema(made)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_groups(batch, text_col):
+                columns = compute(texts)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(columns[f.name], f.type) for f in fields], names + fields.names)
+
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in names] + made.fields))
+
+
+def filtered(docs: DataFrame, text_col: str, stays: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``stays`` says so, with all their columns."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_groups(batch, text_col):
+                yield part.filter(pa.array(np.asarray(stays(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text``: ids as longs, texts as bytes."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+
 class Memory(dict):
-    """A dictionary of bounded size that forgets what was not asked for of late."""
+    """A dictionary of bounded size that forgets what was not asked for of late.
+
+    Keys of over ``LONGEST`` characters are not kept, which bounds its bytes.
+    """
+
+    LONGEST = 64
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

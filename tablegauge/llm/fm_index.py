@@ -1,15 +1,18 @@
-"""A compressed full-text index over word ids: suffix order, BWT and wavelet matrix.
+"""A compressed full-text index over word ids: a BWT in a wavelet matrix, and bit vectors.
 
-Built for one bounded shard of short segments. Segments are followed by separators that
-compare by position, so no match reaches from one segment into the next.
+Built for one bounded shard of short segments, each followed by a separator that no
+pattern holds. Rows are ordered by their first ``window`` symbols only, which is all that
+backward search for patterns of up to that length looks at. What stays after building is
+the wavelet matrix, two bit vectors that mark where the first ``window - 1`` and ``window``
+symbols change, and one sampled position, the earliest, for each window that occurs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Most symbols of a shard, separators included: three of them fit one 63-bit sort key.
-MOST = 1 << 21
+#: Most symbols of a shard, separators included: three ranks fit one 63-bit sort key.
+MOST = (1 << 20) - 1
 
 
 class BitRank:
@@ -20,7 +23,8 @@ class BitRank:
         padded = np.zeros((n // 64 + 1) * 64, np.uint8)
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]
+        self.before = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.before[1:])
         self.zeros = n - int(self.before[-1])
 
     def ones(self, i: np.ndarray) -> np.ndarray:
@@ -37,15 +41,15 @@ class WaveletMatrix:
         self.levels: list[tuple[int, BitRank]] = []
         seq = symbols
         for b in range(max(1, int(alphabet - 1).bit_length()) - 1, -1, -1):
-            bit = ((seq >> b) & 1).astype(np.uint8)
+            bit = (seq >> b & 1).astype(bool)
             self.levels.append((b, BitRank(bit)))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
-        self.base = self._descend(np.arange(alphabet), np.zeros(alphabet, np.int64))
+            seq = np.concatenate([seq[~bit], seq[bit]])
+        self.base = self._descend(np.arange(alphabet, dtype=np.int32), np.zeros(alphabet, np.int32))
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for b, level in self.levels:
             ones = level.ones(i)
-            i = np.where((c >> b) & 1, level.zeros + ones, i - ones)
+            i = np.where(c >> b & 1, level.zeros + ones, i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -53,89 +57,90 @@ class WaveletMatrix:
         return self._descend(c, i) - self.base[c]
 
 
-def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted positions, and the dense rank of each position's key."""
-    order = np.argsort(key)
-    ranked = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
-    return order, rank
+def _joined(rank: np.ndarray, a: int, b: int, bits: int) -> np.ndarray:
+    """Sort keys of the ranks at each position, ``a`` and ``b`` further on; there is nothing but rank 0 after the end."""
+    key = rank.astype(np.int64) << 2 * bits
+    key[: len(rank) - a] |= rank[a:].astype(np.int64) << bits
+    key[: len(rank) - b] |= rank[b:]
+    return key
+
+
+def _changes(key: np.ndarray) -> np.ndarray:
+    out = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=out[1:])
+    return out
 
 
 class FMIndex:
     """Backward search over a shard of segments.
 
-    ``words`` are ids from 1 on, segment after segment; ``sizes`` the words of each.
-    ``window`` (3 or more) is the match length at which statistics are capped.
+    ``words`` are ids from 1 on, segment after segment; ``sizes`` the words of each, one
+    at least. ``window`` (3 or more) is the match length at which statistics are capped.
     """
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, window: int):
         if window < 3:
             raise ValueError("a window has three words at least")
-        self.window = window
         ends = np.cumsum(sizes + 1)
         n = int(ends[-1])
         if n > MOST:
             raise ValueError("a shard is too large")
+        self.window = window
         self.first = ends - sizes - 1  # where each segment begins in the text
         self.sizes = sizes
-        sep = np.zeros(n, bool)
-        sep[ends - 1] = True
-        text = np.zeros(n, np.int64)
-        text[~sep] = words
-        self.text = text
-        # separators rank first, by position; then words by id
-        rank = np.where(sep, np.cumsum(sep) - 1, text + len(sizes) - 1)
-        _, rank = _order(rank)
-        padded = np.r_[rank + 1, 0, 0]
-        order, rank = _order((padded[:-2] << 42) | (padded[1:-1] << 21) | padded[2:])
-        done, capped = 3, None
-        while done < window or int(rank.max()) + 1 < n:
-            if capped is None and 2 * done > window:
-                capped, at = rank, done
-            later = np.zeros(n, np.int64)
-            later[: max(0, n - done)] = rank[done:] + 1
-            order, rank = _order(rank * (n + 1) + later)
-            done *= 2
-        if capped is None:
-            capped, at = rank, done
-        self.order = order
-        # rows whose suffixes share their first `window` symbols
-        a = capped[order]
-        b = np.r_[capped, np.full(window, -1)][order + (window - at)]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        starts = np.flatnonzero(new)
-        self.class_of = np.cumsum(new) - 1
-        self.class_start = starts
-        self.class_size = np.diff(np.r_[starts, n])
-        self.earliest = np.minimum.reduceat(order, starts)
-        bwt = text[order - 1]  # before the first symbol stands the last separator
-        alphabet = int(text.max()) + 1
-        self.less = np.searchsorted(text[order], np.arange(alphabet), "left")
-        self.wavelet = WaveletMatrix(bwt, alphabet)
-
-    def window_rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Text positions of all windows inside segments, and a row of each one's interval.
-
-        Every segment is streamed from its end, all in step: each symbol extends the match
-        to the left by one rank query, and a match longer than the window is cut back to
-        the interval of its first ``window`` symbols.
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        self.text = np.zeros(n, np.int32)
+        self.text[inside] = words
+        bits, length, rank = n.bit_length(), 1, self.text
+        while 3 * length < window:  # ranks of the symbols at hand, then of three times as many
+            key = _joined(rank, length, 2 * length, bits)
+            order = np.argsort(key)
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(_changes(key[order])) - 1
+            length *= 3
+        # three runs of that length, overlapping, make up a window, and one word less
+        key = _joined(rank, min(length, window - length), window - length, bits)
+        order = np.argsort(key)
+        new = _changes(key[order])
+        shorter = _joined(rank, min(length, window - 1 - length), window - 1 - length, bits)[order]
+        less = _changes(shorter)
+        del key, shorter, rank
+        order = order.astype(np.int32)
+        self.starts = np.flatnonzero(new).astype(np.int32)
+        self.occurrences = np.diff(self.starts, append=np.int32(n))
+        self.earliest = np.minimum.reduceat(order, self.starts)
+        self.windows, self.prefixes = BitRank(new), BitRank(less)
+        self.prefix_starts = np.flatnonzero(less).astype(np.int32)
+        alphabet = int(self.text.max()) + 1
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=alphabet))[:-1]]).astype(np.int32)
+        self.wavelet = WaveletMatrix(self.text[order - 1], alphabet)  # before the first symbol stands the last separator
+
+    def search(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text positions of all windows inside segments, and the number of each one's interval.
+
+        Intervals are ``starts[k] .. starts[k] + occurrences[k]``. Every segment is streamed
+        from its end, all in step: each symbol extends the match to the left by one rank
+        query, and a match of the window's length is first cut back by its last symbol, to
+        the interval of the rest. A segment of the shard occurs at least as itself, so no
+        interval is empty and its lower end is enough to follow.
         """
         w = self.window
-        position, rows = [], []
-        row = np.zeros(len(self.sizes), np.int64)
+        position, found = [], []
+        row = np.zeros(len(self.sizes), np.int32)
         longest_first = np.argsort(-self.sizes, kind="stable")
-        sizes, first = self.sizes[longest_first], self.first[longest_first]
+        sizes, last = self.sizes[longest_first], (self.first + self.sizes)[longest_first] - 1
         for t in range(int(sizes[0]) if len(sizes) else 0):
             active = int(np.searchsorted(-sizes, -t, "left"))  # segments of more than t words
-            p = first[:active] + sizes[:active] - 1 - t
+            p, low = last[:active] - t, row[:active]
             c = self.text[p]
-            lo = self.less[c] + self.wavelet.rank(c, row[:active])
+            if t >= w:
+                low = self.prefix_starts[self.prefixes.ones(low + 1) - 1]
+            low = self.less[c] + self.wavelet.rank(c, low)
             if t + 1 >= w:
-                lo = self.class_start[self.class_of[lo]]
                 position.append(p)
-                rows.append(lo)
-            row[:active] = lo
+                found.append(self.windows.ones(low + 1) - 1)
+            row[:active] = low
         if not position:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(position), np.concatenate(rows)
+        return np.concatenate(position), np.concatenate(found)

@@ -9,10 +9,15 @@ once in the corpus are dropped before any text moves.
 In each shard an FM-index over its segments is built, and every segment is streamed
 through it by backward search, which gives each window's interval of occurrences and the
 earliest of them. A word is removed if a window covers it whose text also starts earlier.
+Words are told apart by their bytes; hashes only deal them out.
 
-Minimizers with more words around them than one shard holds (``hot_words``) are taken apart: their
-windows are dealt out singly by their whole content and a salt, each salted shard keeps the
-first of its copies, and only those few meet in a second round.
+Minimizers with more words around them than one shard holds (``shard_words``) are taken apart: their
+windows are dealt out singly by their whole content and a salt. A task that meets the same
+such window again knows it for a repeat and does not send it on; each salted shard keeps
+the first of its copies, and only those few meet in a second round.
+
+A document is an id with a text. Ids order documents; where rows of one id have different
+texts, the hash of the text orders them.
 """
 
 from __future__ import annotations
@@ -22,20 +27,30 @@ from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import Words, as_bytes, chunks, fan_out, grams, mix, written
+from .common import Words, document_rows, fan_out, grams, text_groups, word_spans, written
 from .fm_index import FMIndex
 
-#: With what a shard already holds, HOT_WORDS fit the largest one an index takes (2**21).
-WINDOW, GRAM, HOT_WORDS = 20, 5, 1_800_000
-#: Rows of one hot window that a task holds before it drops copies.
-HOLD_ROWS = 50_000
-#: Words of one shard that joins several minimizers.
-SHARD_WORDS = 1_200_000
+WINDOW, GRAM = 20, 5
+#: Words of one shard.
+SHARD_WORDS = 250_000
+#: Bytes of windows of frequent minimizers that a task remembers.
+SEEN_BYTES = 1 << 23
+_SEGMENT = "key long, doc_id long, tx long, start int, n int, hot boolean, words binary"
+_FOUND = "doc_id long, tx long, start int, n int, words binary"
+#: The Arrow types of these columns.
+_ARROW = {"key": pa.int64(), "doc_id": pa.int64(), "tx": pa.int64(), "start": pa.int32(), "n": pa.int32(), "hot": pa.bool_(), "words": pa.binary()}
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[c]) for c, v in columns.items()], list(columns))
 
 
 def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -72,257 +87,266 @@ def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[n
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """``key, doc_id, start, n, inner`` of every run of every document."""
+    """``key, doc_id, tx, start, n, inner`` of every run of every document."""
 
-    def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in chunks(zip(batch["doc_id"], map(as_bytes, batch["text"]), strict=True)):
-                own, key, start, n, inner = window_runs(Words([g[1] for g in group]), window)
-                ids = np.array([g[0] for g in group], np.int64)
-                yield pd.DataFrame({"key": key, "doc_id": ids[own], "start": start.astype(np.int32), "n": n.astype(np.int32), "inner": inner.astype(bool)})
+            for part, texts in text_groups(batch, "text"):
+                own, key, start, n, inner = window_runs(Words(texts), window)
+                doc, tx = (part.column(c).to_numpy()[own] for c in ("doc_id", "tx"))
+                out = _batch(key=key, doc_id=doc, tx=tx, start=start, n=n, hot=inner.astype(bool))
+                yield out.rename_columns([*out.schema.names[:-1], "inner"])
 
-    return docs.mapInPandas(find, "key long, doc_id long, start int, n int, inner boolean")
+    return docs.mapInArrow(find, "key long, doc_id long, tx long, start int, n int, inner boolean")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """``doc_id, packed``: texts compressed before they are shuffled."""
+    """``docs`` with ``packed`` in place of ``text``: texts compressed before they are shuffled."""
+    names = [c for c in docs.columns if c != "text"]
 
-    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [None if t is None else squeeze(bytes(t)) for t in batch["text"]]})
+            for part, texts in text_groups(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array([squeeze(t) for t in texts], pa.binary())], [*names, "packed"])
 
-    return docs.select("doc_id", "text").mapInPandas(pack, "doc_id long, packed binary")
+    return docs.mapInArrow(pack, StructType([docs.schema[c] for c in names] + [StructField("packed", docs.schema["text"].dataType)]))
 
 
 def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> DataFrame:
-    """``key, doc_id, start, n, hot, words``: the words under each run.
+    """The words under each run: ``key, doc_id, tx, start, n, hot, words``.
 
-    A hot run gives a row for each window, keyed by its whole content and a salt.
+    A hot run gives a row for each window, keyed by its whole content and a salt; one that
+    the task has met in an earlier document, or earlier in the same, has no words.
     """
-    wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("runs"))
+    # a set: rows that repeat a document repeat its runs
+    wanted = runs.groupBy("doc_id", "tx").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs"))
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        seen: dict[bytes, tuple[int, int, int]] = {}
+        held = 0
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                out = []
-                for doc, packed, found in zip(*(batch[c].iloc[at : at + 200] for c in ("doc_id", "packed", "runs")), strict=True):
-                    words = unpack(bytes(packed)).split()
-                    salt = np.uint64(doc % salts)
-                    for r in found:
-                        s, n = int(r["start"]), int(r["n"])
-                        if s + n + window - 1 > len(words):
-                            continue  # the run is of another text of the same id
-                        part = words[s : s + n + window - 1]
-                        if not r["hot"]:
-                            out.append((int(r["key"]), doc, s, n, False, b" ".join(part)))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                column = part.column("runs")
+                many = column.value_lengths().to_numpy(zero_copy_only=False)
+                flat = column.flatten()
+                start, n, key, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key", "hot"))
+                out: list[tuple] = []
+                low = 0
+                for doc, tx, packed, high in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tx", "packed")), np.cumsum(many).tolist(), strict=True):
+                    words = unpack(packed).split()
+                    for r in (low + np.argsort(start[low:high])).tolist():
+                        s, m = int(start[r]), int(n[r])
+                        if not hot[r]:
+                            out.append((int(key[r]), doc, tx, s, m, False, b" ".join(words[s : s + m + window - 1])))
                             continue
-                        keys = mix(grams(Words([b" ".join(part)]).hash, window) + salt).view(np.int64)
-                        out += [(int(k), doc, s + i, 1, True, b" ".join(part[i : i + window])) for i, k in enumerate(keys)]
-                yield pd.DataFrame(out, columns=["key", "doc_id", "start", "n", "hot", "words"])
-
-    joined = _packed(docs).join(wanted, "doc_id").select("doc_id", "packed", "runs")
-    return joined.mapInPandas(cut, "key long, doc_id long, start int, n int, hot boolean, words binary")
-
-
-def _search(shard: pd.DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment, window in the segment and whether it also starts earlier, over one shard."""
-    shard = shard.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-    words = Words([as_bytes(w) for w in shard["words"]])
-    _, ids = np.unique(words.hash, return_inverse=True)
-    index = FMIndex(ids + 1, words.last - words.first, window)
-    position, row = index.window_rows()
-    group = index.class_of[row]
-    early = index.earliest[group]
-    segment = np.searchsorted(index.first, position, "right") - 1
-    other = np.searchsorted(index.first, early, "right") - 1
-    doc, start = shard["doc_id"].to_numpy(), shard["start"].to_numpy()
-    offset = position - index.first[segment]
-    a, b = start[segment] + offset, start[other] + early - index.first[other]
-    again = (index.class_size[group] > 1) & ((doc[other] < doc[segment]) | ((doc[other] == doc[segment]) & (b < a)))
-    return segment, offset, again
-
-
-def _shards(batches: Iterable[pd.DataFrame], hold_rows: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | None]]:
-    """Cut a partition, sorted by key, into shards of whole keys and a bounded number of words.
-
-    Beside each come hot windows already known to repeat: of a key with more than
-    ``hold_rows`` rows at hand, only the first of equal windows is held on to.
-    """
-    held, size = [], 0
-    rest: pd.DataFrame | None = None
-    gone: list[pd.DataFrame] = []
-
-    def shard() -> tuple[pd.DataFrame, pd.DataFrame | None]:
-        out = pd.concat(held, ignore_index=True), pd.concat(gone, ignore_index=True) if gone else None
-        held.clear()
-        gone.clear()
-        return out
-
-    for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        key = batch["key"].to_numpy()
-        edges = np.flatnonzero(np.r_[key[1:] != key[:-1], False]) + 1  # the last key may go on
-        at = 0
-        length = np.cumsum(np.r_[0, batch["n"].to_numpy(np.int64) + WINDOW])
-        for e in edges:
-            if size and size + length[e] - length[at] > SHARD_WORDS:
-                yield shard()
-                size = 0
-            held.append(batch.iloc[at:e])
-            size += int(length[e] - length[at])
-            at = e
-        rest = batch.iloc[at:]
-        if len(rest) > hold_rows:
-            rest = rest.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-            again = rest["hot"].to_numpy(bool) & rest.duplicated("words").to_numpy()
-            if again.any():
-                gone.append(rest.loc[again, ["doc_id", "start", "n"]])
-                rest = rest[~again]
-    if rest is not None and len(rest):
-        if size and size + int(rest["n"].sum()) + WINDOW * len(rest) > SHARD_WORDS:
-            yield shard()
-        held.append(rest)
-    if held:
-        yield shard()
-
-
-def _round(segments: DataFrame, window: int, hold_rows: int) -> DataFrame:
-    """One round over ``segments(key, doc_id, start, n, hot, words)``.
-
-    Returns ``doc_id, start, n, words``: runs of windows that also start earlier, without
-    words, and the hot windows that are the first of their shard, with them.
+                        for p in range(s, s + m):
+                            content = b" ".join(words[p : p + window])
+                            first = seen.setdefault(content, (doc, tx, p))
+                            if first < (doc, tx, p):
+                                out.append((doc, doc, tx, p, 1, True, None))
+                                continue
+                            held += len(content)
+                            out.append((xxhash.xxh64_intdigest(content, doc % salts) - (1 << 63), doc, tx, p, 1, True, content))
+                    low = high
+                    if held > SEEN_BYTES:
+                        seen, held = {}, 0
+                if out:
+                    yield _batch(**dict(zip(_ARROW, zip(*out, strict=True), strict=True)))
+
+    joined = _packed(docs).join(wanted, ["doc_id", "tx"]).select("doc_id", "tx", "packed", "runs")
+    return joined.sortWithinPartitions("doc_id", "tx").mapInArrow(cut, _SEGMENT)
+
+
+class _Shard:
+    """Segments in the order of their documents, and which of their windows also start earlier."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        doc, tx, start, key = (rows.column(c).to_numpy() for c in ("doc_id", "tx", "start", "key"))
+        order = np.lexsort((key, start, tx, doc))
+        doc, tx, start, key = doc[order], tx[order], start[order], key[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (tx[1:] != tx[:-1]) | (start[1:] != start[:-1]) | (key[1:] != key[:-1])]  # rows repeat
+        self.rows = rows.take(pa.array(order[new])).combine_chunks()
+        self.doc, self.tx, self.start = doc[new], tx[new], start[new]
+        sizes = self.rows.column("n").to_numpy().astype(np.int64) + (window - 1)
+        index = FMIndex(_word_ids(self.rows.column("words").combine_chunks()), sizes, window)
+        position, found = index.search()
+        again = (index.occurrences[found] > 1) & (index.earliest[found] < position)
+        position = np.sort(position[again])
+        self.segment = np.searchsorted(index.first, position, "right") - 1
+        self.offset = position - index.first[self.segment]
+
+    def repeats(self) -> pa.RecordBatch:
+        """Runs of windows that also start earlier."""
+        segment, offset = self.segment, self.offset
+        first = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(segment) else np.zeros(0, np.int64)
+        own = segment[first]
+        return _batch(doc_id=self.doc[own], tx=self.tx[own], start=self.start[own] + offset[first], n=np.diff(first, append=len(segment)), words=[None] * len(first))
+
+    def firsts(self, hot: bool = False) -> pa.Table:
+        """Segments with a window that is the first of its kind; the ``hot`` ones are single windows."""
+        gone = np.bincount(self.segment, minlength=self.rows.num_rows)
+        left = self.rows.filter(pa.array(gone < self.rows.column("n").to_numpy()))
+        return left.filter(left.column("hot")) if hot else left
+
+
+def _word_ids(texts: pa.Array) -> np.ndarray:
+    """Ids from 1 on of the words of all texts, which are joined by single spaces."""
+    raw = b" ".join(texts.to_pylist()) + b" "
+    start, _ = word_spans(np.frombuffer(raw, np.uint8))
+    ends = np.append(start, len(raw)).astype(np.int32)
+    # each word with the space after it, so that the buffer itself is the array's
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    return words.dictionary_encode().indices.to_numpy() + 1
+
+
+def _round(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """``doc_id, tx, start, n, words`` of one round over ``segments``.
+
+    Runs of windows that also start earlier have no words; the hot windows that are the
+    first of their shard have them. A partition, sorted by key, is cut into shards of whole
+    keys. Where one key is too much for a shard, only segments that hold a first window
+    stay for those that follow.
     """
 
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard, gone in _shards(batches, hold_rows):
-            if gone is not None:
-                yield gone.assign(words=None)
-            shard = shard.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-            segment, offset, again = _search(shard, window)
-            rest = shard.iloc[np.setdiff1d(np.flatnonzero(shard["hot"].to_numpy(bool)), segment[again])]
-            segment, offset = segment[again], offset[again]
-            order = np.lexsort((offset, segment))
-            segment, offset = segment[order], offset[order]
-            new = np.r_[True, (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(segment) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            yield pd.DataFrame(
-                {
-                    "doc_id": shard["doc_id"].to_numpy()[segment[first]],
-                    "start": (shard["start"].to_numpy()[segment[first]] + offset[first]).astype(np.int32),
-                    "n": np.diff(np.r_[first, len(segment)]).astype(np.int32),
-                    "words": None,
-                }
-            )
-            if len(rest):
-                yield rest[["doc_id", "start", "n", "words"]]
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, limit = None, 2 * shard_words
+        for batch in batches:
+            known = batch.filter(pc.is_null(batch.column("words")))
+            if known.num_rows:
+                yield known.select(["doc_id", "tx", "start", "n", "words"])
+            more = pa.Table.from_batches([batch]).filter(pc.is_valid(batch.column("words")))
+            rest = more if rest is None else pa.concat_tables([rest, more])
+            while rest.num_rows:
+                key = rest.column("key").to_numpy()
+                total = np.cumsum(rest.column("n").to_numpy().astype(np.int64) + window)
+                if total[-1] <= shard_words:
+                    break
+                edges = np.flatnonzero(key[1:] != key[:-1]) + 1  # the last key may go on
+                if not len(edges):
+                    if total[-1] <= limit:
+                        break
+                    shard = _Shard(rest, window)
+                    yield shard.repeats()
+                    rest = shard.firsts()
+                    limit = 2 * max(shard_words, rest.num_rows * window)
+                    break
+                at = int(edges[max(0, np.searchsorted(total[edges - 1], shard_words, "right") - 1)])
+                yield from out(rest.slice(0, at))
+                rest, limit = rest.slice(at), 2 * shard_words
+        if rest is not None and rest.num_rows:
+            yield from out(rest)
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        shard = _Shard(rows, window)
+        yield shard.repeats()
+        yield from shard.firsts(hot=True).select(["doc_id", "tx", "start", "n", "words"]).to_batches()
 
     dealt = segments.repartition(fan_out(segments.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(search, "doc_id long, start int, n int, words binary")
+    return dealt.mapInArrow(search, _FOUND)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_words: int = HOT_WORDS, hold_rows: int = HOLD_ROWS) -> DataFrame:
-    """``doc_id, start, n``: runs of windows of ``docs(doc_id, text binary)`` that also start earlier."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``doc_id, tx, start, n``: runs of windows of ``docs(doc_id, tx, text binary)`` that also start earlier."""
     spark = docs.sparkSession
-    runs = _runs(docs, window)
+    runs = written(_runs(docs, window), "runs")
     # a table, so that its join's two sides are plain exchanges, which Spark can split at hot keys
-    totals = runs.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("n") + (window - 1)).alias("words"), F.max("inner").alias("inner"))
-    often = written(totals.where("rows > 1 or inner").select("key", (F.col("words") > hot_words).alias("hot")), "minimizers")
+    totals = runs.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("n") + window).alias("words"), F.max("inner").alias("inner"))
+    often = written(totals.where("rows > 1 or inner").select("key", (F.col("words") > shard_words).alias("hot")), "minimizers")
     shared = runs.drop("inner").join(often, "key")
-    found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window, hold_rows), "repeats")
-    out = found.where("words is null").select("doc_id", "start", "n")
+    found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window, shard_words), "repeats")
+    out = found.where("words is null").drop("words")
     rest = found.where("words is not null")
     if rest.limit(1).count() == 0:
         return out
-    # survivors of the salted shards meet by their content: at most one a salt
-    again = _round(rest.withColumns({"key": F.xxhash64("words"), "hot": F.lit(True)}), window, hold_rows)
-    return out.unionByName(again.where("words is null").select("doc_id", "start", "n"))
+    # survivors of the salted shards meet by their content: at most one a salt and task
+    again = _round(rest.select(F.xxhash64("words").alias("key"), "doc_id", "tx", "start", "n", F.lit(True).alias("hot"), "words"), window, shard_words)
+    return out.unionByName(again.where("words is null").drop("words"))
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS, hold_rows: int = HOLD_ROWS) -> DataFrame:
-    """``doc_id, cuts``: for documents that lose words, the runs of windows to remove.
+def _tx(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(text)
 
-    A copy of a whole earlier text has the one cut ``(0, 2**31 - 1)``.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    digests = rows.select("doc_id", F.sha2("text", 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copies = written(digests.join(firsts, "digest").where("doc_id > least").select("doc_id").distinct(), "copies")
-    originals = rows.join(copies, "doc_id", "left_anti")
-    cuts = repeated_windows(originals, window, hot_words, hold_rows).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("n")))
-    return written(cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")), "cuts")
+
+def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``doc_id, tx, cuts``: for documents that lose words, the runs of windows to remove."""
+    rows = document_rows(docs, id_col, text_col).where("doc_id is not null and text is not null").withColumn("tx", _tx(F.col("text")))
+    cuts = repeated_windows(rows, window, shard_words)
+    return written(cuts.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("start", "n")).alias("cuts")), "cuts")
 
 
 def keep_mask(n_words: int, cuts: Iterable, window: int) -> np.ndarray:
     """Which words stay."""
     keep = np.ones(n_words, bool)
-    if n_words < window:
-        return keep
     for c in cuts:
-        s = int(c["start"])
-        keep[s : s + min(int(c["n"]), n_words) + window - 1] = False
+        keep[c["start"] : c["start"] + c["n"] + window - 1] = False
     return keep
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS, hold_rows: int = HOLD_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` for every row of ``docs``.
 
     ``kept`` is the remaining words joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``,
     unchanged; null texts have none. "Earlier" is a smaller id, or an earlier start in the
-    same document; rows that repeat an id and text are one document and each get its result.
-    Rows with a null id are kept whole. Other columns are ignored; an empty table gives an
-    empty result.
+    same document. Rows that repeat an id and text are one document and each get its result;
+    rows of one id with different texts are documents of their own, in the order of a hash of
+    the text. Rows with a null id are kept whole. Texts may have any length. Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
-    cuts = removal(docs, id_col, text_col, window, hot_words, hold_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = document_rows(docs, id_col, text_col).withColumn("tx", _tx(F.col("text")))
+    cuts = removal(docs, id_col, text_col, window, shard_words)
 
-    def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at in range(0, len(batch), 500):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 out = []
-                for doc, packed, found in zip(*(batch[c].iloc[at : at + 500] for c in ("doc_id", "packed", "cuts")), strict=True):
-                    words = b"".split() if packed is None else unpack(bytes(packed)).split()
-                    left = words
-                    if found is not None:
-                        left = list(compress(words, keep_mask(len(words), found, window).tolist()))
+                for packed, found in zip(part.column("packed").to_pylist(), part.column("cuts").to_pylist(), strict=True):
+                    words = unpack(packed).split()
+                    left = list(compress(words, keep_mask(len(words), found, window).tolist())) if found else words
                     kept = b" ".join(left)
-                    out.append((None if pd.isna(doc) else int(doc), len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode()))
-                made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-                yield made.astype({"doc_id": "Int64"})
+                    out.append((len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept))
+                n_words, n_removed, digest, kept = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return _packed(rows).join(cuts, "doc_id", "left").select("doc_id", "packed", "cuts").mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    joined = _packed(rows).join(cuts, ["doc_id", "tx"], "left").select("doc_id", "packed", "cuts")
+    return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with repeated windows removed from its texts, in the columns of ``docs``.
 
     A text that loses nothing is unchanged; another becomes its remaining words joined
-    by one space, none of them if all go. ``n_chars``, where there is one, follows.
+    by one space, none of them if all go. ``n_chars``, where there is one, follows. Edge
+    cases are those of ``deduplicated``.
     """
-    cuts = removal(docs, id_col, text_col, window, hot_words).withColumnRenamed("doc_id", "__cut_id")
-    joined = docs.join(cuts.withColumnRenamed("cuts", "__cuts"), docs[id_col].cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
-    counted = "n_chars" in docs.columns
-
-    def apply(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cuts = removal(docs, id_col, text_col, window, shard_words)
+    # own names for what is joined on, beside whatever columns there are
+    ours = [f"__{'_' * max(map(len, docs.columns))}{c}" for c in cuts.columns]
+    cuts = cuts.toDF(*ours)
+    on = (docs[id_col].cast("long") == cuts[ours[0]]) & (_tx(docs[text_col].cast("string").cast("binary")) == cuts[ours[1]])
+    joined = docs.join(cuts, on, "left").select(*[docs[c] for c in docs.columns], cuts[ours[2]])
+    names, counted = docs.columns, "n_chars" in docs.columns
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.reset_index(drop=True)
-            texts, chars = batch[text_col].tolist(), batch["n_chars"].tolist() if counted else None
-            for k, found in enumerate(batch["__cuts"]):
-                if found is None or texts[k] is None:
-                    continue
-                words = texts[k].encode().split()
-                keep = keep_mask(len(words), found, window)
-                if not keep.all():
-                    texts[k] = b" ".join(compress(words, keep.tolist())).decode()
+            for part, texts in text_groups(batch, text_col):
+                columns = {c: part.column(c) for c in names}
+                cut = np.flatnonzero(pc.is_valid(part.column(ours[2])).to_numpy(zero_copy_only=False))
+                if len(cut):
+                    made, chars = columns[text_col].to_pylist(), columns["n_chars"].to_pylist() if counted else []
+                    for k, found in zip(cut.tolist(), part.column(ours[2]).take(pa.array(cut)).to_pylist(), strict=True):
+                        words = texts[k].split()
+                        made[k] = b" ".join(compress(words, keep_mask(len(words), found, window).tolist())).decode()
+                        if counted:
+                            chars[k] = len(made[k])
+                    columns[text_col] = pa.array(made, columns[text_col].type)
                     if counted:
-                        chars[k] = len(texts[k])
-            out = batch.drop(columns="__cuts")
-            out[text_col] = pd.Series(texts, dtype=object)
-            if counted:
-                out["n_chars"] = pd.array([None if pd.isna(c) else int(c) for c in chars], "Int64")
-            yield out
-
-    return joined.mapInPandas(apply, docs.schema)
+                        columns["n_chars"] = pa.array(chars, columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return joined.mapInArrow(apply, docs.schema)

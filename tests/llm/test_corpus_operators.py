@@ -316,10 +316,11 @@ def without_repeats(docs, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot_words,hold_rows", [(substring_dedup.HOT_WORDS, substring_dedup.HOLD_ROWS), (60, 50_000), (60, 2)])
-def test_substring_dedup_equals_brute_force(spark, hot_words, hold_rows):
+@pytest.mark.parametrize("shard_words,seen", [(substring_dedup.SHARD_WORDS, 1 << 23), (60, 1 << 23), (60, 0), (25, 300)])
+def test_substring_dedup_equals_brute_force(spark, shard_words, seen, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SEEN_BYTES", seen)
     docs = corpus(7)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(table(spark, docs).repartition(4), hot_words=hot_words, hold_rows=hold_rows).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(table(spark, docs).repartition(4), shard_words=shard_words).collect()}
     assert got == without_repeats(docs)
     assert substring_dedup.deduplicated(empty(spark)).count() == 0
 

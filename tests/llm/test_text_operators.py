@@ -188,16 +188,15 @@ def test_backward_search_finds_every_occurrence(window):
     rng = np.random.default_rng(window)
     segments = [rng.integers(1, 3, n) for n in rng.integers(1, 60, 30)] + [np.ones(80, int), np.ones(80, int)]
     index = FMIndex(np.concatenate(segments), np.array([len(s) for s in segments]), window)
-    position, row = index.window_rows()
+    position, found = index.search()
     text = index.text
     spans = {int(p): tuple(text[p : p + window]) for p in position}
     where = {}
     for p in sorted(spans):
         where.setdefault(spans[p], []).append(p)
     assert len(position) == sum(max(0, len(s) - window + 1) for s in segments)
-    for p, r in zip(position, row):
-        k = index.class_of[r]
-        assert index.class_size[k] == len(where[spans[int(p)]]) and index.earliest[k] == where[spans[int(p)]][0]
+    for p, k in zip(position, found):
+        assert index.occurrences[k] == len(where[spans[int(p)]]) and index.earliest[k] == where[spans[int(p)]][0]
 
 
 # --- 10 and shared ---------------------------------------------------------------------------------
