@@ -13,8 +13,8 @@ Words are told apart by their bytes; hashes only deal them out.
 
 Minimizers with more words around them than one shard holds (``shard_words``) are taken apart: their
 windows are dealt out singly by their whole content and a salt. A task that meets the same
-such window again knows it for a repeat and does not send it on; each salted shard keeps
-the first of its copies, and only those few meet in a second round.
+run of such windows again knows it for a repeat and does not send its words on; each salted
+shard keeps the first of its copies, and only those few meet in a second round.
 
 A document is an id with a text. Ids order documents; where rows of one id have different
 texts, the hash of the text orders them.
@@ -41,7 +41,7 @@ from .fm_index import FMIndex
 WINDOW, GRAM = 20, 5
 #: Words of one shard.
 SHARD_WORDS = 250_000
-#: Bytes of windows of frequent minimizers that a task remembers.
+#: Bytes of runs of frequent minimizers that a task remembers.
 SEEN_BYTES = 1 << 23
 _SEGMENT = "key long, doc_id long, tx long, start int, n int, hot boolean, words binary"
 _FOUND = "doc_id long, tx long, start int, n int, words binary"
@@ -116,8 +116,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> DataFrame:
     """The words under each run: ``key, doc_id, tx, start, n, hot, words``.
 
-    A hot run gives a row for each window, keyed by its whole content and a salt; one that
-    the task has met in an earlier document, or earlier in the same, has no words.
+    A hot run gives a row for each window, keyed by its whole content and a salt; a run that
+    the task has met in an earlier document, or earlier in the same, is one row without words.
     """
     # a set: rows that repeat a document repeat its runs
     wanted = runs.groupBy("doc_id", "tx").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs"))
@@ -142,13 +142,14 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> Data
                         if not hot[r]:
                             out.append((int(key[r]), doc, tx, s, m, False, b" ".join(words[s : s + m + window - 1])))
                             continue
+                        content = b" ".join(words[s : s + m + window - 1])
+                        first = seen.setdefault(content, (doc, tx, s))
+                        if first < (doc, tx, s):
+                            out.append((doc, doc, tx, s, m, True, None))
+                            continue
+                        held += len(content)
                         for p in range(s, s + m):
                             content = b" ".join(words[p : p + window])
-                            first = seen.setdefault(content, (doc, tx, p))
-                            if first < (doc, tx, p):
-                                out.append((doc, doc, tx, p, 1, True, None))
-                                continue
-                            held += len(content)
                             out.append((xxhash.xxh64_intdigest(content, doc % salts) - (1 << 63), doc, tx, p, 1, True, content))
                     low = high
                     if held > SEEN_BYTES:
@@ -253,8 +254,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shard_words: int = S
     spark = docs.sparkSession
     runs = written(_runs(docs, window), "runs")
     # a table, so that its join's two sides are plain exchanges, which Spark can split at hot keys
-    totals = runs.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.col("n") + window).alias("words"), F.max("inner").alias("inner"))
-    often = written(totals.where("rows > 1 or inner").select("key", (F.col("words") > shard_words).alias("hot")), "minimizers")
+    totals = runs.groupBy("key").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("times"), F.sum(F.col("n") + window).alias("words"))
+    often = written(totals.where("times > 1").select("key", (F.col("words") > shard_words).alias("hot")), "minimizers")
     shared = runs.drop("inner").join(often, "key")
     found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window, shard_words), "repeats")
     out = found.where("words is null").drop("words")
