@@ -187,6 +187,18 @@ def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
+def with_frequent_apart(rows: DataFrame, named: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``named``, which has one row for each ``key``, and its ``count`` among ``rows``.
+
+    Keys of over a thousandth of all rows, of which there are less than a thousand, are
+    broadcast, so that no task gets all rows of one of them.
+    """
+    total = named.agg(F.sum(count)).first()[0] or 0
+    often = named.where(F.col(count) * 1000 > total)
+    apart = rows.join(F.broadcast(often.drop(count)), key)
+    return rows.join(F.broadcast(often.select(key)), key, "left_anti").join(named.drop(count), key, how).unionByName(apart)
+
+
 class Memory(dict):
     """A dictionary of bounded size that forgets what was not asked for of late.
 

@@ -87,17 +87,16 @@ def window_runs(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[n
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """``key, doc_id, tx, start, n, inner`` of every run of every document."""
+    """``key, dk, at, inner`` of every run of every document; ``at`` is its start and windows, 32 bits each."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_groups(batch, "text"):
                 own, key, start, n, inner = window_runs(Words(texts), window)
-                doc, tx = (part.column(c).to_numpy()[own] for c in ("doc_id", "tx"))
-                out = _batch(key=key, doc_id=doc, tx=tx, start=start, n=n, hot=inner.astype(bool))
-                yield out.rename_columns([*out.schema.names[:-1], "inner"])
+                columns = [key, part.column("dk").to_numpy()[own], start << 32 | n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array(inner.astype(bool))], ["key", "dk", "at", "inner"])
 
-    return docs.mapInArrow(find, "key long, doc_id long, tx long, start int, n int, inner boolean")
+    return docs.select("dk", "text").mapInArrow(find, "key long, dk long, at long, inner boolean")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -119,8 +118,9 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> Data
     A hot run gives a row for each window, keyed by its whole content and a salt; a run that
     the task has met in an earlier document, or earlier in the same, is one row without words.
     """
-    # a set: rows that repeat a document repeat its runs
-    wanted = runs.groupBy("doc_id", "tx").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs"))
+    # a set: rows that repeat a document repeat its runs; the sign of ``at`` marks the hot ones
+    marked = F.when(F.col("hot"), -F.col("at")).otherwise(F.col("at"))
+    wanted = runs.groupBy("dk").agg(F.collect_set(F.struct(marked.alias("at"), "key")).alias("runs"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -132,13 +132,17 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> Data
                 column = part.column("runs")
                 many = column.value_lengths().to_numpy(zero_copy_only=False)
                 flat = column.flatten()
-                start, n, key, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key", "hot"))
+                place, key = (flat.field(c).to_numpy() for c in ("at", "key"))
+                hot, place = place < 0, np.abs(place)
+                start, n = place >> 32, place & 0xFFFFFFFF
                 out: list[tuple] = []
                 low = 0
                 for doc, tx, packed, high in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tx", "packed")), np.cumsum(many).tolist(), strict=True):
                     words = unpack(packed).split()
                     for r in (low + np.argsort(start[low:high])).tolist():
                         s, m = int(start[r]), int(n[r])
+                        if s + m + window - 1 > len(words):
+                            continue  # a run of another document of the same hash
                         if not hot[r]:
                             out.append((int(key[r]), doc, tx, s, m, False, b" ".join(words[s : s + m + window - 1])))
                             continue
@@ -157,7 +161,7 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int, salts: int) -> Data
                 if out:
                     yield _batch(**dict(zip(_ARROW, zip(*out, strict=True), strict=True)))
 
-    joined = _packed(docs).join(wanted, ["doc_id", "tx"]).select("doc_id", "tx", "packed", "runs")
+    joined = _packed(docs).join(wanted, "dk").select("doc_id", "tx", "packed", "runs")
     return joined.sortWithinPartitions("doc_id", "tx").mapInArrow(cut, _SEGMENT)
 
 
@@ -252,9 +256,11 @@ def _round(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id, tx, start, n``: runs of windows of ``docs(doc_id, tx, text binary)`` that also start earlier."""
     spark = docs.sparkSession
-    runs = written(_runs(docs, window), "runs")
+    # what names a document in the runs; two of one hash get each other's runs, which only adds windows to look at
+    docs = docs.withColumn("dk", F.xxhash64("doc_id", "tx"))
+    runs = _runs(docs, window)
     # a table, so that its join's two sides are plain exchanges, which Spark can split at hot keys
-    totals = runs.groupBy("key").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("times"), F.sum(F.col("n") + window).alias("words"))
+    totals = runs.groupBy("key").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("times"), F.sum(F.col("at").bitwiseAND(0xFFFFFFFF) + window).alias("words"))
     often = written(totals.where("times > 1").select("key", (F.col("words") > shard_words).alias("hot")), "minimizers")
     shared = runs.drop("inner").join(often, "key")
     found = written(_round(_segments(docs, shared, window, fan_out(spark, 16)), window, shard_words), "repeats")
