@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding by weighted finite-state composition.
 
-A model file compiles to three transducers: the normaliser (dummy prefix, white space to
+A model file compiles to three transducers: the normaliser (dummy prefix, spaces to
 ``U+2581``, runs of spaces kept or joined as the model says), the piece lexicon (a trie
-whose final states emit a piece at its weight) and byte fallback (a character no path
-covers emits its UTF-8 bytes). An input composes with them into a lattice over its
-characters; the ids are the labels of the tropical-semiring shortest path.
+whose final states emit a piece at its weight and return to the root) and byte fallback (a
+character that is no piece emits its UTF-8 bytes). An input composes with them into a
+lattice over its characters; the ids are the labels of the tropical-semiring shortest path.
 
 Unigram models weigh a piece by its negative score. A merge (BPE) model's segmentation is
 not an additive minimum, but it is the one path in which every two neighbours, merged on
-their own, stay apart; so there a piece costs nothing and a pair that would merge
-differently costs infinity. Each lattice state then has at most one finite path.
+their own, stay apart; so there a lattice state is a position with the piece before it, an
+arc costs nothing if it stays apart from that piece and infinity if it would merge with it,
+and each position has one finite state. Either way each position is settled once, in time
+linear in the text.
 
 No piece of a usable model has a word mark after another character, so the lattice falls
 apart before each run of marks, and words are solved once and remembered.
@@ -24,15 +26,14 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory
+from .common import Memory, document_rows, with_computed
 
 MARK = "▁"
-#: Words and piece pairs a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 1_000_000
+#: Words and pairs of pieces a worker remembers.
+CACHE_WORDS, CACHE_PAIRS = 200_000, 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,54 +101,114 @@ class PieceModel:
             raise ValueError("a piece has a word mark inside")
 
 
+class Normaliser:
+    """The compiled normaliser: for a state and a kind of character, what is emitted and the next state.
+
+    ``{}`` in an output stands for the character itself. From ``GAP`` a space is still owed.
+    """
+
+    START, WORD, GAP = 0, 1, 2
+
+    def __init__(self, dummy_prefix: bool, join_spaces: bool):
+        first = MARK if dummy_prefix else ""
+        self.prefix, self.join = first, join_spaces
+        if join_spaces:
+            self.arcs = {
+                (self.START, True): ("", self.START), (self.START, False): (first + "{}", self.WORD),
+                (self.WORD, True): ("", self.GAP), (self.WORD, False): ("{}", self.WORD),
+                (self.GAP, True): ("", self.GAP), (self.GAP, False): (MARK + "{}", self.WORD),
+            }
+        else:
+            self.arcs = {(self.START, True): (first + MARK, self.WORD), (self.START, False): (first + "{}", self.WORD), (self.WORD, True): (MARK, self.WORD), (self.WORD, False): ("{}", self.WORD)}
+
+    def run(self, text: str, state: int = START) -> str:
+        """The output for ``text`` from a state on."""
+        if state == self.WORD and not self.join:  # a state that returns to itself
+            return text.replace(" ", MARK)
+        out = []
+        for c in text:
+            emitted, state = self.arcs[state, c in " " + MARK]
+            out.append(emitted.replace("{}", c))
+        return "".join(out)
+
+    #: A run of marks and spaces with the word after it; the state before each such run is ``WORD``.
+    RUN = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
+
+
 class PieceTransducer:
     """The compiled model: encodes by shortest path and decodes."""
 
     def __init__(self, data: bytes):
         self.model = m = PieceModel(data)
-        self.trie: dict = {}  # state -> character -> state; the key "" holds (id, weight)
-        for piece, i in m.ids.items():
+        self.normaliser = Normaliser(m.dummy_prefix, m.join_spaces)
+        #: Of a piece of a merge model: its rank among merges, and the two parts it is merged from.
+        self.rank: dict[str, int] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        if m.merges:
+            self.rank = {p: k for k, p in enumerate(sorted((p for p in m.ids if len(p) > 1), key=lambda p: -m.scores[m.ids[p]]))}
+            self._derive()
+        #: Pieces that merging makes of their own characters; others never come up.
+        self.usable = {p for p in m.ids if len(p) == 1} | self.halves.keys()
+        self.longest = max(map(len, self.usable), default=1)
+        self.trie: dict = {}  # state -> character -> state; the key "" holds the weight of a final arc
+        for piece, i in m.ids.items() if not m.merges else ():
             state = self.trie
             for c in piece:
                 state = state.setdefault(c, {})
-            state[""] = i, -m.scores[i]
+            state[""] = -m.scores[i]
         worst = max([-s for s, k in zip(m.scores, m.kinds, strict=True) if k == m.NORMAL], default=0.0)
         self.unknown_cost = worst + 10.0  # fixed value of the format
-        self.apart = Memory(self._apart, CACHE_PAIRS)
-        self.longest = max(map(len, m.ids), default=1)
-        #: Neighbouring characters of some piece; elsewhere a word falls apart (not where unknowns could join).
-        self.pairs = {p[k : k + 2] for p in m.ids for k in range(len(p) - 1)}
-        self.parts = Memory(lambda w: array("I", self.path(w)).tobytes(), CACHE_WORDS)
-        self.words = Memory(self._known if m.byte_fallback else self.parts.__getitem__, CACHE_WORDS)
+        self.apart = Memory(lambda pair: self._apart(*pair), CACHE_PAIRS)
+        self.words = Memory(lambda w: self._packed(self.normaliser.run(w, Normaliser.WORD)), CACHE_WORDS)
         self.out: list[str | bytes] = []
         for p, k in zip(m.pieces, m.kinds, strict=True):
             text = bytes([int(p[3:5], 16)]) if k == m.BYTE else b"" if k == m.CONTROL else " ⁇ ".encode() if k == m.UNKNOWN else p.replace(MARK, " ").encode()
             self.out.append(text)
 
-    def normalise(self, text: str) -> str:
-        """The normaliser's output."""
-        if self.model.join_spaces:
-            text = re.sub(" +", " ", text.replace(MARK, " ")).strip(" ")
-        if text and self.model.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK)
-
-    def _merged(self, text: str) -> list[str]:
-        """Merging by best score, leftmost first, on a short text."""
-        parts, ids, scores = list(text), self.model.ids, self.model.scores
-        while len(parts) > 1:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or scores[i] > best):
-                    best, where = scores[i], k
-            if best is None:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return parts
-
-    def _apart(self, pair: tuple[str, str]) -> bool:
-        return self._merged(pair[0] + pair[1]) == [*pair]
+    def _derive(self) -> None:
+        """Merge every piece's characters, best rank and then leftmost first, and note its last merge."""
+        rank = self.rank
+        for piece in rank:
+            parts = list(piece)
+            while len(parts) > 2:
+                found = [(r, k) for k in range(len(parts) - 1) if (r := rank.get(parts[k] + parts[k + 1])) is not None]
+                if not found:
+                    break
+                _, k = min(found)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            if len(parts) == 2:
+                self.halves[piece] = parts[0], parts[1]
+        if any(rank[h] > rank[p] for p, both in self.halves.items() for h in both if h in rank):
+            raise ValueError("a piece is merged before its parts")
+
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether two neighbouring pieces stay what they are: no merge across them comes before their own.
+
+        Follows the parts of ``a`` at its right end and those of ``b`` at its left end in the
+        order in which they come up.
+        """
+        rank, halves = self.rank, self.halves
+        left, right = [a], [b]
+        while left[-1] in halves:
+            left.append(halves[left[-1]][1])
+        while right[-1] in halves:
+            right.append(halves[right[-1]][0])
+        a, b = left.pop(), right.pop()
+        never = len(rank)
+        while True:
+            across = rank.get(a + b, never)
+            next_a = rank[left[-1]] if left else never
+            next_b = rank[right[-1]] if right else never
+            if next_a <= next_b:  # of equal ranks the left one merges first
+                if across < next_a:
+                    return False
+                if next_a == never:
+                    return True
+                a = left.pop()
+            else:
+                if across <= next_b:
+                    return False
+                b = right.pop()
 
     def _fallback(self, char: str) -> list[int]:
         m = self.model
@@ -164,100 +225,83 @@ class PieceTransducer:
                 out += self._fallback(p)
         return out
 
-    def path(self, word: str) -> list[int]:
-        """Labels of the shortest path through the lattice of one word."""
-        if not self.model.merges:
-            return self._emit(self._least(word))
-        if word.startswith(MARK * 2):  # runs of marks have equal weights: their ties go leftmost
-            return self._emit(self._merged(word))
-        return self._emit(self._finite(word))
-
-    def _least(self, word: str) -> list[str]:
-        """Arcs of least total weight, each state settled in order of its position."""
-        n, inf = len(word), float("inf")
-        cost, back = [0.0] + [inf] * n, [0] * (n + 1)
+    def path(self, text: str) -> list[int]:
+        """Labels of the shortest path through the lattice of a normalised text."""
+        last = self._finite(text) if self.model.merges else self._least(text)
+        out, n = [], len(text)
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return self._emit(out[::-1])
+
+    def _least(self, text: str) -> list[str]:
+        """The last arc of the least path to each position, settled in order."""
+        n, inf = len(text), float("inf")
+        cost, last = [0.0] + [inf] * n, [""] * (n + 1)
         for i in range(n):
             state, j, single = self.trie, i, False
-            while j < n and (state := state.get(word[j])) is not None:
+            while j < n and (state := state.get(text[j])) is not None:
                 j += 1
-                arc = state.get("")
-                if arc is not None:
+                weight = state.get("")
+                if weight is not None:
                     single |= j == i + 1
-                    if cost[i] + arc[1] < cost[j]:
-                        cost[j], back[j] = cost[i] + arc[1], i
+                    if cost[i] + weight < cost[j]:
+                        cost[j], last[j] = cost[i] + weight, text[i:j]
             if not single and cost[i] + self.unknown_cost < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] + self.unknown_cost, i
-        out = []
-        while n:
-            out.append(word[back[n] : n])
-            n = back[n]
-        return out[::-1]
+                cost[i + 1], last[i + 1] = cost[i] + self.unknown_cost, text[i]
+        return last
 
-    def _finite(self, word: str) -> list[str]:
-        """The one path of finite weight: its last arc is found from the end, longest first.
+    def _finite(self, text: str) -> list[str]:
+        """The last arc of the one finite path to each position that is asked for.
 
-        ``last[j]`` is the last arc of the finite path to state ``j``; states that no
-        candidate asks about are never settled. An explicit stack serves words of any length.
+        All arcs weigh nothing or infinitely much, so the composition is expanded on demand
+        from the final position back: an arc into it asks for the path to where it begins,
+        whose last arc is the state that weighs it. Each position is settled once; an
+        explicit stack serves texts of any length.
         """
-        ids, apart, longest = self.model.ids, self.apart, self.longest
-        n = len(word)
-        last: list[str | None] = [None] * (n + 1)
-        stack = [(n, min(n, longest))]
+        usable, apart, longest = self.usable, self.apart, self.longest
+        n = len(text)
+        last = [""] * (n + 1)
+        stack = [(n, min(n, longest))] if n else []
         while stack:
             j, size = stack.pop()
-            while size:
+            while True:
                 i = j - size
-                arc = word[i:j]
-                if size == 1 or arc in ids:
+                arc = text[i:j]
+                if size == 1 or arc in usable:
                     if not i:
-                        last[j] = arc
                         break
                     before = last[i]
-                    if before is None:
+                    if not before:
                         stack.append((j, size))
-                        stack.append((i, min(i, longest)))
+                        stack.append((i, i if i < longest else longest))
+                        arc = ""
                         break
                     if apart[before, arc]:
-                        last[j] = arc
                         break
                 size -= 1
-            else:
-                raise ValueError("no path")  # cannot happen: merging the word gives one
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
-    def _known(self, word: str) -> bytes:
-        """Ids of a word, cut where no piece reaches across."""
-        pairs, at, out = self.pairs, 0, []
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in pairs:
-                out.append(self.parts[word[at:k]])
-                at = k
-        out.append(self.parts[word[at:]])
-        return b"".join(out)
+            last[j] = arc
+        return last
+
+    def _packed(self, text: str) -> bytes:
+        return array("I", self.path(text)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        marked = self.normalise(text)
-        if not marked:
-            return np.zeros(0, np.uint32)
-        if MARK * 2 in marked or not self.model.dummy_prefix:
-            words = [w for w in re.findall(f"{MARK}*[^{MARK}]*", marked) if w]
+        norm, known = self.normaliser, self.words
+        if not text.startswith((" ", MARK)) and not text.endswith(" ") and "  " not in text and MARK not in text and text and norm.prefix:
+            found = [known[" " + w] for w in text.split(" ")]  # the prefix is as a space before the first word
         else:
-            words = marked.split(MARK)
-            del words[0]
-            words = [MARK + w for w in words]
-        known = self.words
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; byte pieces that are not UTF-8 become U+FFFD."""
+            first, *rest = norm.RUN.findall(text) or [""]
+            found = [self._packed(norm.run(first)), *[known[w] for w in rest]]
+        return np.frombuffer(b"".join(found), np.uint32)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """The text of ids, as UTF-8; byte pieces that are not UTF-8 become U+FFFD."""
         out = self.out
-        text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        text = b"".join([out[i] for i in ids])
+        text = text[1:] if self.model.dummy_prefix and text.startswith(b" ") else text
+        return text.decode("utf-8", "replace").encode()
 
 
 _MODELS: dict[str, PieceTransducer] = {}
@@ -277,21 +321,19 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     ``keep_text`` adds ``text``, the input with null as empty.
 
     The model file must lie on every executor (a public vocabulary, not part of the
-    job's data). Null and empty texts have no ids and decode to an empty text. Rows
-    repeat as they occur, other columns are ignored, an empty table gives an empty one.
+    job's data). Null and empty texts have no ids and decode to an empty text. Texts may
+    have any length; rows, null ids and repeated ids among them, are encoded each by itself.
+    Other columns are ignored, an empty table gives an empty one.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list[bytes]) -> dict:
         fst = transducer(model_file)
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                some = batch.iloc[at : at + 200]
-                ids = [fst.encode(t or "") for t in some["text"]]
-                made = pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [i.astype(np.int32) for i in ids], "decoded": [fst.decode(i.tolist()) for i in ids]})
-                yield made.assign(text=[t or "" for t in some["text"]]) if keep_text else made
+        ids = [fst.encode(t.decode()) for t in texts]
+        return {"ids": [i.view(np.int32) for i in ids], "decoded": [fst.decode(i.tolist()).decode() for i in ids]}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string" + ", text string" * keep_text)
+    rows = document_rows(docs, id_col, text_col)
+    out = with_computed(rows, compute, "ids array<int>, decoded string", keep=keep_text)
+    return out.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))) if keep_text else out
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,17 +344,14 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     Edge cases are those of ``encoded``.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list[bytes]) -> dict:
         fst = transducer(model_file)
         is_byte = np.array([k == PieceModel.BYTE for k in fst.model.kinds])
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text or ""
-                ids = fst.encode(text)
-                back = fst.decode(ids.tolist())
-                out.append((None if pd.isna(doc) else int(doc), len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            yield pd.DataFrame(out, columns=["doc_id", "n_pieces", "n_bytes", "ids_crc32", "decoded_sha256", "lossless"]).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+        out = []
+        for text in texts:
+            ids = fst.encode(text.decode())
+            back = fst.decode(ids.tolist())
+            out.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back).hexdigest(), back == text))
+        return dict(zip(("n_pieces", "n_bytes", "ids_crc32", "decoded_sha256", "lossless"), zip(*out, strict=True), strict=True))
+
+    return with_computed(document_rows(docs, id_col, text_col), compute, "n_pieces long, n_bytes long, ids_crc32 long, decoded_sha256 string, lossless boolean")
