@@ -44,7 +44,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 marked AS (
-  SELECT *, 5 + length(role) + length(regexp_replace(role, '[^\\\\<\\[]', '', 'g'))
+  SELECT *, 5 + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\n]', '', 'g'))
     + length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'g')) + 6 AS chars FROM turns),
 loss AS (
   SELECT conv_id, count(*) AS n, coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text), '') AS seen,
