@@ -13,14 +13,11 @@ in the order of a hash of the id); scoring covers every window of every text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mix, word_hashes
+from .common import chunks, document_rows, filtered, mix, with_computed, word_hashes
 
 WINDOW, STRIDE = 32, 16
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 1800
@@ -271,8 +268,9 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> dict[str, np.nd
         if not len(ids):
             continue
         done = k / len(plan)
-        ids = np.where(rng.random(ids.shape) < DROP, 0, ids)
-        ids[:, 0] = np.maximum(ids[:, 0], 1)  # a window keeps a word
+        left = np.where(rng.random(ids.shape) < DROP, 0, ids)
+        left[:, 0] = np.where(left.any(axis=1), left[:, 0], ids[:, 0])  # a window keeps a word, its own first one
+        ids = left
         _, g = _gradients(model, table, ids, text, y[chosen], balance[chosen], 0.5 + 3 * done)
         step += 1
         rate = 0.012 * (1 - 0.9 * done)
@@ -291,12 +289,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts outside the held-out fold, by a hash of the id."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """A bounded sample of labelled texts outside the held-out fold, by a hash of the id.
+
+    Rows without a label of 0 or 1, and ids with both labels, are left out. Of documents
+    that share an id the least text is taken, so there is at most one text a label.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
-    rows = sorted((r["doc_id"], r["toxic"], bytes(r["text"])) for r in texts.join(chosen, "doc_id").collect())
+    texts = document_rows(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = sorted((r["doc_id"], r["toxic"], bytes(r["text"])) for r in texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     return [r[2] for r in rows], [int(r[1]) for r in rows]
 
 
@@ -316,38 +319,32 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None, id_col: str = "d
     """``doc_id, score, n_windows`` for every row, over all its overlapping windows.
 
     Texts without words, null ones included, score 0, as does every text when there is
-    no model. Rows repeat as they occur, other columns are ignored, an empty table gives
-    an empty one. A model has about 2 MB and is broadcast.
+    no model. Rows are scored each by itself, those that repeat an id or have none among
+    them; texts may have any length. Other columns are ignored, an empty table gives an
+    empty one. A model has about 2 MB and is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = held.value
-        for batch in batches:
-            for group in chunks(zip(batch["doc_id"], map(as_bytes, batch["text"]), strict=True)):
-                values, many = text_scores(weights, [g[1] for g in group])
-                doc_ids = pd.array([None if pd.isna(g[0]) else int(g[0]) for g in group], "Int64")
-                yield pd.DataFrame({"doc_id": doc_ids, "score": values, "n_windows": many})
+    def compute(texts: list[bytes]) -> dict:
+        values, many = text_scores(held.value, texts)
+        return {"score": values, "n_windows": many}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double, n_windows long")
+    return with_computed(document_rows(docs, id_col, text_col), compute, "score double, n_windows long")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted, n_windows``: fit on ``labels``, score all of ``docs``."""
+    """``doc_id, held_out, score, predicted, n_windows``: fit on ``labels``, score all of ``docs``.
+
+    Labels that say nothing (null, other than 0 or 1, both at once, without a document) are
+    not learnt from; without both kinds of label every score is 0. A null id is not held
+    out (null). Else as in ``score``.
+    """
     model = fit(*training_rows(docs, labels))
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
 
 
 def clean(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; edge cases as in ``scored``."""
     held = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels)))
-
-    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [(b"" if t is None else t.encode(),) for t in batch[text_col]]
-            scores = np.concatenate([text_scores(held.value, [g[0] for g in group])[0] for group in chunks(texts)]) if texts else np.zeros(0)
-            yield batch[scores < threshold]
-
-    return docs.mapInPandas(keep, docs.schema)
+    return filtered(docs, text_col, lambda texts: text_scores(held.value, texts)[0] < threshold)
