@@ -16,11 +16,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import text_groups, with_computed, with_frequent_apart, written
 from .html_blocks import Block, Media, read
 
 WIDTH = 64
@@ -83,41 +83,57 @@ def feature(samples: np.ndarray) -> str:
     return f"gray8:{width}x{height}:mean={mean:.3f}:std={max(0.0, squares / n - mean * mean) ** 0.5:.3f}:ahash={bits}"
 
 
+#: Digests that a task remembers, so as to store a payload once.
+STORED = 200_000
+
+
 def store(payloads: DataFrame, digest_col: str = "digest", data_col: str = "data") -> DataFrame:
     """Write payloads as images: ``digest, n_bytes, media``; read back from the shared folder.
 
     ``data`` is padded with zeros to whole rows, ``n_bytes`` is its length before; null
-    data is empty. A digest that occurs several times is stored as often; what is derived
-    from it is the same.
+    data is empty, rows with a null digest are not stored. A task stores a digest once, so
+    one that many rows share costs no more images than there are tasks; what is derived
+    from each is the same.
     """
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[str] = set()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                data = [as_bytes(x) for x in some["data"]]
-                yield pd.DataFrame({"digest": some["digest"], "n_bytes": [len(x) for x in data], "media": [to_png(padded(x)) for x in data]})
+            for part, data in text_groups(batch, "data"):
+                digests, sizes, images = [], [], []
+                for digest, payload in zip(part.column("digest").to_pylist(), data, strict=True):
+                    if digest not in done:
+                        done.add(digest)
+                        digests.append(digest)
+                        sizes.append(len(payload))
+                        images.append(to_png(padded(payload)))
+                if len(done) > STORED:
+                    done = set()
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], ["digest", "n_bytes", "media"])
+
+    rows = payloads.select(F.col(digest_col).cast("string").alias("digest"), F.col(data_col).cast("binary").alias("data")).where("digest is not null")
+    return written(rows.mapInArrow(encode, "digest string, n_bytes long, media binary"), "media")
+
 
-    rows = payloads.select(F.col(digest_col).alias("digest"), F.col(data_col).alias("data"))
-    return written(rows.mapInPandas(encode, "digest string, n_bytes long, media binary"), "media")
+_DESCRIBED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def described(media: DataFrame) -> DataFrame:
-    """One row per digest, from the stored bytes: sizes, digests and features."""
+    """One row per digest, from the stored bytes: sizes, digests and features.
 
-    def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for digest, n, data in zip(batch["digest"], batch["n_bytes"], batch["media"], strict=True):
-                data = as_bytes(data)
-                samples = from_png(data)
-                payload = samples.tobytes()
-                out.append((digest, int(n), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)))
-            yield pd.DataFrame(out, columns=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    An image that cannot be read fails the job. An empty table gives an empty one.
+    """
 
-    rows = media.mapInPandas(decode, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    values = [F.first(c).alias(c) for c in rows.columns if c != "digest"]
-    return rows.groupBy("digest").agg(*values)
+    def compute(images: list[bytes]) -> dict:
+        out = []
+        for data in images:
+            samples = from_png(data)
+            payload = samples.tobytes()
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)))
+        return dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*out, strict=True), strict=True))
+
+    rows = with_computed(media.select("digest", "n_bytes", "media"), compute, _DESCRIBED, "media")
+    return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in rows.columns if c != "digest"])
 
 
 def sequences(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
@@ -128,45 +144,47 @@ def sequences(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html")
     source is then its ``text``. Null and empty pages have no items.
     """
 
-    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page in batch["__html"]:
-                found = read(page) if page else []
-                captions: dict[int, str] = {}
-                for x in found:
-                    if isinstance(x, Block) and any(e.tag == "figcaption" for e in x.path):
-                        figure = next((e.number for e in reversed(x.path) if e.tag == "figure"), None)
-                        if figure is not None:
-                            captions[figure] = f"{captions[figure]} {x.text}" if figure in captions else x.text
-                items = []
-                for x in found:
-                    if isinstance(x, Media):
-                        figure = next((e.number for e in reversed(x.path) if e.tag == "figure"), None)
-                        own = x.source.startswith(SCHEME)
-                        items.append({"position": len(items), "kind": "media", "text": None if own else x.source, "digest": x.source[len(SCHEME) :] if own else None, "caption": captions.get(figure, x.alt)})
-                    elif not any(e.tag == "figcaption" for e in x.path):
-                        items.append({"position": len(items), "kind": "text", "text": x.text, "digest": None, "caption": None})
-                out.append(items)
-            yield pd.DataFrame({"__id": batch["__id"], "items": out})
-
-    rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(html_col).cast("string").alias("__html"))
-    schema = "__id long, items array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-    return rows.mapInPandas(parse, schema).withColumnRenamed("__id", id_col)
+    def items_of(page: str) -> list[dict]:
+        found = read(page)
+        captions: dict[int, str] = {}
+        for x in found:
+            if isinstance(x, Block) and any(e.tag == "figcaption" for e in x.path):
+                figure = next((e.number for e in reversed(x.path) if e.tag == "figure"), None)
+                if figure is not None:
+                    captions[figure] = f"{captions[figure]} {x.text}" if figure in captions else x.text
+        items: list[dict] = []
+        for x in found:
+            if isinstance(x, Media):
+                figure = next((e.number for e in reversed(x.path) if e.tag == "figure"), None)
+                own = x.source.startswith(SCHEME)
+                items.append({"position": len(items), "kind": "media", "text": None if own else x.source, "digest": x.source[len(SCHEME) :] if own else None, "caption": captions.get(figure, x.alt)})
+            elif not any(e.tag == "figcaption" for e in x.path):
+                items.append({"position": len(items), "kind": "text", "text": x.text, "digest": None, "caption": None})
+        return items
+
+    # two names that no id column has: the page, and its items until the end
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").cast("binary").alias("html"))
+    schema = "items array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+    return with_computed(rows, lambda html: {"items": [items_of(h.decode("utf-8", "replace")) for h in html]}, schema, "html").select(F.col("id").alias(id_col), "items")
 
 
 def resolved(sequence: DataFrame, media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Items of ``sequences``, one a row, with the columns of ``media`` where the digest is known.
 
-    References that nothing resolves stay, with nulls. A digest that many documents share
-    is one row of ``media``; Spark splits the join at it.
+    References that nothing resolves stay, with nulls, as do texts; repeated rows of
+    ``media`` count once. Digests that many items share are joined apart from the others.
+    Either table may be empty.
     """
-    items = sequence.select(id_col, F.explode("items").alias("i")).select(id_col, "i.*")
-    return items.join(media, "digest", "left")
+    items = written(sequence.select(id_col, F.explode("items").alias("i")).select(id_col, "i.*"), "media-items")
+    asked = items.where("digest is not null")
+    named = asked.groupBy("digest").agg(F.count("*").alias("times")).join(media.dropDuplicates(["digest"]), "digest", "left")
+    found = with_frequent_apart(asked, written(named, "media-asked"), "digest", "times")
+    columns = [*items.columns, *[c for c in media.columns if c != "digest"]]
+    return found.unionByName(items.where("digest is null"), allowMissingColumns=True).select(*columns)
 
 
 def page_of(text: DataFrame, id_col: str = "doc_id", digest_col: str = "digest", caption_col: str = "caption") -> DataFrame:
-    """Pages ``id_col, html`` that show each row's payload as a figure with its caption."""
+    """Pages ``id_col, html`` that show each row's payload as a figure, its caption below and a heading before."""
 
     def escaped(name: str):
         value = F.coalesce(F.col(name), F.lit(""))
@@ -174,16 +192,18 @@ def page_of(text: DataFrame, id_col: str = "doc_id", digest_col: str = "digest",
             value = F.replace(value, F.lit(a), F.lit(b))
         return value
 
-    return text.select(id_col, F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col(digest_col), F.lit('"><figcaption>'), escaped(caption_col), F.lit("</figcaption></figure>")).alias("html"))
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col(digest_col), F.lit('"><figcaption>'), escaped(caption_col), F.lit("</figcaption></figure>"))
+    return text.select(id_col, F.concat(F.lit("<h1>Document</h1>"), figure).alias("html"))
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text as a stored image, read back through its page's media reference.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, position, caption``, a row for every row of ``docs``. Texts are UTF-8, null
-    is empty; equal texts share a digest and have equal values. Other columns are
-    ignored; an empty table gives an empty one.
+    media_sha256, feature, position, caption``, a row for every row of ``docs``. Texts are UTF-8 of
+    any length, null is empty; equal texts share a digest and have equal values. A null id
+    stays null and has an empty caption; repeated ids are rows of their own. Other columns
+    are ignored; an empty table gives an empty one.
     """
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.sha2(data, 256).alias("digest"))
