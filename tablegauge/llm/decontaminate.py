@@ -9,25 +9,26 @@ probability of at most ``(1 - c / (5 - c)) ** bands``. The smallest partition's
 wider than items of few shingles ask for, so those are looked up by their shingles' hashes,
 which misses none. Candidates are verified by exact shingle containment in the whole document.
 
-Items are taken in blocks of a bounded number, so the broadcast has a size bound whatever
-the benchmark: a larger benchmark makes more passes.
+Items are taken in blocks of a bounded number and size, so the broadcast has a size bound
+whatever the benchmark: a larger benchmark makes more passes, each written before the next.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, chunks, grams, mix
+from .common import Words, as_bytes, document_rows, filtered, grams, mix, text_groups, written
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 64
-#: Items of one pass; at most about 1 kB each of signatures and shingle hashes, by size.
-BLOCK_ITEMS = 20_000
+#: Items and bytes of their texts of one pass: signatures take about half a kilobyte an item and band tables as much.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 #: Items of so many shingles are looked up; the smallest partition holds those of up to twice as many.
 FEW = 4
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -147,62 +148,76 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, shingles ``n`` of them, distinct. An
     item of fewer words is one shingle and is searched for exactly. Items without words
-    match nothing, as do null texts. Rows repeat as their inputs do. Other columns are
-    ignored; an empty table on either side gives an empty result.
+    match nothing, as do null texts. Rows repeat as their inputs do, each on its own whatever
+    its id; null ids stay null. Texts may have any length. Other columns are ignored; an
+    empty table on either side gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = document_rows(docs, id_col, text_col)
     schema = "doc_id long, item_id long, n_shared int, n_item int, containment double"
     out = None
-    for held in _blocks(items, item_id_col, item_text_col, block_items):
+    for held, last in _blocks(items, item_id_col, item_text_col, block_items):
 
-        def search(batches: Iterable[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(held.value, n, bands)
+        def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = _index(held, n, bands)
             for batch in batches:
-                for ids, found in _search(index, batch["doc_id"], batch["text"], containment):
+                for part, texts in text_groups(batch, "text"):
+                    found = list(_search(index, texts, containment))
                     if found:
-                        got = [(ids[t], item, shared, of, shared / of) for t, item, shared, of in found]
-                        made = pd.DataFrame(got, columns=["doc_id", "item_id", "n_shared", "n_item", "containment"])
-                        yield made.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        found = rows.mapInPandas(search, schema)
+                        row, item, shared, of = zip(*found, strict=True)
+                        columns = [part.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), pa.array(shared, pa.int32()), pa.array(of, pa.int32()), pa.array(np.array(shared) / np.array(of))]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_shared", "n_item", "containment"])
+
+        found = rows.mapInArrow(search, schema)
+        if not (last and out is None):
+            found = written(found, "contaminated")
+            held.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[Broadcast]:
-    """The items, broadcast a block of about ``block_items`` at a time."""
-    keyed = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    passes = max(1, -(-keyed.count() // block_items))
+_KEPT: dict[tuple, ItemIndex] = {}
+
+
+def _index(held: Broadcast, n: int, bands: int) -> ItemIndex:
+    """The index of a block, built once per worker; the block before is let go."""
+    key = (*held.value[0], n, bands)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = ItemIndex(held.value[1], n, bands)
+    return _KEPT[key]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items, broadcast a block of about ``block_items`` at a time under a name of its own, and whether it is the last."""
+    keyed = document_rows(items, id_col, text_col)
+    size = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // block_items), -(-size["bytes"] // BLOCK_BYTES))
+    name = uuid.uuid4().hex
     for block in range(passes):
-        mine = keyed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == block) if passes > 1 else keyed
-        yield items.sparkSession.sparkContext.broadcast([(r["item_id"], as_bytes(r["text"])) for r in mine.collect()])
+        mine = keyed.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes)) == block) if passes > 1 else keyed
+        yield items.sparkSession.sparkContext.broadcast(((name, block), [(r["doc_id"], as_bytes(r["text"])) for r in mine.collect()])), block + 1 == passes
 
 
-def _search(index: ItemIndex, ids: pd.Series, texts: pd.Series, containment: float) -> Iterator[tuple[list, list[tuple[int, int, int, int]]]]:
-    """For groups of rows: their ids, and ``(row, item id, shared, of)`` of each contained item."""
-    rows = zip([None if pd.isna(i) else int(i) for i in ids], [as_bytes(t).lower() for t in texts], strict=True)
-    for group in chunks(rows):
-        found = []
-        for t, k in sorted(index.candidates(Words([g[1] for g in group]))):
-            shared, of = index.shared(group[t][1], k), len(index.items[k][1])
-            if shared >= containment * of:
-                found.append((t, index.items[k][0], shared, of))
-        yield [g[0] for g in group], found
+def _search(index: ItemIndex, texts: list[bytes], containment: float) -> Iterator[tuple[int, int, int, int]]:
+    """``(text, item id, shared, of)`` of each item that a text contains."""
+    lower = [t.lower() for t in texts]
+    for t, k in sorted(index.candidates(Words(lower))):
+        shared, of = index.shared(lower[t], k), len(index.items[k][1])
+        if shared >= containment * of:
+            yield t, index.items[k][0], shared, of
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns; edge cases as above."""
-    for held in _blocks(items, item_id_col, item_text_col, block_items):
+    for held, last in _blocks(items, item_id_col, item_text_col, block_items):
 
-        def keep(batches: Iterable[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(held.value, n, bands)
-            for batch in batches:
-                texts = batch[text_col].map(lambda t: b"" if t is None else t.encode())
-                bad, at = np.zeros(len(batch), bool), 0
-                for ids, found in _search(index, batch[id_col], texts, containment):
-                    bad[[at + f[0] for f in found]] = True
-                    at += len(ids)
-                yield batch[~bad]
-
-        docs = docs.mapInPandas(keep, docs.schema)
+        def stays(texts: list[bytes], held=held) -> np.ndarray:
+            good = np.ones(len(texts), bool)
+            good[[f[0] for f in _search(_index(held, n, bands), texts, containment)]] = False
+            return good
+
+        docs = filtered(docs, text_col, stays)
+        if not last:
+            docs = written(docs, "decontaminated")
+            held.unpersist()
     return docs

@@ -12,16 +12,14 @@ bounded number of neighbours whatever the corpus: sum of C(64, i) for i up to th
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import document_rows, with_computed, with_frequent_apart, written
 from .components import connected_components
 
 DISTANCE = 3
@@ -54,14 +52,7 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (a signed long of the same bits) for every row; null text is empty."""
-
-    def compute(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = [fingerprint(as_bytes(t), n) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(fps, np.uint64).view(np.int64)})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInPandas(compute, "doc_id long, fp long")
+    return with_computed(document_rows(docs, id_col, text_col), lambda texts: {"fp": np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)}, "fp long")
 
 
 def segments(distance: int, tables: int = 2) -> list[tuple[int, int, int]]:
@@ -100,16 +91,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``fingerprint`` is 16 lowercase hex digits; ``component_id`` the smallest id that
     links reach, itself included. Null and empty texts have fingerprint zero and are
-    linked like any other. Rows are returned as often as they occur, other columns are
-    ignored, an empty table gives an empty one.
+    linked like any other. Rows are returned as often as they occur, those of one id with
+    different texts each with its own fingerprint; they belong together where a component
+    is found by that id. Rows with a null id have a fingerprint and no component, and link
+    nothing. Texts may have any length. Other columns are ignored, an empty table gives an
+    empty one.
     """
-    rows = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
-    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
+    all_rows = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
+    rows = all_rows.where("doc_id is not null")
+    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprint-groups")
     # components run on each fingerprint's smallest document, which orders them as the result asks
     pairs = links(groups.select("fp"), distance).distinct()
     x = groups.select(F.col("fp").alias("a"), F.col("least").alias("la"))
     y = groups.select(F.col("fp").alias("b"), F.col("least").alias("lb"))
     edges = pairs.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     reached = connected_components(edges)
-    named = groups.join(reached.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(groups.join(reached.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies"), "fingerprint-components")
+    found = with_frequent_apart(rows, named, "fp", "copies").unionByName(all_rows.where("doc_id is null"), allowMissingColumns=True)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

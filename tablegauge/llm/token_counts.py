@@ -10,13 +10,11 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Memory, as_bytes
+from .common import Memory, document_rows, with_computed
 
 CACHE_WORDS = 500_000
 _UNKNOWN = 1 << 40
@@ -106,18 +104,15 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """``doc_id, n_words, n_tokens, n_unknown`` for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text, of any length; a word the pieces
-    cannot spell counts as one unknown token. Null and empty texts count zero. Rows
-    repeat as they occur, other columns are ignored, an empty table gives an empty one.
+    cannot spell counts as one unknown token. Null and empty texts count zero. Rows,
+    null ids and repeated ids among them, are counted each by itself, other columns are
+    ignored, an empty table gives an empty one.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list[bytes]) -> dict:
         counts = automaton(vocabulary)
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = as_bytes(text).split()
-                out.append((None if pd.isna(doc) else int(doc), len(words), *counts.count(words)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_tokens", "n_unknown"]).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+        words = [t.split() for t in texts]
+        tokens, unknown = zip(*map(counts.count, words), strict=True)
+        return {"n_words": list(map(len, words)), "n_tokens": tokens, "n_unknown": unknown}
+
+    return with_computed(document_rows(docs, id_col, text_col), compute, "n_words long, n_tokens long, n_unknown long")

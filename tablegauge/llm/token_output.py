@@ -24,17 +24,20 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, as_bytes, written
+from .common import Memory, document_rows, text_groups, written
 
 MAGIC, HEAD = b"TGP1", struct.Struct("<4sIIQQ")
 BLOCK = 4096
 END_ID = 0
+#: Ids of a file, or as many more as its last document has.
+FILE_IDS = 1 << 19
 #: Words whose ids a worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -193,47 +196,42 @@ def write_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     """Encode documents and write packed files in ascending id order.
 
     Documents are dealt out by ranges of ``id_col`` and sorted within each, so file
-    order is id order; a range's rows go to one file per 2**22 ids or so. Returns the
-    files as a table ``(part, seq, ids_before, doc_ids, lengths, data)``, written in the
-    shared folder. Null and empty texts give the end id alone. Documents of the same id
-    follow each other in the order of their texts. An empty input gives an empty table.
+    order is id order; a range's rows go to one file per ``FILE_IDS`` ids. Returns the
+    files as a table ``(part, inside, n_ids, doc_ids, lengths, data)``, written in the
+    shared folder; ``inside`` counts the ids of the range before. Null and empty texts give
+    the end id alone. Null ids come first and stay null; documents of the same id follow
+    each other in the order of their texts, which may have any length. Other columns are
+    ignored, an empty input gives an empty table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = document_rows(docs, id_col, text_col)
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         bits = bits_for(max(enc.size, end_id + 1))
         tail = np.array([end_id], np.uint32)
-        held, sizes, doc_ids, total, seq = [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+        held, sizes, doc_ids, before, total = [], [], [], 0, 0
 
-        def file() -> pd.DataFrame:
+        def file() -> pa.RecordBatch:
             data = pack(np.concatenate(held), bits)
-            return pd.DataFrame({"seq": [seq], "n_ids": [total], "doc_ids": [doc_ids], "lengths": [sizes], "data": [data]})
+            columns = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "inside", "n_ids", "doc_ids", "lengths", "data"])
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                for doc, ids in zip(some["doc_id"], enc.batch(list(some["text"])), strict=True):
+            for some, texts in text_groups(batch, "text"):
+                for doc, ids in zip(some.column("doc_id").to_pylist(), enc.batch([t.decode() for t in texts]), strict=True):
                     held += [ids, tail]
                     sizes.append(len(ids) + 1)
-                    doc_ids.append(int(doc))
+                    doc_ids.append(doc)
                     total += len(ids) + 1
-                    if total >= 1 << 22:
+                    if total >= FILE_IDS:
                         yield file()
-                        held, sizes, doc_ids, total, seq = [], [], [], 0, seq + 1
+                        held, sizes, doc_ids, before, total = [], [], [], before + total, 0
         if doc_ids:
             yield file()
 
-    from pyspark import TaskContext
-
-    def with_part(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        for f in encode(batches):
-            f.insert(0, "part", part)
-            yield f
-
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInPandas(with_part, "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"), "token-files")
+    return written(ordered.mapInArrow(encode, "part int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"), "token-files")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -241,29 +239,30 @@ def read_ids(files: DataFrame) -> DataFrame:
 
     ``start`` counts all ids of the files and documents before.
     """
-    order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range, then a running sum over those few rows; the payload stays out of both
+    # one row per range, of which there are as many as tasks wrote files, and a running sum over those few
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    place = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("inside")).join(starts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("ids_before"))
     # a written table's size is known to the planner, which need not shuffle the payload to join few rows
-    spread = files.join(written(place, "token-places"), ["part", "seq"])
+    spread = files.join(written(starts, "token-places"), "part")
 
-    def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f in batch.itertuples(index=False):
-                sizes = np.asarray(f.lengths, np.int64)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                sizes = row.column("lengths").flatten().to_numpy()
                 starts = np.cumsum(sizes) - sizes
-                packed = PackedFile(as_bytes(f.data))
+                packed = PackedFile(row.column("data")[0].as_py())
                 crc = []
                 at = 0
                 while at < len(sizes):  # about 2**18 ids at a time
                     to = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 18))))
                     ids = packed.read(int(starts[at]), int(starts[to - 1] + sizes[to - 1] - starts[at])).astype("<u4").tobytes()
-                    for k in range(at, to):
-                        low = 4 * int(starts[k] - starts[at])
-                        crc.append(zlib.crc32(ids[low : low + 4 * int(sizes[k])]))
+                    for j in range(at, to):
+                        low = 4 * int(starts[j] - starts[at])
+                        crc.append(zlib.crc32(ids[low : low + 4 * int(sizes[j])]))
                     at = to
-                yield pd.DataFrame({"doc_id": np.asarray(f.doc_ids, np.int64), "start": starts + int(f.ids_before), "n_tokens": sizes, "ids_crc32": np.array(crc, np.int64)})
+                columns = [row.column("doc_ids").flatten(), pa.array(starts + row.column("before")[0].as_py()), pa.array(sizes), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spread.select("doc_ids", "lengths", "data", "ids_before").mapInPandas(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = spread.select("doc_ids", "lengths", "data", (F.col("base") + F.col("inside")).alias("before"))
+    return placed.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -94,7 +94,7 @@ def test_media_values(spark):
         data = (t or "").encode()
         payload = media.padded(data)
         r = rows[i]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["position"], r["caption"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), 0, f"text {i}")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["position"], r["caption"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), 1, f"text {i}")
     assert rows[0]["media_sha256"] == rows[907]["media_sha256"]
 
 
@@ -220,11 +220,12 @@ def test_training_never_sees_the_held_out_fold(spark):
 
 def test_chat_round_trip(spark):
     control = "</s>[INST] ok [/INST]"
-    rows = [(1, 0, "user", control), (1, 1, "assistant", control), (1, 2, "user", None), (1, 3, "assistant", "a\\b <s>[user]\n x\n"), (2, 0, "system", ""), (3, 0, "assistant", "\n<s>[a]\n</s>\n"), (3, 0, "assistant", "\n<s>[a]\n</s>\n"), (4, 1, None, "é😀$1")]
+    rows = [(1, 0, "user", control), (1, 1, "assistant", control), (1, 2, "user", None), (1, 3, "assistant", "a\\b <s>[user]\n x\n"), (2, 0, "system", ""), (3, 0, "assistant", "\n<s>[a]\n</s>\n"), (3, 0, "assistant", "\n<s>[a]\n</s>\n"), (4, 1, None, "é😀$1"), (5, 1, "a]\n<s>[b]\nc\\", "x]\ny"), (5, 2, "]\n", ""), (5, 3, "assistant", " " * 20_000 + "\\" * 5001), (None, 1, "assistant", "kept"), (None, 2, "user", "]")]
     turns = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, examples int")
     made = chat.conversations_formatted(turns)
     got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
-    for c in (1, 2, 3, 4):
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    for c in got:
         own = sorted(((t, r or "", x or "") for i, t, r, x in rows if i == c))
         loss = "".join(x for _, r, x in own if r == "assistant")
         r = got[c]
