@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .moments import joined_by
+from .ordering import running_before
 from .sample import bootstrap
 
 
-def average_rank(x: str, *by: str) -> Column:
-    """Rank from 1, ties share their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+def average_rank(rows: DataFrame, x: str, out: str, *by: str) -> DataFrame:
+    """``out``: rank from 1, ties share their mean."""
+    cells = rows.groupBy(*by, x).agg(F.count("*").alias("__c"))
+    ranks = running_before(cells, x, "__c", *by, out="__b").select(*by, x, (F.col("__b") + (F.col("__c") + 1) / 2).alias(out))
+    return joined_by(rows, ranks, *by, x)
 
 
 def correlations(long: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -21,7 +24,7 @@ def correlations(long: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     distinct pairs of a group, not its rows; bin large continuous columns first.
     """
     rows = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranks = rows.withColumn("rx", average_rank("x", *by)).withColumn("ry", average_rank("y", *by))
+    ranks = average_rank(average_rank(rows, "x", "rx", *by), "y", "ry", *by)
     linear = ranks.groupBy(*by).agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
     cells = rows.groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
     a, b = cells.alias("a"), cells.alias("b")
@@ -62,8 +65,8 @@ def kde(df: DataFrame, x: str, points: DataFrame, *by: str) -> DataFrame:
     w = rows.groupBy(*by).agg((F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"))
     sized = rows.join(F.broadcast(w), list(by)) if by else rows.crossJoin(F.broadcast(w))
     met = sized.crossJoin(F.broadcast(points))
-    z = (F.col("at") - F.col("x")) / F.col("h")
-    return met.groupBy(*by, "i", "at").agg((F.sum(F.exp(-0.5 * z * z)) / (F.count("*") * F.first("h") * 2.5066282746310002)).alias("density"))
+    z = F.try_divide(F.col("at") - F.col("x"), "h")  # no density where all values are one
+    return met.groupBy(*by, "i", "at").agg((F.sum(F.exp(-0.5 * z * z)) / F.nullif(F.count("*") * F.first("h"), F.lit(0.0)) / 2.5066282746310002).alias("density"))
 
 
 def kde_band(df: DataFrame, x: str, key: str, points: DataFrame, replicates: int = 1000) -> DataFrame:

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from .ordering import quantiles
 from pyspark.sql import types as T
 
 from ..functions.scalars import slug
@@ -95,14 +97,15 @@ def keep_frequent_classes(df: DataFrame, label: str, least_percent: float = 0.01
 def keep_by_count_quantile(df: DataFrame, label: str, q: float = 0.05) -> DataFrame:
     """Rows of classes whose count reaches the quantile of class counts."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    cut = counts.agg(F.percentile("n", F.lit(q)).alias("cut"))
+    cut = quantiles(counts, ["n"], [q]).select(F.col("q")[0].alias("cut"))
     return df.join(counts.crossJoin(F.broadcast(cut)).where("n >= cut").select(label), label, "left_semi")
 
 
 def row_mean_filter(df: DataFrame, label: str, mean: str, key: str, q: float = 0.1) -> DataFrame:
     """Rows above their class's quantile of ``mean``; a class left empty keeps its best row."""
-    cuts = df.groupBy(label).agg(F.percentile(mean, F.lit(q)).alias("__cut"), F.max(F.struct(F.col(mean), F.col(key))).alias("__best"), F.max(mean).alias("__top"))
-    joined = df.join(F.broadcast(cuts), label)  # one row per class
+    best = df.groupBy(label).agg(F.max(F.struct(F.col(mean), F.col(key))).alias("__best"), F.max(mean).alias("__top"))
+    cuts = best.join(quantiles(df, [mean], [q], label).select(label, F.col("q")[0].alias("__cut")), label)
+    joined = df.join(cuts, label)
     kept = (F.col(mean) > F.col("__cut")) | ((F.col("__top") <= F.col("__cut")) & (F.struct(F.col(mean), F.col(key)) == F.col("__best")))
     return joined.where(kept).select(*df.columns)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .moments import class_counts, imbalance, summary_of
+from ..functions.stored import stored
+from .moments import class_counts, imbalance, summary
 
 #: Rows up to which ``neighbours`` offers exact neighbours by one broadcast.
 EXACT_ROWS = 5000
@@ -188,9 +190,9 @@ def block_nearest(x, codes, here, there, k: int, include_self: bool = False):
     return tuple(np.concatenate(g) for g in zip(*got, strict=True))
 
 
-def neighbour_count(n: int, most: int = 64) -> int:
+def neighbour_count(n: int) -> int:
     """Neighbours for a table of ``n`` rows."""
-    return min(most, max(2, int(math.sqrt(n))))
+    return max(2, int(math.sqrt(n)))
 
 
 def kdn(near: DataFrame) -> DataFrame:
@@ -246,14 +248,17 @@ def mahalanobis(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     d = [F.col(c) - F.col("__mean")[i] for i, c in enumerate(features)]
     square = sum((d[i] * d[j] * F.col("__inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
     joined = df.join(F.broadcast(classes), F.col(label) == F.col("__label"))
-    return joined.select(F.sqrt(F.greatest(square, F.lit(0.0))).alias("x")).agg(*summary_of("x"))
+    return summary(joined.select(F.sqrt(F.greatest(square, F.lit(0.0))).alias("x")), "x")
 
 
 def _vectors(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
-    return StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("features", "y")
+    # names of its own, as the table may have columns called y or features
+    inputs = [f"__f{i}" for i in range(len(features))]
+    own = df.select(F.col(label).alias("__label"), *[F.col(c).cast("double").alias(n) for c, n in zip(features, inputs, strict=True)])
+    rows = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(own)
+    return StringIndexer(inputCol="__label", outputCol="y", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("features", "y")
 
 
 def svm_margin(df: DataFrame, label: str, features: list[str], signed: bool = False) -> DataFrame:
@@ -273,7 +278,7 @@ def svm_margin(df: DataFrame, label: str, features: list[str], signed: bool = Fa
     margins = [vector_to_array(c)[1] for c in names]
     if not signed:
         margins = [F.abs(m) for m in margins]
-    return out.select((F.least(*margins) if len(margins) > 1 else margins[0]).alias("x")).agg(*summary_of("x"))
+    return summary(out.select((F.least(*margins) if len(margins) > 1 else margins[0]).alias("x")), "x")
 
 
 def probability_entropy(df: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -285,7 +290,7 @@ def probability_entropy(df: DataFrame, label: str, features: list[str]) -> DataF
 
     rows = _vectors(df, label, features)
     model = LogisticRegression(labelCol="y", regParam=1.0 / max(1, rows.count()), maxIter=50).fit(rows)
-    return model.transform(rows).select(entropy(vector_to_array("probability")).alias("x")).agg(*summary_of("x"))
+    return summary(model.transform(rows).select(entropy(vector_to_array("probability")).alias("x")), "x")
 
 
 def intrinsic_dimension(df: DataFrame, features: list[str], share: float = 0.95) -> tuple[int, float]:
@@ -317,14 +322,73 @@ def validated(metrics: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def metric_record(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """``metric, sub_metric, value``: the measures that class moments and counts give."""
+    """``metric, sub_metric, value``: the measures that class moments give, which are computed and stored once."""
     from .moments import class_moments
 
-    m = class_moments(df, label, features)
+    m = stored(class_moments(df, label, features), "moments")
+    # a class's rows; the features' counts lack its nulls
+    counts = m.groupBy("label").agg(F.max("n").alias("n"))
     stack = "stack(3, 'n_classes', cast(n_classes as double), 'imbalance_ratio', imbalance_ratio, 'normalized_entropy', normalized_entropy) as (sub_metric, value)"
     return (
         anova_f(m).select(F.lit("anova_f").alias("metric"), F.col("feature").alias("sub_metric"), F.col("f").alias("value"))
         .unionByName(calinski_harabasz(m).select(F.lit("calinski_harabasz").alias("metric"), F.lit("score").alias("sub_metric"), F.col("calinski_harabasz").alias("value")))
         .unionByName(centroid_distance(m).select(F.lit("centroid_distance").alias("metric"), F.lit("mean").alias("sub_metric"), F.col("centroid_distance").alias("value")))
-        .unionByName(class_imbalance(df, label).selectExpr("'class_imbalance' as metric", stack))
+        .unionByName(imbalance(counts).selectExpr("'class_imbalance' as metric", stack))
     )
+
+
+#: Statistics that a metric over rows is reported by.
+STATISTICS = ("size", "max", "min", "mean", "median", "q1", "q3", "iqr", "std", "variance")
+
+
+def metric_jobs(df: DataFrame, label: str, features: list[str], key: str | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """For each of the ten metrics, what computes its ``sub_metric, value``; ``key`` allows those of neighbours."""
+    from .moments import class_moments, histogram
+
+    def statistics(frame: DataFrame) -> DataFrame:
+        return frame.select(F.explode(F.array(*[F.struct(F.lit(s).alias("sub_metric"), F.col(s).cast("double").alias("value")) for s in STATISTICS])).alias("x")).select("x.*")
+
+    def of_moments(metric: str) -> Callable[[], DataFrame]:
+        return lambda: metric_record(df, label, features).where(F.col("metric") == metric).select("sub_metric", "value")
+
+    def information() -> DataFrame:
+        h = histogram(df, label, features, bins_for(df.count()))
+        return mutual_information(h).select(F.col("feature").alias("sub_metric"), F.col("mutual_information").alias("value"))
+
+    def dimension() -> DataFrame:
+        k, percent = intrinsic_dimension(df, features)
+        return df.sparkSession.createDataFrame([("components", float(k)), ("percent", float(percent))], "sub_metric string, value double")
+
+    def neighbourhood() -> DataFrame:
+        rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
+        each = kdn(nearest(rows, "key", "label", "v", neighbour_count(rows.count())))
+        return each.agg(F.avg("kdn").alias("value")).select(F.lit("mean").alias("sub_metric"), "value")
+
+    jobs = {m: of_moments(m) for m in ("anova_f", "calinski_harabasz", "centroid_distance", "class_imbalance")}
+    jobs |= {
+        "mutual_information": information,
+        "mahalanobis": lambda: statistics(mahalanobis(df, label, features)),
+        "svm_margin": lambda: statistics(svm_margin(df, label, features)),
+        "probability_entropy": lambda: statistics(probability_entropy(df, label, features)),
+        "intrinsic_dimension": dimension,
+    }
+    return jobs | ({"kdn": neighbourhood} if key else {})
+
+
+def measured(df: DataFrame, label: str, features: list[str], key: str | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """``metric, sub_metric, value, status, message``: every metric on its own, so that one that fails is a row.
+
+    ``status`` is ok, nan, or error with a null value and the message. What is collected is
+    the few numbers of each metric. A metric of an unknown name is an error too.
+    """
+    jobs = metric_jobs(df, label, features, key)
+    out: list[tuple] = []
+    for name in metrics if metrics is not None else jobs:
+        try:
+            got = [(r["sub_metric"], r["value"]) for r in jobs[name]().collect()]
+            out += [(name, s, v, "nan" if v is None or math.isnan(v) else "ok", None) for s, v in got]
+            if not got:
+                out.append((name, None, None, "error", "no value"))
+        except Exception as e:  # noqa: BLE001  a failed metric is a record
+            out.append((name, None, None, "error", f"{type(e).__name__}: {e}"[:200]))
+    return df.sparkSession.createDataFrame(out, "metric string, sub_metric string, value double, status string, message string")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles, running_before
 from .profile import column_profile
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """``value, n, share`` of a column."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = counts.agg(F.sum("n").alias("__total"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("value", "n", (F.col("n") / F.col("__total")).alias("share"))  # a single row
 
 
 def frequency_encode(df: DataFrame, column: str, out: str, share: bool = True, fitted: DataFrame | None = None) -> DataFrame:
@@ -55,8 +57,15 @@ def cardinality_plan(df: DataFrame, low: int = 1 << 14, high: int = 1 << 18) ->
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``value, code``: codes from 0 in alphabetical order; nulls have none."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.lit(1).alias("__one"))
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    if values.schema["value"].dataType.simpleString() != "string":
+        return running_before(values.withColumn("one", F.lit(1)), "value", "one").select("value", F.col("before").cast("int").alias("code"))
+    # strings that begin alike follow each other; beginnings are counted, and those counts summed up
+    begun = values.withColumn("__part", F.substring("value", 1, 3))
+    counts = begun.groupBy("__part").agg(F.count("*").alias("__n"))
+    places = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = begun.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy("value")))
+    return own.join(places, F.col("__part") == F.col("__p")).select("value", (F.col("__before") + F.col("__own") - 1).cast("int").alias("code"))
 
 
 def encode_labels(df: DataFrame, column: str, codes: DataFrame, unseen: int = -1) -> DataFrame:
@@ -86,8 +95,8 @@ def smart_encode(df: DataFrame, columns: list[str], few: int = 3) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct edges of equal-frequency bins."""
-    got = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"]
-    return sorted(set(got or []))
+    got = quantiles(df, [column], [i / bins for i in range(bins + 1)]).first()
+    return sorted(set(got["q"])) if got else []
 
 
 def bin_label(x: Column, edges: list[float], prefix: str = "Q") -> Column:
@@ -125,9 +134,14 @@ def scaled(df: DataFrame, columns: list[str], method: str, fitted: DataFrame | N
         "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
         "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
         "maxabs": lambda c: (F.lit(0.0), F.max(F.abs(c))),
-        "robust": lambda c: (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[method]
-    one = (fitted if fitted is not None else df).agg(*[e.alias(f"__{k}_{c}") for c, v in x.items() for k, e in zip("sw", stats(v), strict=True)])
+    }
+    source = fitted if fitted is not None else df
+    if method == "robust":
+        cuts = quantiles(source, columns, [0.25, 0.5, 0.75])
+        own = lambda c, i: F.max(F.when(F.col("feature") == c, F.col("q")[i]))
+        one = cuts.agg(*[e for c in columns for e in (own(c, 1).alias(f"__s_{c}"), (own(c, 2) - own(c, 0)).alias(f"__w_{c}"))])
+    else:
+        one = source.agg(*[e.alias(f"__{k}_{c}") for c, v in x.items() for k, e in zip("sw", stats[method](v), strict=True)])
     done = df.crossJoin(F.broadcast(one))  # a single row
     for c, v in x.items():
         done = done.withColumn(c, F.when(F.col(f"__w_{c}") > 0, (v - F.col(f"__s_{c}")) / F.col(f"__w_{c}")).otherwise(0.0))

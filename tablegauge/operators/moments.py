@@ -5,31 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def describe(df: DataFrame, features: list[str]) -> DataFrame:
-    """``feature`` with count, mean, sample deviation, quartiles and range, in one pass."""
+    """``feature`` with count, mean, sample deviation, exact quartiles and range."""
     row = df.agg(*[
         F.struct(
-            F.lit(c).alias("feature"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("least"),
-            *[F.percentile(c, F.lit(q)).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.max(c).alias("most"),
+            F.lit(c).alias("feature"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"),
         ).alias(c)
         for c in features
     ])
-    return row.select(F.explode(F.array(*features)).alias("x")).select("x.*")
-
-
-def summary_of(x: str | Column) -> list[Column]:
-    """Ten statistics of a column, population deviation and variance among them."""
-    q = lambda p: F.percentile(x, F.lit(p))
-    return [
-        F.count(x).alias("size"), F.max(x).alias("max"), F.min(x).alias("min"), F.avg(x).alias("mean"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"),
-        (q(0.75) - q(0.25)).alias("iqr"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("variance"),
-    ]
+    one = row.select(F.explode(F.array(*features)).alias("x")).select("x.*")
+    cuts = quantiles(df, features, [0.25, 0.5, 0.75]).select("feature", *[F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+    return one.join(cuts, "feature", "left").select("feature", "n", "mean", "std", "least", "q1", "median", "q3", "most")
 
 
 def summary(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """Ten statistics of a column, per group if any."""
-    return df.groupBy(*by).agg(*summary_of(x))
+    """Ten statistics of a column, per group if any: population deviation and variance, exact quartiles."""
+    own = df.select(*by, F.col(x).cast("double").alias("__x"))
+    plain = own.groupBy(*by).agg(F.count("__x").alias("size"), F.max("__x").alias("max"), F.min("__x").alias("min"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), F.var_pop("__x").alias("variance"))
+    cuts = quantiles(own, ["__x"], [0.25, 0.5, 0.75], *by).drop("feature")
+    both = joined_by(plain, cuts, *by)
+    q = F.col("q")
+    return both.select(*by, "size", "max", "min", "mean", q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"), "std", "variance")
+
+
+def joined_by(rows: DataFrame, few: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with the columns of ``few``, which has at most one row a group, or one row in all."""
+    if not by:
+        return rows.join(F.broadcast(few), F.lit(True), "left")
+    other = few.toDF(*[f"__few_{c}" if c in by else c for c in few.columns])
+    met = F.lit(True)
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"__few_{c}"))
+    return rows.join(other, met, "left").drop(*[f"__few_{c}" for c in by])
 
 
 def class_moments(df: DataFrame, label: str, features: list[str], *by: str) -> DataFrame:

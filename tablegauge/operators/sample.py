@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, hash_share
+from .ordering import hash_ranked
 
 
 def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -15,11 +16,11 @@ def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
 
 def ranked(df: DataFrame, label: str, key: str, seed: int = 42, out: str = "rank") -> DataFrame:
     """Rows numbered from 1 within their class by hash."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(label).orderBy(hash_key(F.col(key), seed), F.col(key))))
+    return hash_ranked(df, hash_key(F.col(key), seed), key, label, out=out)
 
 
 def _sized(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    return ranked(df, label, key, seed).withColumn("size", F.count("*").over(Window.partitionBy(label)))
+    return hash_ranked(df, hash_key(F.col(key), seed), key, label, size="size")
 
 
 def draws(df: DataFrame, label: str, key: str, wanted: DataFrame, seed: int = 42) -> DataFrame:
@@ -30,7 +31,7 @@ def draws(df: DataFrame, label: str, key: str, wanted: DataFrame, seed: int = 42
     sizes = df.groupBy(label).agg(F.count("*").alias("size"))
     plan = wanted.where("n > 0").join(sizes, label).select(label, "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("draw"))
     pick = F.floor(hash_share(F.concat(F.col(label).cast("string"), F.lit("|"), F.col("draw").cast("string")), seed) * F.col("size")) + 1
-    return plan.select(label, "draw", pick.cast("int").alias("rank")).join(ranked(df, label, key, seed), [label, "rank"]).select(*df.columns, "draw")
+    return plan.select(label, "draw", pick.cast("bigint").alias("rank")).join(ranked(df, label, key, seed), [label, "rank"]).select(*df.columns, "draw")
 
 
 def oversample_min(df: DataFrame, label: str, key: str, least: int, seed: int = 42) -> DataFrame:
@@ -108,13 +109,13 @@ def over_then_under(df: DataFrame, label: str, key: str, over: float | None, und
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """A ``fold`` from 0 for every row, dealt out within each class."""
-    return ranked(df, label, key, seed).withColumn("fold", F.col("rank") % k).select(*df.columns, "fold")
+    return ranked(df, label, key, seed).withColumn("fold", (F.col("rank") % k).cast("int")).select(*df.columns, "fold")
 
 
 def bootstrap(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """``replicate`` and rows drawn with replacement, as many as there are; for small result tables."""
-    numbered = df.withColumn("rank", F.row_number().over(Window.orderBy(hash_key(F.col(key), seed), F.col(key))))
+    """``replicate`` and rows drawn with replacement, as many as there are."""
+    numbered = hash_ranked(df, hash_key(F.col(key), seed), key)
     n = df.agg(F.count("*").alias("size"))
     slots = numbered.select(F.col("rank").alias("slot")).crossJoin(F.broadcast(n)).select("size", "slot", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     pick = F.floor(hash_share(F.concat(F.col("replicate").cast("string"), F.lit("|"), F.col("slot").cast("string")), seed) * F.col("size")) + 1
-    return slots.select("replicate", "slot", pick.cast("int").alias("rank")).join(numbered, "rank").drop("rank")
+    return slots.select("replicate", "slot", pick.cast("bigint").alias("rank")).join(numbered, "rank").drop("rank")

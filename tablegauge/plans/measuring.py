@@ -23,7 +23,7 @@ _CENTROIDS = "c AS (SELECT a.label AS la, b.label AS lb, sqrt(sum(power(a.mean -
 _IMBALANCE = "(SELECT count(*) AS k, max(n) / min(n) AS ratio, -sum(n / t * ln(n / t)) / ln(count(*)) AS h FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM lineitem GROUP BY l_returnflag))"
 
 
-@R.add(f"""WITH {_MOMENTS}, {_CENTROIDS}
+@R.add(f"""WITH lineitem AS (SELECT DISTINCT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem), {_MOMENTS}, {_CENTROIDS}
 SELECT 'anova_f' AS metric, feature AS sub_metric, round({_F}, 6) AS value FROM m JOIN g USING (feature) GROUP BY feature
 UNION ALL SELECT 'calinski_harabasz', 'score', round((sum(n * power(mean - grand, 2)) / (any_value(k) - 1)) / (sum(m2) / (any_value(total) - any_value(k))), 6) FROM m JOIN g USING (feature)
 UNION ALL SELECT 'centroid_distance', 'mean', round(avg(d), 6) FROM c
@@ -101,28 +101,32 @@ p AS (SELECT a.vec_id AS key, a.label AS label, b.vec_id AS other, b.label AS ot
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, other) AS rank FROM p WHERE key <> other)"""
 
 
-def _near(spark: SparkSession, d: str, k: int, include_self: bool = False) -> DataFrame:
-    return X.nearest(table(spark, d, "embeddings"), "vec_id", "label", "embedding", k, include_self)
+def _near(spark: SparkSession, d: str, include_self: bool = False) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return X.nearest(rows, "vec_id", "label", "embedding", X.neighbour_count(rows.count()), include_self)
 
 
-@R.add(f"WITH {_NN} SELECT key, round(avg(CASE WHEN label <> other_label THEN 1 ELSE 0 END), 6) AS kdn FROM n WHERE rank <= 22 GROUP BY key")
+_K = "(SELECT greatest(2, CAST(floor(sqrt(count(*))) AS INTEGER)) FROM embeddings)"
+
+
+@R.add(f"WITH {_NN} SELECT key, round(avg(CASE WHEN label <> other_label THEN 1 ELSE 0 END), 6) AS kdn FROM n WHERE rank <= {_K} GROUP BY key")
 def kdn(spark: SparkSession, d: str) -> DataFrame:
     """Share of disagreeing neighbours of every row."""
-    return X.kdn(_near(spark, d, 22)).select("key", F.round("kdn", 6).alias("kdn"))
+    return X.kdn(_near(spark, d)).select("key", F.round("kdn", 6).alias("kdn"))
 
 
-@R.add(f"WITH {_NN} SELECT key, round(min(distance), 6) AS distance FROM n WHERE rank <= 22 AND label <> other_label GROUP BY key")
+@R.add(f"WITH {_NN} SELECT key, round(min(distance), 6) AS distance FROM n WHERE rank <= {_K} AND label <> other_label GROUP BY key")
 def nearest_enemy(spark: SparkSession, d: str) -> DataFrame:
     """Distance to the nearest neighbour of another class."""
-    return X.nearest_enemy(_near(spark, d, 22)).select("key", F.round("distance", 6).alias("distance"))
+    return X.nearest_enemy(_near(spark, d)).select("key", F.round("distance", 6).alias("distance"))
 
 
 @R.add(f"""WITH {_NN}, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, other) AS r FROM p),
-v AS (SELECT key, label, other_label, count(*) AS c FROM s WHERE r <= 22 GROUP BY ALL), w AS (SELECT key, label, arg_max(other_label, (c, -other_label)) AS vote FROM v GROUP BY ALL)
+v AS (SELECT key, label, other_label, count(*) AS c FROM s WHERE r <= {_K} GROUP BY ALL), w AS (SELECT key, label, arg_max(other_label, (c, -other_label)) AS vote FROM v GROUP BY ALL)
 SELECT round(1 - avg(CASE WHEN vote = label THEN 1 ELSE 0 END), 6) AS knn_overlap FROM w""")
 def knn_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Error of a neighbours' vote on its own rows."""
-    return X.knn_overlap(_near(spark, d, 22, True)).select(F.round("knn_overlap", 6).alias("knn_overlap"))
+    return X.knn_overlap(_near(spark, d, True)).select(F.round("knn_overlap", 6).alias("knn_overlap"))
 
 
 @R.add(f"""WITH {_NN}, q AS (SELECT key, label, other_label, avg(power(distance, 2)) FILTER (WHERE key <> other) AS m FROM p GROUP BY ALL),

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import shared_path, stored
 from ..operators import clean as C
 from ..operators import complexity as X
 from ..operators import encode as E
@@ -16,12 +14,6 @@ from ..operators import sample as A
 from ..sources import readers as I
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tables-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cleaned(df: DataFrame, target: str) -> DataFrame:
     """Fills, numeric texts, address and identifier columns, encodings, filters, narrow types and names.
 
@@ -44,13 +36,15 @@ def cleaned(df: DataFrame, target: str) -> DataFrame:
     return C.normalized_columns(P.shrink(df), target)
 
 
-def complexity(df: DataFrame, label: str, features: list[str], key: str, fractions: list[float]) -> DataFrame:
-    """``fraction, metric, sub_metric, value, status`` for nested sample fractions of a table."""
-    out = None
+def complexity(df: DataFrame, label: str, features: list[str], key: str, fractions: list[float], metrics: list[str] | None = None) -> DataFrame:
+    """``fraction, metric, sub_metric, value, status, message`` for nested sample fractions of a table.
+
+    All ten metrics, or those named; one that fails is a row of its own.
+    """
+    df, out = stored(df.select(key, label, *features), "table"), None
     for f in fractions:
         part = A.fraction_sample(df, key, f) if f < 1 else df
-        got = X.metric_record(part, label, features)
-        row = X.validated(got, got.select("metric", "sub_metric")).select(F.lit(f).alias("fraction"), "*")
+        row = X.measured(part, label, features, key, metrics).select(F.lit(f).alias("fraction"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

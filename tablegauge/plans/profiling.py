@@ -10,6 +10,7 @@ from ..operators import encode as E
 from ..operators import moments as M
 from ..operators import profile as P
 from ..operators import sample as A
+from ..operators.ordering import quantiles
 from .base import Registry, table
 
 R = Registry()
@@ -149,7 +150,7 @@ def class_moments(spark: SparkSession, d: str) -> DataFrame:
 @R.add("SELECT l_returnflag AS label, quantile_cont(l_extendedprice, 0.1) AS q FROM lineitem GROUP BY 1")
 def class_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """A quantile per class."""
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.percentile("l_extendedprice", F.lit(0.1)).alias("q"))
+    return quantiles(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "label"), ["l_extendedprice"], [0.1], "label").select("label", F.col("q")[0].alias("q"))
 
 
 @R.add(_union([f"SELECT l_returnflag AS label, '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 4) AS covariance FROM lineitem GROUP BY 1" for i, a in enumerate(_NUM) for b in _NUM[i:]]))

@@ -188,3 +188,32 @@ def test_validation_marks_missing_and_nan(spark):
     got = spark.createDataFrame([("m", "a", 1.0), ("m", "b", float("nan"))], "metric string, sub_metric string, value double")
     want = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "c")], "metric string, sub_metric string")
     assert {r["sub_metric"]: r["status"] for r in X.validated(got, want).collect()} == {"a": "ok", "b": "nan", "c": "missing"}
+
+
+def test_ranks_and_quantiles_are_exact_over_parts(spark):
+    import random
+
+    from tablegauge.operators.ordering import hash_ranked, quantiles, running_before
+
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([0.0, 1.5, rnd.random() * 100])) for k in range(70_000)] + [(None, "c", 5.0), (-1, "c", None)]
+    df = spark.createDataFrame(rows, "k long, label string, x double")
+    own = hash_ranked(df, F.md5(F.col("k").cast("string")), "k", "label", size="size")
+    want = df.withColumn("h", F.md5(F.col("k").cast("string"))).selectExpr("k", "row_number() over (partition by label order by h, k) as r", "count(*) over (partition by label) as s")
+    assert own.select("k", "rank", "size").exceptAll(want).count() == 0 and own.count() == len(rows)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = {r["label"]: r["q"] for r in quantiles(df, ["x"], shares, "label").collect()}
+    exact = {r["label"]: r["q"] for r in df.groupBy("label").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    assert got.keys() == exact.keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], exact[k]))
+    cells = df.where("x is not null").groupBy("label", "x").agg(F.count("*").alias("n"))
+    before = running_before(cells, "x", "n", "label")
+    plain = cells.selectExpr("label", "x", "n", "coalesce(sum(n) over (partition by label order by x rows between unbounded preceding and 1 preceding), 0) as before")
+    assert before.exceptAll(plain).count() == 0 and before.count() == cells.count()
+
+
+def test_a_failing_metric_is_a_row(spark):
+    df = spark.createDataFrame([(k, k % 2, float(k), float(k * k % 7)) for k in range(60)], "k long, y int, a double, b double")
+    got = {(r["metric"], r["sub_metric"]): r for r in X.measured(df, "y", ["a", "b"], "k").collect()}
+    assert len({m for m, _ in got}) == 10 and all(r["status"] == "ok" for r in got.values())
+    bad = X.measured(df, "y", ["a", "absent"], "k", ["anova_f", "nothing"]).collect()
+    assert [(r["metric"], r["status"], r["value"]) for r in bad] == [("anova_f", "error", None), ("nothing", "error", None)] and all(r["message"] for r in bad)

@@ -11,7 +11,8 @@ from tablegauge.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = [n for n in ("complexity_slice", "column_profile", "infer_types", "row_mean_filter", "oversample_min", "stratified_budget_sample", "classification_report", "correlation_table", "composite_difficulty", "kdn", "pareto_front", "quantile_bins", "text_to_int") if n in catalog.oracle_sql()]
+#: Two of the tables are too small here for what these look for.
+NAMES = sorted(set(catalog.oracle_sql()) - {"near_unique_columns", "kde_difference"})
 
 
 def rows(frame):
