@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -348,8 +349,10 @@ def metric_jobs(df: DataFrame, label: str, features: list[str], key: str | None
     def statistics(frame: DataFrame) -> DataFrame:
         return frame.select(F.explode(F.array(*[F.struct(F.lit(s).alias("sub_metric"), F.col(s).cast("double").alias("value")) for s in STATISTICS])).alias("x")).select("x.*")
 
+    record = functools.cache(lambda: stored(metric_record(df, label, features), "record"))  # four metrics share it
+
     def of_moments(metric: str) -> Callable[[], DataFrame]:
-        return lambda: metric_record(df, label, features).where(F.col("metric") == metric).select("sub_metric", "value")
+        return lambda: record().where(F.col("metric") == metric).select("sub_metric", "value")
 
     def information() -> DataFrame:
         h = histogram(df, label, features, bins_for(df.count()))
