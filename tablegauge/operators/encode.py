@@ -73,6 +73,28 @@ def encode_labels(df: DataFrame, column: str, codes: DataFrame, unseen: int = -1
     return df.join(codes.select(F.col("value").alias(column), "code"), column, "left").withColumn("code", F.coalesce("code", F.lit(unseen)))
 
 
+def text_columns(df: DataFrame, mode: str = "encode", most: int = 1000, buckets: int = 1024, portable: bool = False, but: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns, those of ``but`` aside, kept, dropped, or encoded in place.
+
+    A column of up to ``most`` values becomes its alphabetical code, any other a hash bucket.
+    """
+    if mode not in ("keep", "drop", "encode"):
+        raise ValueError(f"no mode {mode!r} for text columns")
+    names = [c for c, t in df.dtypes if t == "string" and c not in but]
+    if mode == "keep" or not names:
+        return df
+    if mode == "drop":
+        return df.drop(*names)
+    distinct = {r["column"]: r["n_distinct"] for r in column_profile(df.select(*names)).collect()}  # a row per column
+    for c in names:
+        if distinct[c] > most:
+            df = df.withColumn(c, hash_encode(F.col(c), buckets, portable=portable).cast("bigint"))
+            continue
+        codes = label_codes(df, c).select(F.col("value").alias("__value"), F.col("code").cast("bigint").alias("__code"))
+        df = df.join(F.broadcast(codes), F.col(c) == F.col("__value"), "left").withColumn(c, F.col("__code")).drop("__value", "__code")  # ``most`` rows
+    return df
+
+
 def one_hot(df: DataFrame, column: str, drop_first: bool = False) -> DataFrame:
     """A 0/1 column for each value, in alphabetical order; for columns of few values."""
     values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(1001).collect()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_share
 from .complexity import nearest
+from .sample import ranked
 
 
 def tomek_links(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
@@ -31,8 +32,7 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: DataFrame, k
 
     ``wanted(label, n)`` states how many; base row, neighbour and position come from hashes.
     """
-    rank = F.row_number().over(_class_order(label, key, seed))
-    rows = df.withColumn("rank", rank)
+    rows = ranked(df, label, key, seed)
     sizes = df.groupBy(label).agg(F.count("*").alias("size"))
     plan = wanted.where("n > 0").join(sizes, label).where("size > 1").select(label, "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("draw"))
     share = lambda tag: hash_share(F.concat(F.col(label).cast("string"), F.lit(tag), F.col("draw").cast("string")), seed)
@@ -50,11 +50,3 @@ def smote_tomek(df: DataFrame, key: str, label: str, vector: str, wanted: DataFr
     numbered = made.select((-F.abs(F.xxhash64(label, "draw")) - 1).alias(key), label, F.col("vector").alias(vector))
     both = df.select(F.col(key).cast("bigint").alias(key), label, F.transform(vector, lambda x: x.cast("double")).alias(vector)).unionByName(numbered)
     return without_tomek(both, key, label, vector)
-
-
-def _class_order(label: str, key: str, seed: int):
-    from pyspark.sql import Window
-
-    from ..functions.scalars import hash_key
-
-    return Window.partitionBy(label).orderBy(hash_key(F.col(key), seed), F.col(key))

@@ -99,11 +99,18 @@ def port_like(df: DataFrame, least: float = 0.95) -> DataFrame:
     return out.where(F.col("share") > least)
 
 
-def fit_width(df: DataFrame) -> DataFrame:
-    """The narrowest whole-number type that holds each column's values."""
+def fit_width(df: DataFrame, unsigned: bool = False) -> DataFrame:
+    """The narrowest whole-number type that holds each column's values.
+
+    ``unsigned`` names widths for files and arrays (``uint8`` .. ``int64``), as Spark has signed types only.
+    """
     whole = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint")]
     out = per_column(df.select(*whole), {"least": lambda c: F.min(c.cast("bigint")), "most": lambda c: F.max(c.cast("bigint"))})
     fits = lambda bits: (F.col("least") >= -(2 ** (bits - 1))) & (F.col("most") < 2 ** (bits - 1))
+    if unsigned:
+        below = lambda bits: (F.col("least") >= 0) & (F.col("most") < 2**bits)
+        plain = F.when(below(8), "uint8").when(below(16), "uint16").when(below(32), "uint32").when(F.col("least") >= 0, "uint64")
+        return out.select("column", plain.when(fits(8), "int8").when(fits(16), "int16").when(fits(32), "int32").otherwise("int64").alias("width"))
     return out.select("column", F.when(fits(8), "tinyint").when(fits(16), "smallint").when(fits(32), "int").otherwise("bigint").alias("width"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, measuring, modelling, profiling
+from . import cleaning, measuring, modelling, profiling, results
 from .base import Query
 
-MODULES = (cleaning, profiling, measuring, modelling)
+MODULES = (cleaning, profiling, measuring, modelling, results)
 
 
 def queries() -> dict[str, Query]:
