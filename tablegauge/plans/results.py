@@ -13,27 +13,27 @@ from .base import Registry, table
 R = Registry()
 
 
-@R.add("SELECT p_type FROM part WHERE p_type IS NOT NULL EXCEPT SELECT p_type FROM part WHERE p_size >= 45")
+@R.add("SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def absent_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes that a filter leaves without rows."""
-    x = table(spark, d, "part")
-    return S.absent(x, x.where("p_size >= 45"), "p_type")
+    x = table(spark, d, "orders")
+    return S.absent(x, x.where("o_orderpriority = '1-URGENT'"), "o_custkey")
 
 
-@R.add("""WITH a AS (SELECT DISTINCT p_type FROM part WHERE p_size >= 20), b AS (SELECT DISTINCT p_type FROM part WHERE p_size < 30),
+@R.add("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'),
 l AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b)), r AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
 SELECT l.n AS only_left, r.n AS only_right, l.n + r.n = 0 AS equal FROM l, r""")
 def class_set_equality(spark: SparkSession, d: str) -> DataFrame:
     """Whether two subsets have the same classes."""
-    x = table(spark, d, "part")
-    return S.same_values(x.where("p_size >= 20"), x.where("p_size < 30"), "p_type")
+    x = table(spark, d, "orders")
+    return S.same_values(x.where("o_orderpriority = '1-URGENT'"), x.where("o_orderstatus = 'F'"), "o_custkey")
 
 
-@R.add("""SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS position FROM (SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1)
+@R.add("""SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS position FROM (SELECT o_custkey AS value, count(*) AS n FROM orders GROUP BY 1)
 QUALIFY position <= 10""")
 def largest_classes(spark: SparkSession, d: str) -> DataFrame:
     """The ten largest classes in order."""
-    return S.top(E.value_counts(table(spark, d, "part"), "p_type").select("value", "n"), "n", "value", 10)
+    return S.top(E.value_counts(table(spark, d, "orders"), "o_custkey").select("value", "n"), "n", "value", 10)
 
 
 _STAGES = " UNION ALL ".join(
@@ -51,16 +51,16 @@ def stage_columns(spark: SparkSession, d: str) -> DataFrame:
     return S.stage_columns({"full": full.drop("p_size"), "filtered": few, "rounded": few.withColumn("price", F.floor("price").cast("double"))})
 
 
-@R.add("""WITH s AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), d AS (SELECT p_type, max(p_size) / 50.0 AS difficulty FROM part WHERE p_size < 40 GROUP BY 1),
-f AS (SELECT p_type, count(*) / 100.0 AS f1 FROM part WHERE p_size >= 45 GROUP BY 1)
-SELECT p_type, n, coalesce(difficulty, -1.0) AS difficulty, coalesce(f1, -1.0) AS f1 FROM s LEFT JOIN d USING (p_type) LEFT JOIN f USING (p_type)""")
+@R.add("""WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT o_custkey, count(*) / 10.0 AS difficulty FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+f AS (SELECT o_custkey, count(*) / 100.0 AS f1 FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT o_custkey, n, coalesce(difficulty, -1.0) AS difficulty, coalesce(f1, -1.0) AS f1 FROM s LEFT JOIN d USING (o_custkey) LEFT JOIN f USING (o_custkey)""")
 def result_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Statistics, difficulty and score of each group, where there are any."""
-    x = table(spark, d, "part")
-    stats = x.groupBy("p_type").agg(F.count("*").alias("n"))
-    difficulty = x.where("p_size < 40").groupBy("p_type").agg((F.max("p_size") / 50.0).alias("difficulty"))
-    scores = x.where("p_size >= 45").groupBy("p_type").agg((F.count("*") / 100.0).alias("f1"))
-    return S.looked_up(stats, "p_type", difficulty, scores, default=-1.0)
+    x = table(spark, d, "orders")
+    stats = x.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    difficulty = x.where("o_orderstatus = 'F'").groupBy("o_custkey").agg((F.count("*") / F.lit(10.0)).alias("difficulty"))
+    scores = x.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg((F.count("*") / F.lit(100.0)).alias("f1"))
+    return S.looked_up(stats, "o_custkey", difficulty, scores, default=-1.0)
 
 
 _WIDTH = """SELECT '{c}' AS "column", CASE WHEN min({x}) >= 0 THEN CASE WHEN max({x}) < 256 THEN 'uint8' WHEN max({x}) < 65536 THEN 'uint16' WHEN max({x}) < 4294967296 THEN 'uint32' ELSE 'uint64' END
