@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import port_service
 from ..functions.stored import shared_path, stored
 from ..operators import clean as C
 from ..operators import complexity as X
@@ -14,26 +15,43 @@ from ..operators import sample as A
 from ..sources import readers as I
 
 
-def cleaned(df: DataFrame, target: str) -> DataFrame:
-    """Fills, numeric texts, address and identifier columns, encodings, filters, narrow types and names.
+def cleaned(
+    df: DataFrame, target: str, numbers: str = "shrink", text: str = "plan", digits: int | None = 3, ports: bool = True, bins: int | None = None, least_variance: float | None = None
+) -> DataFrame:
+    """Fills, numeric texts, address and identifier columns, ports, encodings, filters, narrow types and names.
 
-    Profiles decide, one pass each; projections apply what they decide.
+    Profiles decide, one pass each; projections apply what they decide. ``numbers``: keep, shrink or
+    narrowest; ``text``: keep, drop, encode (codes or hash buckets), or plan (by cardinality and skew);
+    ``digits``: decimals left, or None; ``ports``: port-like columns become services; ``bins``: fractional
+    columns become so many quantile bins; ``least_variance``: numbers below it go.
     """
+    if numbers not in ("keep", "shrink", "narrowest") or text not in ("keep", "drop", "encode", "plan"):
+        raise ValueError(f"no mode {numbers!r} for numbers or {text!r} for text")
     df = P.numeric_text(df.na.fill(0).na.fill("0"))
     address = P.pattern_shares(df.drop(target), lambda c: P.is_ip(c) | P.is_mac(c), 0.95)
     named = address.select("column").unionByName(P.identifier_columns(df, target).select("column")).unionByName(P.near_unique(df).select("column"))
     df = df.drop(*[r["column"] for r in named.collect() if r["column"] != target])  # a row per column
-    text = [c for c in C.columns_of(df, "text") if c != target]
-    plan = {r["column"]: r["action"] for r in E.cardinality_plan(df.select(*text)).collect()} if text else {}
+    if least_variance is not None:
+        df = df.drop(*[r["column"] for r in P.low_variance(df, target, least_variance).collect()])  # a row per column
+    if ports and any(w in c.lower() and not any(x in c.lower() for x in P.NO_PORT_NAMES) for c in C.columns_of(df.drop(target), "number") for w in P.PORT_NAMES):
+        found = [r["column"] for r in P.port_like(df.drop(target)).collect()]  # a row per column
+        df = df.withColumns({c: port_service(F.col(c)) for c in found})
+    names = [c for c in C.columns_of(df, "text") if c != target] if text == "plan" else []
+    plan = {r["column"]: r["action"] for r in E.cardinality_plan(df.select(*names)).collect()} if names else {}
+    if text in ("drop", "encode"):
+        df = E.text_columns(df, text, but=(target,))
     for c, action in plan.items():
         if action in ("frequency", "count"):
             df = E.frequency_encode(df, c, "__e", share=action == "frequency").drop(c).withColumnRenamed("__e", c)
         elif action == "hash":
             df = df.withColumn(c, E.hash_encode(F.col(c), 1 << 16))
     df = C.drop_infinite(df).na.drop("any").dropDuplicates()
-    floats = C.columns_of(df, "float")
-    df = df.withColumns({c: F.bround(c, 3) for c in floats})
-    return C.normalized_columns(P.shrink(df), target)
+    floats = [c for c in C.columns_of(df, "float") if c != target]
+    if digits is not None:
+        df = df.withColumns({c: F.bround(c, digits) for c in floats})
+    for c in floats if bins else []:
+        df = E.quantile_bins(df, c, "__b", bins).drop(c).withColumnRenamed("__b", c)
+    return C.normalized_columns(df if numbers == "keep" else P.shrink(df, numbers == "narrowest"), target)
 
 
 def complexity(df: DataFrame, label: str, features: list[str], key: str, fractions: list[float], metrics: list[str] | None = None) -> DataFrame:

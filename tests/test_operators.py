@@ -237,3 +237,16 @@ def test_text_columns_refuse_unknown_modes(spark):
     assert encode.text_columns(x, "keep").columns == ["k", "t"] and encode.text_columns(x, "drop").columns == ["k"]
     with pytest.raises(ValueError, match="no mode"):
         encode.text_columns(x, "other")
+
+
+def test_cleaning_modes(spark):
+    from tablegauge.plans import pipelines
+
+    x = spark.range(40).selectExpr("int(id % 2) as y", "concat('t', id % 4) as t", "case when id % 4 < 2 then 80 else 22 end as dst_port", "id % 8 / 3.0D as v", "id % 4 * 1000 as n")
+    got = pipelines.cleaned(x, "y", text="encode", bins=4)
+    assert dict(got.dtypes)["V"] == "string" and got.columns[-1] == "y" and 1 < got.select("V").distinct().count() <= 4
+    assert got.select("DST_PORT").distinct().count() == 2
+    plain = pipelines.cleaned(x, "y", numbers="keep", text="drop", digits=None, ports=False)
+    assert "T" not in plain.columns and dict(plain.dtypes)["N"] == "bigint" and dict(plain.dtypes)["DST_PORT"] == "int"
+    with pytest.raises(ValueError, match="no mode"):
+        pipelines.cleaned(x, "y", text="other")
