@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unwritten, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # now a > b in every row: link each a's smaller neighbours, and a, to its smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        unwritten(before)
         state = _state(now)
         if state[1] == 0 and state[0] == state[2]:  # stars: one centre for each leaf, no centre a leaf
             break

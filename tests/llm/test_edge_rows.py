@@ -89,3 +89,17 @@ def test_roles_and_long_turns_read_back(spark):
     got = {r["conv_id"]: r for r in chat.read_back(chat.conversations_formatted(turns)).collect()}
     assert got[None]["loss_chars"] == len(SPACES) and got[BIG]["n_turns"] == 2
     assert got[BIG]["turns_sha256"] == hashlib.sha256(f"a]\nb\\\n{LONG}\nassistant\n]\n</s>\n<s>[\n".encode()).hexdigest()
+
+
+def test_first_of_each_keeps_texts_that_share_an_id(spark):
+    """Rows of one id stand for their own groups; of equal rows one stays; null ids stay."""
+    words = lambda tag, n=40: " ".join(f"{tag}{k}" for k in range(n))
+    x, u, v = words("x"), words("u"), words("v")
+    near = words("v", 41)  # one shingle more than v
+    rows = [(1, x), (5, x), (5, u), (6, v), (6, v), (8, near), (None, x), (None, None), (9, None), (10, " ")]
+    got = near_copies.first_of_each(docs(spark, rows))
+    assert got.columns == docs(spark, rows).columns
+    assert sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, [(1, x), (5, u), (6, v), (None, x), (None, None), (9, None)]))
+    assert near_copies.first_of_each(docs(spark, [])).count() == 0
+    ids = near_copies.near_copies(docs(spark, rows)).collect()
+    assert sorted((r[0], r[1]) for r in ids if r[0]) == [(1, 1), (5, 1), (5, 5), (6, 6), (6, 6), (8, 6), (9, 9), (10, 9)]
