@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, media, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity
+from . import chat, decontaminate, html_extract, media, periodic_runs, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words of every document, periods written into every tenth text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.runs_of(periodic_runs.with_repeats(docs)).drop("runs", "collapsed")
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
     return {
@@ -138,6 +144,7 @@ def queries() -> dict[str, Query]:
             op8_token_counts,
             op9_substring_dedup,
             op10_media_columns,
+            op11_periodic_runs,
         )
     }
 
