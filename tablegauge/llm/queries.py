@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, media, periodic_runs, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity
+from . import chat, decontaminate, html_extract, media, periodic_runs, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_of(periodic_runs.with_repeats(docs)).drop("runs", "collapsed")
 
 
+#: The rules of the query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules and by a model of the labelled urls that come with the filter."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, url_filter.fit(url_filter.labelled(spark)), rules)
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
     return {
@@ -145,6 +162,7 @@ def queries() -> dict[str, Query]:
             op9_substring_dedup,
             op10_media_columns,
             op11_periodic_runs,
+            op12_url_filters,
         )
     }
 
