@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, media, periodic_runs, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
+from . import chat, decontaminate, hard_negatives, html_extract, media, periodic_runs, piece_fst, simhash, substring_dedup, token_counts, token_output, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,31 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, url_filter.fit(url_filter.labelled(spark)), rules)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(hard_negatives.integer_vectors(rows.select("vec_id", label.alias("label"), "embedding")))
+
+
+OP13_SQL = """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM sound a JOIN sound b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
     return {
@@ -163,10 +188,11 @@ def queries() -> dict[str, Query]:
             op10_media_columns,
             op11_periodic_runs,
             op12_url_filters,
+            op13_hard_negatives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses."""
-    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op13_hard_negatives": OP13_SQL}
