@@ -26,4 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back, so that its users share one computation."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that reads them has itself been written; others are left alone."""
+    for df in tables:
+        place = getattr(df, "stored_at", None)
+        if place:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -111,11 +111,11 @@ def row_mean_filter(df: DataFrame, label: str, mean: str, key: str, q: float = 0
 
 
 def top_by_share(df: DataFrame, name: str, gain: str, share: float = 0.95) -> DataFrame:
-    """Rows in falling order of ``gain`` up to the one that crosses the share of the total."""
+    """Rows in falling order of ``gain`` up to the one that crosses the share of the total; none where that is 0."""
     order = Window.orderBy(F.desc(gain), name)
-    total = Window.partitionBy()
-    before = F.coalesce(F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum(gain).over(total)
-    through = F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(gain).over(total)
+    total = F.nullif(F.sum(gain).over(Window.partitionBy()), F.lit(0.0))
+    before = F.coalesce(F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / total
+    through = F.sum(gain).over(order.rowsBetween(Window.unboundedPreceding, 0)) / total
     return df.withColumn("before", before).withColumn("cumulative", through).where(F.col("before") < share).drop("before")
 
 

@@ -219,16 +219,6 @@ def test_a_failing_metric_is_a_row(spark):
     assert [(r["metric"], r["status"], r["value"]) for r in bad] == [("anova_f", "error", None), ("nothing", "error", None)] and all(r["message"] for r in bad)
 
 
-def test_boosted_trees_stop_by_a_validation_column_and_take_weights(spark):
-    from tablegauge.operators import encode, models
-
-    x = spark.range(120).selectExpr("id", "concat('k', id % 3) as c", "id % 3 * 10.0 + id % 7 as a", "id % 5 = 0 as held")
-    rows = models.prepared(encode.inverse_frequency_weights(x, "c"), "c", ["a"])
-    trained = models.boosted(rows, "weight", "held", trees=2, depth=2)
-    assert len(trained) == 3
-    assert models.boosted_predictions(trained, rows).where("prediction <> y").count() == 0
-
-
 def test_text_columns_refuse_unknown_modes(spark):
     from tablegauge.operators import encode
 
