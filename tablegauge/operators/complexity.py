@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stored import stored
+from .metric_neighbours import nearest
 from .moments import class_counts, imbalance, summary
 
 #: Rows up to which ``neighbours`` offers exact neighbours by one broadcast.
 EXACT_ROWS = 5000
-#: Rows of a block of ``nearest``, as a multiple of the square root of all rows.
-BLOCK_ROOT = 16
 
 
 def anova_f(moments: DataFrame, *by: str) -> DataFrame:
@@ -102,95 +101,6 @@ def approximate_neighbours(df: DataFrame, key: str, label: str, vector: str, k:
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(df: DataFrame, key: str, label: str, vector: str, k: int, include_self: bool = False, within: bool = False) -> DataFrame:
-    """The same as ``neighbours``, exact at every size; ``within`` keeps to neighbours of the row's label.
-
-    Rows are dealt to blocks, about one for each ``BLOCK_ROOT`` of the square root of their
-    number, and every pair of blocks meets in one task, which keeps the ``k`` best of each
-    row; these are merged by key. Unknown distances (null or missing numbers) come last, as null.
-    """
-    import numpy as np
-    import pandas as pd
-
-    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    if not include_self:
-        rows = rows.where("key is not null")
-    n = rows.count()
-    most = max(1, math.ceil(math.sqrt(n) / BLOCK_ROOT))
-    if within:
-        sizes = rows.groupBy("label").agg(F.ceil(F.sqrt(F.count("*")) / BLOCK_ROOT).cast("int").alias("blocks"))
-        rows = rows.join(F.broadcast(sizes), "label")  # one row a class
-    else:
-        rows = rows.withColumn("blocks", F.lit(most))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = rows.select("key", "label", "v", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", "label", "v", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *([F.col("label").alias("class")] if within else []))
-    by = ["low", "high", *(["class"] if within else [])]
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def best(cell: pd.DataFrame) -> pd.DataFrame:
-        codes = pd.factorize(cell["key"], sort=True)[0]
-        width = max((len(v) for v in cell["v"] if v is not None), default=0)
-        x = np.full((len(cell), width), np.nan)
-        for i, v in enumerate(cell["v"]):
-            if v is not None:
-                x[i, : len(v)] = np.asarray(v, float)
-        low = (cell["block"] == cell["low"]).to_numpy()
-        sides = [(low, low)] if cell["low"].iat[0] == cell["high"].iat[0] else [(low, ~low), (~low, low)]
-        found = [block_nearest(x, codes, np.flatnonzero(s), np.flatnonzero(t), k, include_self) for s, t in sides]
-        row, other, distance = (np.concatenate(f) for f in zip(*found, strict=True))
-        keys, labels = cell["key"], cell["label"]
-        return pd.DataFrame({"key": keys.array[row], "label": labels.array[row], "other": keys.array[other], "other_label": labels.array[other], "distance": distance})
-
-    schema = f"key {types['key']}, label {types['label']}, other {types['key']}, other_label {types['label']}, distance double"
-    pairs = met.repartition(most * (most + 1) // 2, *by).groupBy(*by).applyInPandas(best, schema)
-    measured = F.struct(F.coalesce("distance", F.lit(float("nan"))).alias("distance"), "other", "other_label")  # not a number sorts last
-    near = pairs.groupBy("key", "label").agg(F.slice(F.sort_array(F.collect_list(measured)), 1, k).alias("near"))
-    flat = near.select("key", "label", F.posexplode("near").alias("rank", "x"))
-    return flat.select("key", "label", "x.other", "x.other_label", F.when(~F.isnan("x.distance"), F.col("x.distance")).alias("distance"), (F.col("rank") + 1).alias("rank"))
-
-
-def block_nearest(x, codes, here, there, k: int, include_self: bool = False):
-    """Arrays ``row, other, distance``: of each row ``here`` the ``k`` nearest ``there``, by distance and code.
-
-    A matrix product finds who can be among them within its rounding; those are measured
-    in full. Codes number the keys in order, minus one is null.
-    """
-    import numpy as np
-
-    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, (1 << 21) // max(1, len(there)))
-    y = x[there]
-    with np.errstate(all="ignore"):
-        square_y = np.einsum("ij,ij->i", y, y)
-        for at in range(0, len(here), step):
-            mine = here[at : at + step]
-            a = x[mine]
-            square_a = np.einsum("ij,ij->i", a, a)
-            rough = square_a[:, None] + square_y - 2 * (a @ y.T)
-            slack = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (square_a + square_y.max(initial=0.0))
-            banned = np.zeros(rough.shape, bool)
-            if not include_self:
-                banned = (codes[mine][:, None] == codes[there]) | (codes[mine] < 0)[:, None] | (codes[there] < 0)
-                rough[banned] = np.inf
-            if len(there) > k and np.isfinite(square_a).all() and np.isfinite(square_y).all():
-                limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
-                maybe = (rough <= limit[:, None]) & ~banned
-            else:
-                maybe = ~banned
-            r, c = np.nonzero(maybe)
-            distance = np.zeros(len(r))
-            for d in range(x.shape[1]):  # in the order of the plain sum, so equal distances stay equal
-                distance += (a[r, d] - y[c, d]) ** 2
-            distance = np.sqrt(distance)
-            order = np.lexsort((codes[there[c]], distance, r))
-            r, c, distance = r[order], c[order], distance[order]
-            first = np.searchsorted(r, r, "left")
-            keep = np.arange(len(r)) - first < k
-            got.append((mine[r[keep]], there[c[keep]], distance[keep]))
-    return tuple(np.concatenate(g) for g in zip(*got, strict=True))
-
-
 def neighbour_count(n: int) -> int:
     """Neighbours for a table of ``n`` rows."""
     return max(2, int(math.sqrt(n)))

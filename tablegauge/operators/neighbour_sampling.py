@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_share
-from .complexity import nearest
+from .metric_neighbours import nearest
 from .sample import ranked
 
 
