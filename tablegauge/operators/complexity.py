@@ -141,25 +141,20 @@ def silhouette(df: DataFrame, label: str, vector: str) -> DataFrame:
 def mahalanobis(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     """Ten statistics of each row's Mahalanobis distance to its class mean.
 
-    Covariances (K matrices of P by P) come from one aggregate and are inverted on the
-    driver with 1e-6 added to the diagonal; rows are scored by a plain expression.
+    Covariances (K matrices of P by P) are inverted on the driver with 1e-6 added to the
+    diagonal; rows are scored batch by batch. Rows with a null feature have no distance.
     """
     import numpy as np
 
-    from .moments import class_covariance
+    from . import gram
 
-    means = {r["label"]: [r[c] for c in features] for r in df.groupBy(F.col(label).alias("label")).agg(*[F.avg(c).alias(c) for c in features]).collect()}
-    cov: dict = {k: np.zeros((len(features), len(features))) for k in means}
-    at = {c: i for i, c in enumerate(features)}
-    for r in class_covariance(df, label, features).collect():  # K x P x P numbers
-        cov[r["label"]][at[r["a"]], at[r["b"]]] = cov[r["label"]][at[r["b"]], at[r["a"]]] = r["covariance"] or 0.0
-    table = [(k, [float(x) for x in means[k]], np.linalg.inv(cov[k] + 1e-6 * np.eye(len(features))).reshape(-1).tolist()) for k in means]
-    classes = df.sparkSession.createDataFrame(table, f"__label {dict(df.dtypes)[label]}, __mean array<double>, __inverse array<double>")
     p = len(features)
-    d = [F.col(c) - F.col("__mean")[i] for i, c in enumerate(features)]
-    square = sum((d[i] * d[j] * F.col("__inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-    joined = df.join(F.broadcast(classes), F.col(label) == F.col("__label"))
-    return summary(joined.select(F.sqrt(F.greatest(square, F.lit(0.0))).alias("x")), "x")
+    means = gram.class_means(df, label, features)
+    cov = {k: np.zeros((p, p)) for k in means}
+    for r in gram.covariances(df, label, features, means).collect():  # K x P x P numbers
+        cov[r["label"]][r["a"], r["b"]] = cov[r["label"]][r["b"], r["a"]] = r["covariance"] or 0.0
+    inverse = {k: np.linalg.inv(c + 1e-6 * np.eye(p)) for k, c in cov.items()}
+    return summary(gram.quadratic(df, label, features, means, inverse), "x")
 
 
 def _vectors(df: DataFrame, label: str, features: list[str]) -> DataFrame:

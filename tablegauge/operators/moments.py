@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import covariances
 from .ordering import quantiles
 
 
@@ -56,10 +57,9 @@ def array_moments(df: DataFrame, label: str, vector: str, *by: str) -> DataFrame
 
 
 def class_covariance(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """``label, a, b, covariance`` of the feature pairs, sample normalisation."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    wide = df.groupBy(F.col(label).alias("label")).agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("covariance")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    return wide.select("label", F.explode(F.array(*[f"p{k}" for k in range(len(pairs))])).alias("x")).select("label", "x.*")
+    """``label, a, b, covariance`` of the feature pairs, sample normalisation; for tables of many columns, too."""
+    name = lambda c: F.element_at(F.array(*[F.lit(f) for f in features]), F.col(c) + 1).alias(c)
+    return covariances(df, label, features).select("label", name("a"), name("b"), "covariance")
 
 
 def histogram(df: DataFrame, label: str, features: list[str], bins: int) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import analysis as N
 from ..operators import complexity as X
 from ..operators import difficulty as D
 from ..operators import evaluate as V
+from ..operators import gram as G
 from ..operators import moments as M
 from ..operators import neighbour_sampling as B
 from .base import Registry, table
@@ -70,10 +71,41 @@ def class_imbalance(spark: SparkSession, d: str) -> DataFrame:
     return X.class_imbalance(x, "c_mktsegment", "n_name").select("n_name", "n_classes", F.round("imbalance_ratio", 6).alias("imbalance_ratio"), F.round("normalized_entropy", 6).alias("normalized_entropy"))
 
 
-@R.add()
+def _distance_sql(names: list[str]) -> str:
+    """DuckDB's Mahalanobis distances ``x`` of lineitem's rows: a Cholesky factor of each class's covariance, forward substitution."""
+    p = range(len(names))
+    cov = [f"covar_samp({names[i]}, {names[j]}) {'+ 1e-6' if i == j else ''} AS c{i}{j}" for i in p for j in range(i + 1)]
+    steps = ["s AS (SELECT l_returnflag AS label, " + ", ".join([*cov, *[f"avg({n}) AS m{i}" for i, n in enumerate(names)]]) + " FROM lineitem GROUP BY 1)"]
+    last = "s"
+    for j in p:
+        inner = lambda i: "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))  # noqa: E731, B023
+        steps.append(f"d{j} AS (SELECT *, sqrt(c{j}{j}{inner(j)}) AS l{j}{j} FROM {last})")
+        steps.append(f"f{j} AS (SELECT *" + "".join(f", (c{i}{j}{inner(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, len(names))) + f" FROM d{j})")
+        last = f"f{j}"
+    rows = f"(SELECT f.*, {', '.join(f'CAST({n} AS DOUBLE) - m{i} AS e{i}' for i, n in enumerate(names))} FROM lineitem JOIN {last} f ON l_returnflag = label)"
+    for i in p:
+        rows = f"(SELECT *, (e{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i} FROM {rows})"
+    return "WITH " + ", ".join(steps) + f", x AS (SELECT sqrt({' + '.join(f'y{i} * y{i}' for i in p)}) AS x FROM {rows})"
+
+
+_TEN = "SELECT count(x) AS size, round(max(x), 6) AS max, round(min(x), 6) AS min, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.75), 6) AS q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr, round(stddev_pop(x), 6) AS std, round(var_pop(x), 6) AS variance FROM x"
+
+
+@R.add(_distance_sql(FEATURES) + _TEN)
 def mahalanobis_summary(spark: SparkSession, d: str) -> DataFrame:
     """Ten statistics of rows' distances to their class means."""
-    return X.mahalanobis(table(spark, d, "lineitem"), "l_returnflag", FEATURES)
+    x = X.mahalanobis(table(spark, d, "lineitem"), "l_returnflag", FEATURES)
+    return x.select("size", *[F.round(c, 6).alias(c) for c in x.columns if c != "size"])
+
+
+@R.add("""WITH l AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS x, vec_id FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS mean, count(*) AS n FROM l GROUP BY ALL),
+d AS (SELECT l.label, l.i, vec_id, CAST(x AS DOUBLE) - mean AS x, n FROM l JOIN m ON l.label = m.label AND l.i = m.i)
+SELECT a.label, CAST(a.i AS INTEGER) AS a, CAST(b.i AS INTEGER) AS b, round(sum(a.x * b.x) / (any_value(a.n) - 1), 8) AS covariance FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.label = b.label AND a.i <= b.i GROUP BY ALL""")
+def wide_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Covariances of 64 columns for each class."""
+    names = [f"x{i}" for i in range(64)]
+    e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return G.covariances(e, "label", names).select("label", "a", "b", F.round("covariance", 8).alias("covariance"))
 
 
 @R.add()
