@@ -31,11 +31,13 @@ SAMPLE_PAGES, SAMPLE_CHARS = 400, 200_000
 PRIOR = {
     "any": 0.0, "article": 2.6, "main": 2.0, "boiler element": -9.0, "boiler name": -2.8, "content name": 0.8,
     "p": 0.6, "h1": 0.7, "h2": 0.4, "h3": 0.3, "blockquote": 0.4, "pre": 0.4, "td": 0.05, "li": -0.1, "figcaption": 0.2,
-    "length": 1.0, "marks": 0.6, "linked": -2.2, "short": -0.2,
+    "length": 1.0, "marks": 0.6, "linked": -2.2, "short": -0.2, "outside": -2.6,
 }
 _AT = {name: k for k, name in enumerate(PRIOR)}
 #: What labels of the sample come from.
 _TOLD = [_AT[x] for x in ("article", "main", "boiler element", "boiler name")]
+#: Characters of an article, or of the main element, from which on what is outside of them counts as that; never learnt.
+ARTICLE = 200
 #: How strongly weights are drawn to the prior, beside the mean loss of a block.
 PULL, STEPS = 0.02, 300
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -68,8 +70,12 @@ def wrappers(blocks: list[Block]) -> set[int]:
     return out
 
 
-def properties(block: Block, wrapping: Collection[int] = ()) -> list[float]:
-    """How much the block has of each property of ``PRIOR``.
+def _inside(block: Block) -> bool:
+    return any(e.tag in ("article", "main") for e in block.path)
+
+
+def properties(block: Block, wrapping: Collection[int] = (), apart: bool = False) -> list[float]:
+    """How much the block has of each property of ``PRIOR``; ``apart``: its page has an article that it is not in.
 
     An element of boilerplate's kind counts unless it is among the ``wrapping`` ones. A name
     of boilerplate, or such an element around an article, counts for what is inside it and
@@ -103,7 +109,8 @@ def properties(block: Block, wrapping: Collection[int] = ()) -> list[float]:
     has[_AT["any"]], has[_AT["boiler element"]], has[_AT["boiler name"]] = 1.0, boiler, named
     has[_AT["length"]] = min(n, 300) / 300
     has[_AT["marks"]] = min(10, sum(map(text.count, ".,;:!?"))) / 10
-    has[_AT["linked"]] = block.linked / max(1, n)
+    has[_AT["linked"]] = 0.0 if inside and not boiler else block.linked / max(1, n)  # an article's links are its own
+    has[_AT["outside"]] = float(apart and not inside and not has[_AT["h1"]])  # titles may stand before their article
     has[_AT["short"]] = float(n < 25)
     return has
 
@@ -112,7 +119,8 @@ def page_blocks(page: str) -> tuple[list[Block], np.ndarray]:
     """A page's blocks and their properties."""
     blocks = [b for b in read(page) if isinstance(b, Block)]
     wrapping = wrappers(blocks)
-    return blocks, np.array([properties(b, wrapping) for b in blocks], np.float64).reshape(-1, len(PRIOR))
+    apart = sum(len(b.text) for b in blocks if _inside(b)) >= ARTICLE
+    return blocks, np.array([properties(b, wrapping, apart) for b in blocks], np.float64).reshape(-1, len(PRIOR))
 
 
 def fit(pages: Iterable[str]) -> np.ndarray:
@@ -133,6 +141,7 @@ def fit(pages: Iterable[str]) -> np.ndarray:
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= rate * (x.T @ (share * (p - y)) + PULL * (w - prior))
+        w[_AT["outside"]] = prior[_AT["outside"]]
     return w
 
 

@@ -228,3 +228,25 @@ def test_word_splitting_and_hashes():
 
 def test_crc_of_little_endian_ids():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(struct.pack("<II", 1, 2))
+
+
+def test_pages_with_fitted_weights(spark):
+    """Golden texts through the fitted classifier: what surrounds an article goes, what it holds stays."""
+    para = "Sentence one of the article, long enough to count. And another sentence follows here, with marks; and more. " * 3
+    para = para.strip()
+    title, intro = "<h1>The title of it</h1>", f"<p>{para}</p>"
+    items = [f"item number {k} here" for k in range(6)]
+    linked = "<ul>" + "".join(f"<li><a href='x'>{t}</a></li>" for t in items) + "</ul>"
+    thread = "".join(f"<div class='c'><p>{t}</p></div>" for t in ("Great post, I really liked it. Thanks for sharing this with us all.", "I disagree, since the numbers do not add up at all; look again."))
+    shell = "<nav><ul><li><a href='/'>Home page</a></li><li><a href='/b'>Archive of all</a></li></ul></nav>{}<footer><p>All rights reserved by someone, 2020.</p></footer>"
+    pages = {
+        "thread after the article": (shell.format(f"<article>{title}{intro}</article><section id='discussion'>{thread}</section>"), ["The title of it", para]),
+        "links inside the article": (shell.format(f"<article>{title}{intro}{linked}{intro}</article>"), ["The title of it", para, *items, para]),
+        "title before the article": (shell.format(f"<div class='content'>{title}<article>{intro}{intro}</article></div>"), ["The title of it", para, para]),
+        "no article": (shell.format(f"<div><div>{title}{intro}</div><div>{intro}</div></div>"), ["The title of it", para, para]),
+        "main alone": (shell.format(f"<main>{title}{intro}</main>"), ["The title of it", para]),
+    }
+    rows = [(k, "u", html) for k, (html, _) in enumerate(pages.values())] + [(100 + k, "u", shell.format(f"<article>{title}{intro}<p>{k} more words, and some marks.</p></article>")) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (name, (_, want)) in enumerate(pages.items()):
+        assert got[k].split("\n\n") == want, name
