@@ -187,15 +187,21 @@ def svm_margin(df: DataFrame, label: str, features: list[str], signed: bool = Fa
     return summary(out.select((F.least(*margins) if len(margins) > 1 else margins[0]).alias("x")), "x")
 
 
+def _logistic(df: DataFrame, label: str, features: list[str]):
+    """The rows as vectors, and a logistic regression of them."""
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = _vectors(df, label, features)
+    return rows, LogisticRegression(labelCol="y", regParam=1.0 / max(1, rows.count()), maxIter=50).fit(rows)
+
+
 def probability_entropy(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     """Ten statistics of the entropy of logistic-regression probabilities (C = 1)."""
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     from ..functions.scalars import entropy
 
-    rows = _vectors(df, label, features)
-    model = LogisticRegression(labelCol="y", regParam=1.0 / max(1, rows.count()), maxIter=50).fit(rows)
+    rows, model = _logistic(df, label, features)
     return summary(model.transform(rows).select(entropy(vector_to_array("probability")).alias("x")), "x")
 
 
@@ -247,8 +253,19 @@ def metric_record(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 STATISTICS = ("size", "max", "min", "mean", "median", "q1", "q3", "iqr", "std", "variance")
 
 
+#: The ten metrics of a table, two a group.
+METRICS = ("anova_f", "mutual_information", "centroid_distance", "mahalanobis", "svm_margin", "probability_entropy", "intrinsic_dimension", "calinski_harabasz", "class_confusion_entropy", "class_imbalance")
+
+
+def model_confusion_entropy(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """``confusion_entropy`` of a logistic regression (C = 1) on the rows it has learnt from."""
+    rows, model = _logistic(df, label, features)
+    counts = model.transform(rows).groupBy("y", F.col("prediction").alias("yhat")).agg(F.count("*").alias("n"))
+    return confusion_entropy(counts)
+
+
 def metric_jobs(df: DataFrame, label: str, features: list[str], key: str | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """For each of the ten metrics, what computes its ``sub_metric, value``; ``key`` allows those of neighbours."""
+    """For each of the ten metrics, what computes its ``sub_metric, value``; ``key`` allows that of neighbours, an eleventh."""
     from .moments import class_moments, histogram
 
     def statistics(frame: DataFrame) -> DataFrame:
@@ -279,19 +296,20 @@ def metric_jobs(df: DataFrame, label: str, features: list[str], key: str | None
         "svm_margin": lambda: statistics(svm_margin(df, label, features)),
         "probability_entropy": lambda: statistics(probability_entropy(df, label, features)),
         "intrinsic_dimension": dimension,
+        "class_confusion_entropy": lambda: model_confusion_entropy(df, label, features).select(F.lit("confusion_entropy").alias("sub_metric"), F.col("confusion_entropy").alias("value")),
     }
     return jobs | ({"kdn": neighbourhood} if key else {})
 
 
 def measured(df: DataFrame, label: str, features: list[str], key: str | None = None, metrics: list[str] | None = None) -> DataFrame:
-    """``metric, sub_metric, value, status, message``: every metric on its own, so that one that fails is a row.
+    """``metric, sub_metric, value, status, message``: each of ``METRICS``, or those named, on its own, so that one that fails is a row.
 
     ``status`` is ok, nan, or error with a null value and the message. What is collected is
     the few numbers of each metric. A metric of an unknown name is an error too.
     """
     jobs = metric_jobs(df, label, features, key)
     out: list[tuple] = []
-    for name in metrics if metrics is not None else jobs:
+    for name in metrics if metrics is not None else METRICS:
         try:
             got = [(r["sub_metric"], r["value"]) for r in jobs[name]().collect()]
             out += [(name, s, v, "nan" if v is None or math.isnan(v) else "ok", None) for s, v in got]

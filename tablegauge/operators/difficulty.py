@@ -35,7 +35,7 @@ def available(df: DataFrame, groups: dict[str, tuple[str, ...]] | None = None, l
     groups = groups or GROUPS
     there = lambda c: (F.col(c).isNotNull() & ~F.isnan(c)).cast("int")
     n = sum((there(c) for g in groups.values() for c in g), F.lit(0))
-    k = sum((F.greatest(*[there(c) for c in g]) for g in groups.values()), F.lit(0))
+    k = sum((F.greatest(F.lit(0), *[there(c) for c in g]) for g in groups.values()), F.lit(0))
     return df.withColumns({"n_metrics": n, "n_groups": k, "usable": k >= least_groups})
 
 

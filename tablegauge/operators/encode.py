@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import quantiles, running_before
+from ..functions.stored import stored
+from .ordering import quantiles
 from .profile import column_profile
 
 
@@ -56,16 +57,20 @@ def cardinality_plan(df: DataFrame, low: int = 1 << 14, high: int = 1 << 18) ->
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """``value, code``: codes from 0 in alphabetical order; nulls have none."""
+    """``value, code``: codes from 0 in alphabetical order; nulls have none.
+
+    Distinct values are dealt out by splitters sampled from them, so those that begin alike
+    are many tasks' too; each numbers its own, after the counted values of those before.
+    """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    if values.schema["value"].dataType.simpleString() != "string":
-        return running_before(values.withColumn("one", F.lit(1)), "value", "one").select("value", F.col("before").cast("int").alias("code"))
-    # strings that begin alike follow each other; beginnings are counted, and those counts summed up
-    begun = values.withColumn("__part", F.substring("value", 1, 3))
-    counts = begun.groupBy("__part").agg(F.count("*").alias("__n"))
-    places = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = begun.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy("value")))
-    return own.join(places, F.col("__part") == F.col("__p")).select("value", (F.col("__before") + F.col("__own") - 1).cast("int").alias("code"))
+    spark = df.sparkSession
+    dealt = values.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "value").sortWithinPartitions("value")
+    # the id holds the partition above its 33 lower bits, and there the place in it
+    placed = stored(dealt.select("value", F.monotonically_increasing_id().alias("at")), "codes").withColumn("part", F.shiftright("at", 33))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    places = counts.select("part", before.alias("before"))
+    return placed.join(F.broadcast(places), "part").select("value", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("code"))
 
 
 def encode_labels(df: DataFrame, column: str, codes: DataFrame, unseen: int = -1) -> DataFrame:

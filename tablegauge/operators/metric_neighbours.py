@@ -52,21 +52,52 @@ def _objects(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances by a matrix product, not exact."""
-    return np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * (a @ b.T), 0)
+class Metric:
+    """Euclidean distance of numbers; of mixed vectors, unequal codes add to the square.
 
+    A mixed vector is its numbers, then ``codes`` numbers that name categories, then what each
+    unequal category adds to the squared distance, which is the same for all of a class.
+    """
+
+    def __init__(self, codes: int = 0):
+        self.codes = codes
+
+    def numbers(self, x: np.ndarray) -> np.ndarray:
+        return x[:, : x.shape[1] - self.codes - 1] if self.codes else x
 
-def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How far ``_squares`` may be off, for each row of ``a``."""
-    return 8 * (a.shape[1] + 4) * np.finfo(float).eps * (np.einsum("ij,ij->i", a, a) + np.einsum("ij,ij->i", b, b).max(initial=0.0))
+    def squares(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared distances by a matrix product, not exact."""
+        p, q = self.numbers(a), self.numbers(b)
+        out = np.maximum(np.einsum("ij,ij->i", p, p)[:, None] + np.einsum("ij,ij->i", q, q) - 2 * (p @ q.T), 0)
+        for j in range(self.codes):
+            out += a[:, -1:] * (a[:, -2 - j, None] != b[:, -2 - j])
+        return out
+
+    def slack(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How far ``squares`` may be off, for each row of ``a``."""
+        p, q = self.numbers(a), self.numbers(b)
+        size = np.einsum("ij,ij->i", p, p) + np.einsum("ij,ij->i", q, q).max(initial=0.0)
+        return 8 * (a.shape[1] + 4) * np.finfo(float).eps * (size + (a[:, -1] * self.codes if self.codes else 0))
+
+    def exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distance of each row of ``a`` from that of ``b``, in the order of the plain sum, so equal distances stay equal."""
+        p, q = self.numbers(a), self.numbers(b)
+        square = np.zeros(len(a))
+        for d in range(p.shape[1]):
+            square += (p[:, d] - q[:, d]) ** 2
+        if self.codes:
+            unequal = np.zeros(len(a), np.int64)
+            for j in range(self.codes):
+                unequal += a[:, -2 - j] != b[:, -2 - j]
+            square += a[:, -1] * unequal
+        return np.sqrt(square)
 
 
 class Best:
     """The ``k`` nearest candidates so far of each of some vectors, by distance, then key."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.x, self.k = queries, k
+    def __init__(self, queries: np.ndarray, k: int, metric: Metric):
+        self.x, self.k, self.metric = queries, k, metric
         self.row = np.zeros(0, np.int64)
         self.distance = np.zeros(0)
         self.key: np.ndarray | None = None
@@ -80,18 +111,14 @@ class Best:
             self._take(points[at : at + step], keys[at : at + step], labels[at : at + step])
 
     def _take(self, points: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> None:
-        rough = _squares(self.x, points)
-        slack = _slack(self.x, points)
+        rough, slack = self.metric.squares(self.x, points), self.metric.slack(self.x, points)
         limit = self.bound**2 * (1 + ROOM) + slack
         if len(points) > self.k:
             limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + 2 * slack)
         r, c = np.nonzero(rough <= limit[:, None])
         if not len(r):
             return
-        distance = np.zeros(len(r))
-        for d in range(self.x.shape[1]):  # in the order of the plain sum, so equal distances stay equal
-            distance += (self.x[r, d] - points[c, d]) ** 2
-        distance = np.sqrt(distance)
+        distance = self.metric.exact(self.x[r], points[c])
         near = distance <= self.bound[r]
         r, c, distance = r[near], c[near], distance[near]
         row, distance = np.r_[self.row, r], np.r_[self.distance, distance]
@@ -117,14 +144,14 @@ class Best:
 class _Blocks:
     """The blocks' places: class code, pivot, and the ring of distances around it."""
 
-    def __init__(self, pivots: np.ndarray, table: list[tuple[int, int, int, float, float]]):
-        self.pivots = pivots
+    def __init__(self, pivots: np.ndarray, table: list[tuple[int, int, int, float, float]], metric: Metric):
+        self.pivots, self.metric = pivots, metric
         self.id, self.own, self.cell = (np.array([r[i] for r in table], np.int64) for i in range(3))
         self.low, self.high = (np.array([r[i] for r in table]) for i in (3, 4))
 
     def reached(self, block: int, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks that may hold something within the rows' bounds, nearest first, and how near."""
-        square, slack = _squares(points, self.pivots), _slack(points, self.pivots)[:, None]
+        square, slack = self.metric.squares(points, self.pivots), self.metric.slack(points, self.pivots)[:, None]
         most, least = np.sqrt(square + slack), np.sqrt(np.maximum(square - slack, 0))
         mine = np.flatnonzero(self.own == self.own[self.id == block][0])
         near = np.full(len(mine), np.inf)
@@ -142,7 +169,7 @@ class _Blocks:
         return self.id[found][order], near[hit][order]
 
 
-def _places(distinct: DataFrame, pivots: np.ndarray, block: int) -> tuple[DataFrame, _Blocks]:
+def _places(distinct: DataFrame, pivots: np.ndarray, block: int, metric: Metric) -> tuple[DataFrame, _Blocks]:
     """``distinct(class, key, label, v, first)`` with ``block``, written, and the blocks."""
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +177,8 @@ def _places(distinct: DataFrame, pivots: np.ndarray, block: int) -> tuple[DataFr
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _matrix(part.column("v"))
-                cell = _squares(x, pivots).argmin(axis=1)
-                away = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+                cell = metric.squares(x, pivots).argmin(axis=1)
+                away = metric.exact(x, pivots[cell])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(away)], [*part.schema.names, "cell", "away"])
 
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
@@ -180,17 +207,17 @@ def _places(distinct: DataFrame, pivots: np.ndarray, block: int) -> tuple[DataFr
     discarded(celled, many)
     # room for the rounding of these distances
     wide = [(i, own, cell, low * (1 - 1e-6) - 1e-9, high * (1 + 1e-6) + 1e-9) for i, own, cell, low, high in table]
-    return out, _Blocks(pivots, wide)
+    return out, _Blocks(pivots, wide, metric)
 
 
-def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOTS, measured: Accumulator | None = None) -> DataFrame:
+def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOTS, measured: Accumulator | None = None, metric: Metric | None = None) -> DataFrame:
     """``key, near``: the ``k`` nearest, itself included, of the rows of ``distinct`` that are ``first``.
 
     ``distinct(class, key, label, v, first)``: ``class`` is a text, vectors of one length and finite numbers, keys
     that are not null. Neighbours are of the row's class. ``near`` is an array of distance, key
     and label, in the order of distance and key. ``measured`` adds up the pairs looked at.
     """
-    spark = distinct.sparkSession
+    spark, metric = distinct.sparkSession, metric or Metric()
     size = distinct.groupBy("class").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     block = max(block, 2 * k)
     wanted = min(most_pivots, max(1, math.ceil(size / block)))
@@ -199,7 +226,7 @@ def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int =
     if not len(pivots):
         kinds = {f.name: f.dataType.simpleString() for f in distinct.schema}
         return spark.createDataFrame([], f"key {kinds['key']}, near array<struct<distance: double, other: {kinds['key']}, other_label: {kinds['label']}>>")
-    placed, blocks = _places(distinct, pivots, block)
+    placed, blocks = _places(distinct, pivots, block, metric)
     held, n_blocks = spark.sparkContext.broadcast(blocks), len(blocks.id)  # some forty bytes for every ``block`` vectors, and the pivots
 
     def reach(group: pa.Table) -> pa.Table:
@@ -207,7 +234,7 @@ def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int =
         here = group.column("block")[0].as_py()
         points = _matrix(group.column("v").chunk(0) if group.num_rows else group.column("v"))
         asked = np.flatnonzero(group.column("first").to_numpy())
-        best = Best(points[asked], k)
+        best = Best(points[asked], k, metric)
         best.take(points, np.arange(len(points)), np.zeros(len(points), object))
         if measured is not None:
             measured.add(len(asked) * len(points))
@@ -247,7 +274,7 @@ def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int =
                     queries.append((_keys(part.column("key")), _matrix(part.column("v"))))
                 elif queries:
                     if best is None:
-                        best = Best(np.concatenate([q[1] for q in queries]), k)
+                        best = Best(np.concatenate([q[1] for q in queries]), k, metric)
                     points = _matrix(part.column("v"))
                     if measured is not None:
                         measured.add(len(points) * len(best.x))
@@ -264,7 +291,7 @@ def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int =
     return each.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("near"))
 
 
-def nearest(df: DataFrame, key: str, label: str, vector: str, k: int, include_self: bool = False, within: bool = False, block: int = BLOCK, measured: Accumulator | None = None) -> DataFrame:
+def nearest(df: DataFrame, key: str, label: str, vector: str, k: int, include_self: bool = False, within: bool = False, block: int = BLOCK, measured: Accumulator | None = None, codes: int = 0) -> DataFrame:
     """``key, label, other, other_label, distance, rank``: each row's ``k`` nearest, by distance and key; exact.
 
     ``within`` keeps to neighbours of the row's label, null being one of them. Rows with a null key take no part; keys
@@ -272,6 +299,7 @@ def nearest(df: DataFrame, key: str, label: str, vector: str, k: int, include_se
     null or a number that is not finite is at an unknown distance from every other: such rows
     come last in the order of their keys, with a null distance, where fewer than ``k`` others
     are left, and their own neighbours are the first keys. An empty table gives an empty one.
+    With ``codes``, vectors are mixed ones of a class each (see ``Metric``), for ``within``.
     """
     rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).where("key is not null")
     width = rows.agg(F.max(F.size("v"))).first()[0]
@@ -282,7 +310,7 @@ def nearest(df: DataFrame, key: str, label: str, vector: str, k: int, include_se
     place = F.row_number().over(Window.partitionBy("class", "known", "v").orderBy("key"))
     ranked = stored(rows.where("known").withColumn("place", place), "neighbour-rows")
     first = ranked.where(F.col("place") <= k + 1).select("class", "key", "label", "v", (F.col("place") == 1).alias("first"))
-    found = stored(searched(first, k + 1, block, measured=measured), "neighbours")
+    found = stored(searched(first, k + 1, block, measured=measured, metric=Metric(codes)), "neighbours")
     heads = ranked.where("place = 1").join(found, "key").select("class", "key", "label", "v", "near")
     near = heads.select("class", "key", "label", "near")
     if ranked.where("place > 1").limit(1).count():

@@ -2,6 +2,8 @@
 
 Rows are cut into parts by their place in the order; parts are counted, the few counts
 are summed up, and only rows of one part are ordered against each other.
+
+Most of these read their input two or three times: give them a table that is written.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+
 #: Leading digits (16 values each) of a hash that make a part.
 HASH_DIGITS = 3
 #: Parts of a range of values.
@@ -42,6 +46,23 @@ def hash_ranked(df: DataFrame, hashed: Column, key: str, *by: str, out: str = "r
     return done.select(*[F.col(c) for c in df.columns if c not in (out, size)], (F.col("__before") + F.col("__own")).alias(out), *extra)
 
 
+def ranked_in_order(df: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """Rows numbered from 1 in any order within ``by``.
+
+    Rows of all groups are dealt out by sampled splitters of group and order, sorted in their
+    tasks, and numbered there after the counted rows before them: a group of any size, and
+    ties in the order's first columns, are spread over many tasks. The result is written.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    # the id holds the partition above its 33 lower bits, and there the place in it
+    placed = stored(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranked").withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    places = counts.select(*by, "__part", (before - F.col("__first") + 1).alias("__from"))
+    return _joined(placed, places, [*by, "__part"]).select(*[c for c in df.columns if c != out], (F.col("__at") + F.col("__from")).alias(out))
+
+
 def running_before(values: DataFrame, order: str, amount: str, *by: str, out: str = "before") -> DataFrame:
     """``out``: the sum of ``amount`` over the smaller values of ``order`` in the group; values are distinct in it."""
     cuts = [k / PARTS for k in range(1, PARTS)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, measuring, modelling, profiling, results
+from . import cleaning, many, measuring, modelling, profiling, results
 from .base import Query
 
-MODULES = (cleaning, profiling, measuring, modelling, results)
+MODULES = (cleaning, profiling, measuring, modelling, results, many)
 
 
 def queries() -> dict[str, Query]:

@@ -114,6 +114,12 @@ def svm_margin(spark: SparkSession, d: str) -> DataFrame:
     return X.svm_margin(table(spark, d, "lineitem").select(*FEATURES, "l_returnflag"), "l_returnflag", FEATURES)
 
 
+@R.add()
+def svm_margin_signed(spark: SparkSession, d: str) -> DataFrame:
+    """Ten statistics of the margins with their sides: rows on the wrong side are below zero."""
+    return X.svm_margin(table(spark, d, "lineitem").select(*FEATURES, "l_returnflag"), "l_returnflag", FEATURES, signed=True)
+
+
 @R.add()
 def proba_entropy(spark: SparkSession, d: str) -> DataFrame:
     """Ten statistics of the entropy of logistic probabilities."""
@@ -190,6 +196,26 @@ def smote_rows(spark: SparkSession, d: str) -> DataFrame:
     return B.smote(e, "vec_id", "label", "embedding", wanted).select("label", "draw", "base", "neighbour", F.round(F.col("vector")[0], 6).alias("first_value"))
 
 
+@R.add(f"""WITH e AS (SELECT p_partkey AS key, p_type AS label, CAST(p_retailprice AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, p_name AS c, p_brand AS b FROM part),
+m AS (SELECT label, power((stddev_pop(x) + stddev_pop(y)) / 2, 2) AS weight, count(*) AS size FROM e GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(CAST(key AS VARCHAR), '#42')), key) AS rank FROM e),
+d AS (SELECT label, size, unnest(range(1, 21)) AS draw FROM m), g AS (SELECT *, floor({_H.format(t="|b|")} * size) + 1 AS rank, floor({_H.format(t="|n|")} * least(5, size - 1)) + 1 AS pick, {_H.format(t="|t|")} AS pos FROM d),
+q AS (SELECT g.label, g.draw, g.pick, g.pos, k.key, k.x, k.y, k.c, k.b FROM g JOIN k ON g.label = k.label AND g.rank = k.rank),
+p AS (SELECT q.label, q.draw, q.pick, q.pos, q.key, q.x, q.y, o.key AS other, o.x AS ox, o.y AS oy, o.c AS oc, o.b AS ob,
+  sqrt(power(q.x - o.x, 2) + power(q.y - o.y, 2) + weight * (CAST(q.c <> o.c AS INTEGER) + CAST(q.b <> o.b AS INTEGER))) AS distance FROM q JOIN m USING (label) JOIN e o ON o.label = q.label AND o.key <> q.key),
+n AS (SELECT *, row_number() OVER (PARTITION BY label, draw ORDER BY distance, other) AS place FROM p QUALIFY place <= 5),
+c AS (SELECT *, row_number() OVER (PARTITION BY label, draw ORDER BY t DESC, oc) AS r FROM (SELECT label, draw, oc, count(*) AS t FROM n GROUP BY ALL)), b AS (SELECT *, row_number() OVER (PARTITION BY label, draw ORDER BY t DESC, ob) AS r FROM (SELECT label, draw, ob, count(*) AS t FROM n GROUP BY ALL))
+SELECT n.label AS p_type, n.draw, key AS base, other AS neighbour, round(x + (ox - x) * pos, 6) AS price, round(y + (oy - y) * pos, 6) AS size, c.oc AS name, b.ob AS brand
+FROM n JOIN c ON n.label = c.label AND n.draw = c.draw AND c.r = 1 JOIN b ON n.label = b.label AND n.draw = b.draw AND b.r = 1 WHERE place = pick""")
+def smote_mixed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty synthetic parts a type, of numbers and categories."""
+    p = table(spark, d, "part")
+    wanted = p.select("p_type").distinct().withColumn("n", F.lit(20))
+    made = B.smote_mixed(p, "p_partkey", "p_type", ["p_retailprice", "p_size"], ["p_name", "p_brand"], wanted)
+    n, c = F.col("numbers"), F.col("categories")
+    return made.select("p_type", "draw", "base", "neighbour", F.round(n[0], 6).alias("price"), F.round(n[1], 6).alias("size"), c["p_name"].alias("name"), c["p_brand"].alias("brand"))
+
+
 @R.add(f"""WITH {_NN}, o AS (SELECT key, other, label, other_label FROM n WHERE rank = 1 AND label <> other_label), t AS (SELECT a.* FROM o a JOIN o b ON a.key = b.other AND a.other = b.key),
 c AS (SELECT label, count(*) AS k FROM embeddings GROUP BY 1), x AS (SELECT t.key FROM t JOIN c a ON t.label = a.label JOIN c b ON t.other_label = b.label WHERE a.k >= b.k)
 SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT key FROM x)""")

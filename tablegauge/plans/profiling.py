@@ -311,7 +311,7 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return A.stratified_split(table(spark, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "subset")
 
 
-@R.add("SELECT 0 AS n_shared")
+@R.add(f"SELECT count(*) AS n_shared FROM (SELECT o_orderkey FROM {_SPLIT} GROUP BY o_orderkey HAVING count(DISTINCT subset) > 1)")
 def split_disjointness(spark: SparkSession, d: str) -> DataFrame:
     """Keys that two subsets share: none."""
     s = A.stratified_split(table(spark, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "subset")

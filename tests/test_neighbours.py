@@ -86,3 +86,37 @@ def test_pairs_grow_far_below_the_square(spark):
         assert N.nearest(rows, "k", "l", "v", 3, block=32, measured=counter).count() == 3 * n
         pairs.append(counter.value / n**2)
     assert pairs[1] < pairs[0] / 2 and pairs[1] < 0.1
+
+
+def test_mixed_rows(spark):
+    """Numbers between a row and its neighbour in the mixed distance, categories the neighbours' mode; gaps and single rows."""
+    from tablegauge.operators.neighbour_sampling import smote_mixed
+
+    rows = [(k, "a", float(k), "xyx"[k % 3] if k % 4 else None, "p") for k in range(12)] + [(50, "b", 1.0, "x", "p"), (51, None, 2.0, "x", "p"), (52, "a", None, "x", "p"), (None, "a", 3.0, "x", "p"), (60, "c", 1.0, "q", "r"), (61, "c", 1.0, "s", None)]
+    df = spark.createDataFrame(rows, "k long, l string, x double, c string, d string")
+    wanted = spark.createDataFrame([("a", 30), ("b", 5), ("c", 2), (None, 4)], "l string, n int")
+    made = smote_mixed(df, "k", "l", ["x"], ["c", "d"], wanted, k=3).collect()
+    assert sorted({r["l"] for r in made}) == ["a", "c"] and len(made) == 32
+    own = {r[0]: r for r in rows if r[1] == "a" and r[0] is not None and r[2] is not None}
+    weight = float(np.std([r[2] for r in own.values()])) ** 2
+    for r in (m for m in made if m["l"] == "a"):
+        base = own[r["base"]]
+        near = sorted((float(np.sqrt((base[2] - o[2]) ** 2 + weight * ((base[3] != o[3]) + (base[4] != o[4])))), k) for k, o in own.items() if k != base[0])[:3]
+        assert r["neighbour"] in [k for _, k in near]
+        low, high = sorted((base[2], own[r["neighbour"]][2]))
+        assert low <= r["numbers"][0] <= high
+        seen = [own[k][3] for _, k in near]
+        assert r["categories"]["c"] == min(set(seen), key=lambda v: (-seen.count(v), v is None, v or "")) and r["categories"]["d"] == "p"
+    assert {(r["base"], r["neighbour"]) for r in made if r["l"] == "c"} <= {(60, 61), (61, 60)}
+
+
+def test_codes_of_values_that_begin_alike(spark):
+    from tablegauge.operators import encode
+
+    values = [f"Customer#{k:09}" for k in range(500)] + ["", "Customer", "é", None, "Customer#000000007"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r["value"]: r["code"] for r in encode.label_codes(df, "v").collect()}
+    assert got == {v: i for i, v in enumerate(sorted({v for v in values if v is not None}))}
+    assert encode.label_codes(df.where("false"), "v").count() == 0
+    numbers = spark.createDataFrame([(3.5,), (-1.0,), (3.5,), (None,)], "v double")
+    assert sorted(tuple(r) for r in encode.label_codes(numbers, "v").collect()) == [(-1.0, 0), (3.5, 1)]
