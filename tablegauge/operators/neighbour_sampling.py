@@ -98,7 +98,8 @@ def smote_mixed(df: DataFrame, key: str, label: str, numbers: list[str], categor
 
 def smote_tomek(df: DataFrame, key: str, label: str, vector: str, wanted: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """``key, label, vector``: synthetic rows added (negative keys), then Tomek links cleaned."""
-    made = smote(df, key, label, vector, wanted, k, seed)
-    numbered = made.select((-F.abs(F.xxhash64(label, "draw")) - 1).alias(key), label, F.col("vector").alias(vector))
+    made = stored(smote(df, key, label, vector, wanted, k, seed), "synthetic")
+    own = F.conv(F.substring(F.md5(F.concat(F.col(label).cast("string"), F.lit("|"), F.col("draw").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    numbered = made.select((-own - 1).alias(key), label, F.col("vector").alias(vector))
     both = df.select(F.col(key).cast("bigint").alias(key), label, F.transform(vector, lambda x: x.cast("double")).alias(vector)).unionByName(numbered)
     return without_tomek(both, key, label, vector)

@@ -224,7 +224,19 @@ def tomek_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return B.without_tomek(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("vec_id", "label")
 
 
-@R.add()
+_SYNTHETIC = f"""p AS (SELECT a.vec_id AS key, a.label AS label, b.vec_id AS other, b.label AS other_label, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: power(CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE), 2)))) AS distance FROM embeddings a, embeddings b),
+z AS (SELECT label, count(*) AS size FROM embeddings GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '#42')), vec_id) AS rank FROM embeddings),
+d AS (SELECT label, size, unnest(range(1, 6)) AS draw FROM z), g AS (SELECT *, floor({_H.format(t="|b|")} * size) + 1 AS rank, floor({_H.format(t="|n|")} * least(5, size - 1)) + 1 AS pick, {_H.format(t="|t|")} AS pos FROM d),
+w AS (SELECT key, other, row_number() OVER (PARTITION BY key ORDER BY distance, other) AS pick FROM p WHERE key <> other AND label = other_label),
+made AS (SELECT -CAST(concat('0x', substr(md5(concat(CAST(g.label AS VARCHAR), '|', CAST(g.draw AS VARCHAR))), 1, 15)) AS BIGINT) - 1 AS vec_id, g.label, list_transform(list_zip(k.embedding, u.embedding), lambda t: CAST(t[1] AS DOUBLE) + (CAST(t[2] AS DOUBLE) - CAST(t[1] AS DOUBLE)) * pos) AS v
+  FROM g JOIN k ON g.label = k.label AND g.rank = k.rank JOIN w ON w.key = k.vec_id AND w.pick = g.pick JOIN embeddings u ON u.vec_id = w.other),
+every AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings UNION ALL SELECT * FROM made)"""
+
+
+@R.add(f"""WITH {_SYNTHETIC}, q AS (SELECT a.vec_id AS key, a.label, b.vec_id AS other, b.label AS other_label, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: power(t[1] - t[2], 2)))), b.vec_id) AS rank FROM every a JOIN every b ON a.vec_id <> b.vec_id),
+o AS (SELECT key, other, label, other_label FROM q WHERE rank = 1 AND label <> other_label), t AS (SELECT a.* FROM o a JOIN o b ON a.key = b.other AND a.other = b.key),
+c AS (SELECT label, count(*) AS n FROM every GROUP BY 1), x AS (SELECT t.key FROM t JOIN c a ON t.label = a.label JOIN c b ON t.other_label = b.label WHERE a.n >= b.n)
+SELECT vec_id, label, round(v[1], 6) AS first_value FROM every WHERE vec_id NOT IN (SELECT key FROM x)""")
 def smote_tomek(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic rows added, then Tomek links cleaned."""
     e = table(spark, d, "embeddings")
