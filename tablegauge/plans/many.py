@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stored import shared_path
+from ..functions.scalars import hash_share
+from ..functions.stored import shared_path, stored
 from ..operators import difficulty as D
 from ..operators import many as M
 from ..sources import result_store as R_
@@ -74,3 +75,27 @@ def many_tables_difficulty(spark: SparkSession, d: str) -> DataFrame:
     back = R_.get(spark, path, "difficulty")
     out = D.ordered(back, R_.read_index(spark, f"{path}-index").where("kind = 'difficulty'").select("dataset_id", "position"))
     return out.select("dataset_id", *[F.round(c, 6).alias(c) for c in found.columns if c != "dataset_id"], "position")
+
+
+_SHARES = " UNION ALL ".join(
+    f"SELECT dataset_id, {f} AS fraction, max(n) / sum(n) AS majority, sum(n) AS n_rows FROM (SELECT dataset_id, label, CAST(count(*) AS DOUBLE) AS n FROM once WHERE CAST(concat('0x', substr(md5(concat(key, '#42')), 1, 8)) AS BIGINT) / 4294967296.0 < {f} GROUP BY ALL) GROUP BY 1"
+    for f in (0.25, 0.75)
+)
+_SCORED = f"""{_DIFFICULTY}, difficulty AS (SELECT dataset_id, ({' + '.join(f'difficulty_{g}' for g in M.GROUPS)}) / 3 AS y FROM grouped),
+scores AS ({_SHARES}), points AS (SELECT fraction, metric, y, x FROM (SELECT fraction, y, unnest(['majority', 'n_rows']) AS metric, unnest([majority, n_rows]) AS x FROM scores JOIN difficulty USING (dataset_id))),
+ranks AS (SELECT *, rank() OVER (PARTITION BY fraction, metric ORDER BY x) + (count(*) OVER (PARTITION BY fraction, metric, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY fraction, metric ORDER BY y) + (count(*) OVER (PARTITION BY fraction, metric, y) - 1) / 2 AS ry FROM points),
+linear AS (SELECT fraction, metric, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM ranks GROUP BY ALL),
+tau AS (SELECT a.fraction, a.metric, sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(CAST(a.x <> b.x AS INTEGER)) * sum(CAST(a.y <> b.y AS INTEGER))) AS kendall FROM points a JOIN points b ON a.fraction = b.fraction AND a.metric = b.metric GROUP BY ALL)"""
+
+
+@R.add(f"WITH {_SCORED} SELECT fraction, metric, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(kendall, 6) AS kendall FROM linear JOIN tau USING (fraction, metric)")
+def many_tables_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """How the difficulty of five tables goes with what a majority vote gets, and with their size, in two samples of them."""
+    rows = stored(M.cleaned(M.stacked(_tables(spark, d))), "many-rows")
+    share = hash_share(F.col("key"), 42)
+    found = M.difficulty(M.metrics(M.prepared(rows.where(share < 0.5))))
+    held = F.filter(F.array(F.lit(0.25), F.lit(0.75)), lambda f: share < f)
+    counts = rows.select("dataset_id", "label", F.explode(held).alias("fraction")).groupBy("dataset_id", "fraction", "label").agg(F.count("*").cast("double").alias("n"))
+    results = counts.groupBy("dataset_id", "fraction").agg((F.max("n") / F.sum("n")).alias("majority"), F.sum("n").alias("n_rows"))
+    out = M.related(found, results, ["majority", "n_rows"], "fraction")
+    return out.select("fraction", "metric", *[F.round(c, 6).alias(c) for c in ("pearson", "spearman", "kendall")])
