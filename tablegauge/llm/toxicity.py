@@ -136,7 +136,7 @@ def _run(model: dict, way: str, projected: np.ndarray, ids: np.ndarray, mask: np
     return out
 
 
-def window_logits(model: dict, table: WordTable, ids: np.ndarray, batch: int = 2048) -> np.ndarray:
+def window_logits(model: dict, table: WordTable, ids: np.ndarray, batch: int = 1024) -> np.ndarray:
     """A logit for every window."""
     x = _inputs(model, table)
     project = {w: np.concatenate([np.zeros((1, 3 * HIDDEN), np.float32), x @ model[f"W{w}"] + model[f"c{w}"]]) for w in "fb"}
@@ -303,8 +303,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC,
     return [r[2] for r in rows], [int(r[1]) for r in rows]
 
 
-def text_scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's score, that of its most toxic window, and its number of windows."""
+def text_scores(model: dict[str, np.ndarray] | None, texts: list[bytes], step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's score, that of its most toxic window, and its number of windows; about ``step`` bytes at a time."""
+    parts = [_part_scores(model, [t for (t,) in group]) for group in chunks([(t,) for t in texts], step)]
+    if not parts:
+        return np.zeros(0), np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _part_scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     top, many = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
     table = WordTable(texts)
     ids, text = table.windows()
