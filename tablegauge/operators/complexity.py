@@ -195,13 +195,13 @@ def _logistic(df: DataFrame, label: str, features: list[str]):
     return rows, LogisticRegression(labelCol="y", regParam=1.0 / max(1, rows.count()), maxIter=50).fit(rows)
 
 
-def probability_entropy(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Ten statistics of the entropy of logistic-regression probabilities (C = 1)."""
+def probability_entropy(df: DataFrame, label: str, features: list[str], fitted: tuple | None = None) -> DataFrame:
+    """Ten statistics of the entropy of logistic-regression probabilities (C = 1); ``fitted`` is what ``_logistic`` gave."""
     from pyspark.ml.functions import vector_to_array
 
     from ..functions.scalars import entropy
 
-    rows, model = _logistic(df, label, features)
+    rows, model = fitted or _logistic(df, label, features)
     return summary(model.transform(rows).select(entropy(vector_to_array("probability")).alias("x")), "x")
 
 
@@ -257,9 +257,9 @@ STATISTICS = ("size", "max", "min", "mean", "median", "q1", "q3", "iqr", "std",
 METRICS = ("anova_f", "mutual_information", "centroid_distance", "mahalanobis", "svm_margin", "probability_entropy", "intrinsic_dimension", "calinski_harabasz", "class_confusion_entropy", "class_imbalance")
 
 
-def model_confusion_entropy(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """``confusion_entropy`` of a logistic regression (C = 1) on the rows it has learnt from."""
-    rows, model = _logistic(df, label, features)
+def model_confusion_entropy(df: DataFrame, label: str, features: list[str], fitted: tuple | None = None) -> DataFrame:
+    """``confusion_entropy`` of a logistic regression (C = 1) on the rows it has learnt from; ``fitted`` as above."""
+    rows, model = fitted or _logistic(df, label, features)
     counts = model.transform(rows).groupBy("y", F.col("prediction").alias("yhat")).agg(F.count("*").alias("n"))
     return confusion_entropy(counts)
 
@@ -273,6 +273,8 @@ def metric_jobs(df: DataFrame, label: str, features: list[str], key: str | None
 
     record = functools.cache(lambda: stored(metric_record(df, label, features), "record"))  # four metrics share it
 
+    logistic = functools.cache(lambda: _logistic(df, label, features))  # two share it
+
     def of_moments(metric: str) -> Callable[[], DataFrame]:
         return lambda: record().where(F.col("metric") == metric).select("sub_metric", "value")
 
@@ -294,9 +296,9 @@ def metric_jobs(df: DataFrame, label: str, features: list[str], key: str | None
         "mutual_information": information,
         "mahalanobis": lambda: statistics(mahalanobis(df, label, features)),
         "svm_margin": lambda: statistics(svm_margin(df, label, features)),
-        "probability_entropy": lambda: statistics(probability_entropy(df, label, features)),
+        "probability_entropy": lambda: statistics(probability_entropy(df, label, features, logistic())),
         "intrinsic_dimension": dimension,
-        "class_confusion_entropy": lambda: model_confusion_entropy(df, label, features).select(F.lit("confusion_entropy").alias("sub_metric"), F.col("confusion_entropy").alias("value")),
+        "class_confusion_entropy": lambda: model_confusion_entropy(df, label, features, logistic()).select(F.lit("confusion_entropy").alias("sub_metric"), F.col("confusion_entropy").alias("value")),
     }
     return jobs | ({"kdn": neighbourhood} if key else {})
 

@@ -281,7 +281,7 @@ def searched(distinct: DataFrame, k: int, block: int = BLOCK, most_pivots: int =
                     best.take(points, _keys(part.column("key")), _objects(part.column("label")))
         yield from done()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_blocks, 20_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_blocks // 8, 20_000))
     dealt = stream.repartition(parts, "asking", "stripe").sortWithinPartitions("asking", "stripe", "at")
     out = dealt.mapInArrow(run, f"key {kinds['key'].simpleString()}, near array<struct<distance: double, other: {kinds['key'].simpleString()}, other_label: {kinds['label'].simpleString()}>>")
     if n_blocks <= STRIPE:

@@ -47,7 +47,7 @@ def table(seed, n, d):
 
 @pytest.mark.parametrize("options", [{}, {"include_self": True}, {"within": True}])
 def test_equal_to_all_pairs_in_small_blocks(spark, options):
-    rows = table(1, 700, 3)
+    rows = table(1, 500, 3)
     want = brute(rows, 4, options.get("include_self", False), options.get("within", False))
     assert got(spark, rows, 4, block=16, **options) == want
 
@@ -79,7 +79,7 @@ def test_none_and_one_row(spark):
 def test_pairs_grow_far_below_the_square(spark):
     """Four times the rows on a plane: about four times the pairs, a few hundredths of all of them."""
     pairs = []
-    for n in (2000, 8000):
+    for n in (1500, 6000):
         x = np.random.default_rng(5).uniform(size=(n, 2))
         rows = spark.createDataFrame([(i, 0, x[i].tolist()) for i in range(n)], "k long, l int, v array<double>")
         counter = spark.sparkContext.accumulator(0)
