@@ -120,3 +120,34 @@ def test_codes_of_values_that_begin_alike(spark):
     assert encode.label_codes(df.where("false"), "v").count() == 0
     numbers = spark.createDataFrame([(3.5,), (-1.0,), (3.5,), (None,)], "v double")
     assert sorted(tuple(r) for r in encode.label_codes(numbers, "v").collect()) == [(-1.0, 0), (3.5, 1)]
+
+
+@pytest.mark.parametrize("few", [4096, 8, 1])
+def test_neighbours_of_some_rows(spark, monkeypatch, few):
+    """Those that are asked for, as if all were, however many passes they take; they alone are measured."""
+    monkeypatch.setattr(N, "FEW", few)
+    rows = [*table(6, 300, 3), (9000, 1, None), (9003, 2, [1.0]), (9006, None, [0.0, 1.0, 2.0])]
+    keys = [k for k, _, _ in rows[::19]] + [9000, 9006]
+    asked = spark.createDataFrame([(k,) for k in [*keys, keys[0], 123456, None]], "key long")
+    for options in ({}, {"include_self": True}, {"within": True}):
+        want = brute(rows, 4, options.get("include_self", False), options.get("within", False))
+        assert got(spark, rows, 4, block=16, asked=asked, **options) == {k: want[k] for k in keys if want[k]}
+
+
+def test_blocks_that_reach_all_are_asked_together(spark, monkeypatch):
+    """Where nothing can be left out, the stream is sent once for many blocks."""
+    monkeypatch.setattr(N, "GROUPS", 4)
+    monkeypatch.setattr(N, "ROWS", 16)
+    monkeypatch.setattr(N, "COLUMNS", 8)
+    x = np.random.default_rng(7).normal(size=(400, 12))
+    rows = [(int(i), int(i % 3), x[i].tolist()) for i in range(400)]
+    groups, made = [], N._groups
+
+    def seen(*args):
+        groups.append(made(*args))
+        return groups[-1]
+
+    monkeypatch.setattr(N, "_groups", seen)
+    assert got(spark, rows, 5, block=16) == brute(rows, 5)
+    counts = groups[0].agg({"asking": "count"}).first()[0], groups[0].select("group").distinct().count()
+    assert counts[0] > 16 and counts[1] <= 8
