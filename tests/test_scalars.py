@@ -62,3 +62,19 @@ def test_comma_decimal_and_elapsed(spark):
     assert values(spark, ["1,5", "2", "x", None], S.comma_decimal) == [1.5, 2.0, None, None]
     df = spark.sql("select timestamp'2024-01-01 00:00:00' a, timestamp'2024-01-01 00:01:00.5' b")
     assert df.select(S.elapsed_seconds(F.col("a"), F.col("b"))).first()[0] == 60.5
+
+
+def test_quantiles_of_a_table_do_not_deal_rows_by_their_column(spark):
+    """However small a table may be for a broadcast, no join gives one task all values of a column."""
+    from tablegauge.operators.ordering import quantiles
+
+    rows = spark.range(1000).selectExpr("double(id) as a", "double(id % 10) as b")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quantiles(rows, ["a", "b"], [0.25, 0.5])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert {r["feature"]: r["q"] for r in out.collect()} == {"a": [249.75, 499.5], "b": [2.0, 4.5]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
