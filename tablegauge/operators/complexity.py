@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stored import stored
+from ..functions.stored import discarded, stored
 from .metric_neighbours import nearest
 from .moments import class_counts, imbalance, summary
 
@@ -169,22 +169,15 @@ def _vectors(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 
 def svm_margin(df: DataFrame, label: str, features: list[str], signed: bool = False) -> DataFrame:
     """Ten statistics of the rows' margin under linear support-vector machines (C = 1)."""
-    from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import vector_to_array
 
-    rows = _vectors(df, label, features)
-    one = rows.agg(F.count("*").alias("n"), F.count_distinct("y").alias("k")).first()
-    out = rows
-    names = []
-    for c in range(one["k"]) if one["k"] > 2 else [1]:
-        binary = rows.withColumn("label", (F.col("y") == c).cast("double"))
-        model = LinearSVC(regParam=1.0 / one["n"], standardization=False, maxIter=30).fit(binary)
-        out = model.setRawPredictionCol(f"raw{c}").setPredictionCol(f"p{c}").transform(out)
-        names.append(f"raw{c}")
-    margins = [vector_to_array(c)[1] for c in names]
-    if not signed:
-        margins = [F.abs(m) for m in margins]
-    return summary(out.select((F.least(*margins) if len(margins) > 1 else margins[0]).alias("x")), "x")
+    from . import linear_svm
+
+    rows = _vectors(df, label, features).select("y", vector_to_array("features").alias("x"))
+    blocks = stored(linear_svm.packed(rows), "svm-blocks")
+    margins = stored(linear_svm.decided(blocks, linear_svm.fitted(blocks), signed), "svm-margins")  # which its statistics read several times
+    discarded(blocks)
+    return summary(margins, "x")
 
 
 def _logistic(df: DataFrame, label: str, features: list[str]):
