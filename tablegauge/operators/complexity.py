@@ -154,7 +154,7 @@ def mahalanobis(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     for r in gram.covariances(df, label, features, means).collect():  # K x P x P numbers
         cov[r["label"]][r["a"], r["b"]] = cov[r["label"]][r["b"], r["a"]] = r["covariance"] or 0.0
     inverse = {k: np.linalg.inv(c + 1e-6 * np.eye(p)) for k, c in cov.items()}
-    return summary(gram.quadratic(df, label, features, means, inverse), "x")
+    return summary(stored(gram.quadratic(df, label, features, means, inverse).select("x"), "distances"), "x")  # which its statistics read several times
 
 
 def _vectors(df: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -195,7 +195,7 @@ def probability_entropy(df: DataFrame, label: str, features: list[str], fitted:
     from ..functions.scalars import entropy
 
     rows, model = fitted or _logistic(df, label, features)
-    return summary(model.transform(rows).select(entropy(vector_to_array("probability")).alias("x")), "x")
+    return summary(stored(model.transform(rows).select(entropy(vector_to_array("probability")).alias("x")), "entropies"), "x")
 
 
 def intrinsic_dimension(df: DataFrame, features: list[str], share: float = 0.95) -> tuple[int, float]:
