@@ -56,24 +56,26 @@ def cleaned(rows: DataFrame, fraction: float = 1.0, seed: int = 42) -> DataFrame
     return once if fraction >= 1 else once.where(hash_share(F.col("key"), seed) < fraction)
 
 
-def features_of(rows: DataFrame) -> DataFrame:
-    """``dataset_id, key, label, feature, value``: a row per row and feature, features by their place."""
-    return rows.select("dataset_id", "key", "label", F.posexplode("x").alias("feature", "value"))
+def features_of(rows: DataFrame, keyed: bool = True) -> DataFrame:
+    """``dataset_id, key, label, feature, value``: a row per row and feature, features by their place; without keys where not ``keyed``."""
+    return rows.select("dataset_id", *(["key"] if keyed else []), "label", F.posexplode("x").alias("feature", "value"))
 
 
-def prepared(rows: DataFrame, few: int = 200) -> DataFrame:
+def prepared(rows: DataFrame, few: int = 200, keyed: bool = True) -> DataFrame:
     """``features_of`` the rows, ready for metrics: a feature of under ``few`` values by their share, others standardised; constants are 0.
 
     The values of few-valued features are counted; of the others only their moments are taken.
+    What is known of features and of their few values, fewer than ``few`` rows a feature, is sent to all rows.
     """
-    long = stored(features_of(rows), "many-features")
+    long = stored(features_of(rows, keyed), "many-features")
+    names = [c for c in long.columns if c != "value"]
     stats = long.groupBy("dataset_id", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count_distinct("value").alias("n_distinct"))
     stats = stored(stats, "many-stats")  # a row per table and feature
     counted = stats.where(F.col("n_distinct") < few)
     shares = long.join(F.broadcast(counted.select("dataset_id", "feature", "n")), ["dataset_id", "feature"]).groupBy("dataset_id", "feature", "value", "n").agg((F.count("*") / F.col("n")).alias("share"))
-    by_share = long.join(shares.drop("n"), ["dataset_id", "feature", "value"]).select("dataset_id", "key", "label", "feature", F.col("share").alias("value"))
+    by_share = long.join(F.broadcast(shares.drop("n")), ["dataset_id", "feature", "value"]).select(*names, F.col("share").alias("value"))
     z = F.when(F.col("std") > 0, (F.col("value") - F.col("mean")) / F.col("std")).otherwise(0.0)
-    by_scale = long.join(F.broadcast(stats.where(F.col("n_distinct") >= few)), ["dataset_id", "feature"]).select("dataset_id", "key", "label", "feature", z.alias("value"))
+    by_scale = long.join(F.broadcast(stats.where(F.col("n_distinct") >= few)), ["dataset_id", "feature"]).select(*names, z.alias("value"))
     return by_share.unionByName(by_scale)
 
 

@@ -54,7 +54,7 @@ _NUMBERS = ("anova_f_mean", "mutual_information_mean", "centroid_distance", "cal
 @R.add(f"WITH {_METRICS} SELECT dataset_id, n_rows, n_features, n_classes, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)} FROM metrics")
 def many_tables_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Five tables of different columns cleaned, halved, prepared and measured in one plan."""
-    m = M.metrics(M.prepared(M.cleaned(M.stacked(_tables(spark, d)), 0.5)))
+    m = M.metrics(M.prepared(M.cleaned(M.stacked(_tables(spark, d)), 0.5), keyed=False))
     return m.select("dataset_id", "n_rows", "n_features", "n_classes", *[F.round(c, 6).alias(c) for c in _NUMBERS])
 
 
@@ -68,7 +68,7 @@ unit AS (SELECT dataset_id, {_UNIT} FROM turned), grouped AS (SELECT dataset_id,
 def many_tables_difficulty(spark: SparkSession, d: str) -> DataFrame:
     """The five tables' difficulty, put into the result store, replaced there, read back and ordered by the store's index."""
     path = shared_path(spark, "results")
-    found = M.difficulty(M.metrics(M.prepared(M.cleaned(M.stacked(_tables(spark, d)), 0.5))))
+    found = M.difficulty(M.metrics(M.prepared(M.cleaned(M.stacked(_tables(spark, d)), 0.5), keyed=False)))
     R_.put(found.withColumn("difficulty", F.lit(None).cast("double")), path, "difficulty")
     R_.put(found, path, "difficulty")
     R_.write_index(spark, path, f"{path}-index")
@@ -93,7 +93,7 @@ def many_tables_correlation(spark: SparkSession, d: str) -> DataFrame:
     """How the difficulty of five tables goes with what a majority vote gets, and with their size, in two samples of them."""
     rows = stored(M.cleaned(M.stacked(_tables(spark, d))), "many-rows")
     share = hash_share(F.col("key"), 42)
-    found = M.difficulty(M.metrics(M.prepared(rows.where(share < 0.5))))
+    found = M.difficulty(M.metrics(M.prepared(rows.where(share < 0.5), keyed=False)))
     held = F.filter(F.array(F.lit(0.25), F.lit(0.75)), lambda f: share < f)
     counts = rows.select("dataset_id", "label", F.explode(held).alias("fraction")).groupBy("dataset_id", "fraction", "label").agg(F.count("*").cast("double").alias("n"))
     results = counts.groupBy("dataset_id", "fraction").agg((F.max("n") / F.sum("n")).alias("majority"), F.sum("n").alias("n_rows"))

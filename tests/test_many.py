@@ -30,6 +30,17 @@ def test_tables_are_cleaned_prepared_and_measured_together(tables):
     assert set(d) == {"a", "b"} and all(0 <= v <= 1 for v in d.values())
 
 
+def test_few_values_are_sent_to_rows_without_keys(tables):
+    """No row is shuffled to be prepared but in counts, and keys are not written."""
+    rows = M.cleaned(M.stacked(tables))
+    plain = M.prepared(rows, few=10, keyed=False)
+    keyed = M.prepared(rows, few=10).drop("key")
+    assert plain.columns == ["dataset_id", "label", "feature", "value"]
+    near = lambda df: df.withColumn("value", F.round("value", 9))  # noqa: E731 - means are added up in any order
+    assert near(plain).exceptAll(near(keyed)).count() == 0 and plain.count() == keyed.count() == 299 * 3 + 200
+    assert "SortMergeJoin" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
 def test_difficulty_and_scores(spark):
     found = spark.createDataFrame([("a", 0.1), ("b", 0.5), ("c", 0.9)], "dataset_id string, difficulty double")
     results = spark.createDataFrame([("a", "m", 0.9, 1.0), ("b", "m", 0.8, 5.0), ("c", "m", 0.1, 2.0), ("x", "m", 0.0, 0.0)], "dataset_id string, model string, f1 double, seconds double")
