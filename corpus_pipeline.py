@@ -22,6 +22,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group of near-duplicates: five-word shingles 0.8 alike or more.
 
+    Operator 6's classes of fingerprints, and MinHash bands for copies further apart, name
+    the texts to compare.
+
     Rows that share an id and differ in text stand for their own groups; rows that repeat an
     id and text are one. Rows with a null id stay; null and wordless texts are one group.
     """

@@ -1,8 +1,11 @@
-"""Documents whose five-word shingles agree, by MinHash bands and exact verification.
+"""Documents whose five-word shingles agree, by SimHash classes, MinHash bands and exact verification.
 
-Two texts whose shingle sets have a Jaccard similarity of ``s`` meet in one of ``BANDS``
-bands of ``ROWS`` minima each with a probability of ``1 - (1 - s ** ROWS) ** BANDS``,
-0.99993 at 0.8. Texts that meet are compared by their whole sets.
+Texts meet in the classes of operator 6: SimHash fingerprints within three bits, found by
+multi-index hashing, and what such links reach. Similar texts with fingerprints further
+apart meet in MinHash bands: at a Jaccard similarity of ``s`` of their shingle sets, in
+one of ``BANDS`` bands of ``ROWS`` minima each with a probability of
+``1 - (1 - s ** ROWS) ** BANDS``, 0.99993 at 0.8. A class is a bucket as a band's value
+is; texts that meet in either are compared by their whole sets.
 
 Only distinct sets take part. Each first meets the one of its bucket that meets the most
 others in its own, the middle of a group of copies, which joins most of a large group.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, document_rows, grams, mix, unwritten, with_computed, with_frequent_apart, written
 from .components import connected_components
+from .simhash import classes, fingerprint
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -55,13 +59,19 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """``doc_id, tx, content, size, bands`` of ``rows(doc_id, text)``: a hash of the text, one of its set, the set's size, its bands."""
+    """``doc_id, tx, content, size, bands, fp`` of ``rows(doc_id, text)``: a hash of the text, one of its set, the set's size, its bands, the text's fingerprint."""
 
     def compute(texts: list[bytes]) -> dict:
         sets = [shingles(t) for t in texts]
-        return {"content": _signed([_content(s) for s in sets]), "size": [len(s) for s in sets], "bands": [_bands(s) for s in sets]}
+        return {"content": _signed([_content(s) for s in sets]), "size": [len(s) for s in sets], "bands": [_bands(s) for s in sets], "fp": _signed([fingerprint(t) for t in texts])}
 
-    return with_computed(rows.withColumn("tx", F.xxhash64("text")), compute, "content long, size int, bands array<long>")
+    return with_computed(rows.withColumn("tx", F.xxhash64("text")), compute, "content long, size int, bands array<long>, fp long")
+
+
+def _classed(signed: DataFrame) -> DataFrame:
+    """``content, size, key`` of the sets of ``signed``: the classes of operator 6 that a set's texts belong to."""
+    named = classes(signed.select("doc_id", "fp")).select("fp", F.xxhash64("component_id").alias("key"))
+    return signed.where("size > 0").select("content", "size", "fp").distinct().join(named, "fp").select("content", "size", "key").distinct()
 
 
 def _texts(contents: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -153,7 +163,7 @@ def _grouped(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     signed = written(signatures(rows), "near-copy-bands")
     places = signed.groupBy("content", "doc_id", "tx").agg(F.count("*").alias("n"))
     groups = written(places.groupBy("content").agg(F.min(F.struct("doc_id", "tx", "n")).alias("head"), F.min("doc_id").alias("least"), F.sum("n").alias("copies")), "near-copy-groups")
-    one = signed.dropDuplicates(["content"]).select("content", "size", F.explode("bands").alias("key"))
+    one = signed.dropDuplicates(["content"]).select("content", "size", F.explode("bands").alias("key")).unionByName(_classed(signed))
     full = written(one.join(one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "near-copy-met")
     # the middle of a group of copies meets the most others; each bucket's is compared with all of it
     middle = full.groupBy("content").agg(F.sum("n").alias("meets"))

@@ -86,6 +86,21 @@ def links(fps: DataFrame, distance: int = DISTANCE, tables: int = 2) -> DataFram
     return near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
 
+def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, component_id, copies`` of each distinct fingerprint of ``fps(doc_id, fp)``, whose ids are not null.
+
+    ``component_id`` is the smallest id that links reach, ``copies`` the fingerprint's rows.
+    """
+    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprint-groups")
+    # components run on each fingerprint's smallest document, which orders them as the result asks
+    pairs = links(groups.select("fp"), distance).distinct()
+    x = groups.select(F.col("fp").alias("a"), F.col("least").alias("la"))
+    y = groups.select(F.col("fp").alias("b"), F.col("least").alias("lb"))
+    edges = pairs.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    reached = connected_components(edges)
+    return written(groups.join(reached.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -99,13 +114,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     all_rows = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
     rows = all_rows.where("doc_id is not null")
-    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprint-groups")
-    # components run on each fingerprint's smallest document, which orders them as the result asks
-    pairs = links(groups.select("fp"), distance).distinct()
-    x = groups.select(F.col("fp").alias("a"), F.col("least").alias("la"))
-    y = groups.select(F.col("fp").alias("b"), F.col("least").alias("lb"))
-    edges = pairs.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    reached = connected_components(edges)
-    named = written(groups.join(reached.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies"), "fingerprint-components")
-    found = with_frequent_apart(rows, named, "fp", "copies").unionByName(all_rows.where("doc_id is null"), allowMissingColumns=True)
+    found = with_frequent_apart(rows, classes(rows, distance), "fp", "copies").unionByName(all_rows.where("doc_id is null"), allowMissingColumns=True)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

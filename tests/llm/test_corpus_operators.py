@@ -358,6 +358,23 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert left == set(component.values()) and len(left) < 70
 
 
+@pytest.mark.parametrize("others", [0, 3])
+def test_near_duplicate_stage_searches_by_fingerprints(spark, others):
+    """Two texts, 0.8 alike, that share no MinHash band meet in operator 6's class; unlike texts of one fingerprint stay."""
+    import corpus_pipeline
+    from tablegauge.llm import near_copies
+
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    many = "x " * 100  # over half of the shingles, so the fingerprint
+    a, b = (f"{many} {words('a21365s', 7)} {last}" for last in ("one", "two"))
+    x, y = (near_copies.shingles(t.encode()) for t in (a, b))
+    assert len(np.intersect1d(x, y)) == 8 and len(np.union1d(x, y)) == 10 and not set(near_copies._bands(x)) & set(near_copies._bands(y))
+    docs = [(9, a), (4, b), (5, words("u", 30))] + [(20 + k, f"{many} {words(f'other{k}s', 8)}") for k in range(others)]
+    assert len({fingerprint(t) for i, t in docs if i != 5}) == 1
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates_out(spark, table(spark, docs), "").collect()}
+    assert left == {i for i, _ in docs} - {9}
+
+
 def test_stages_over_a_small_corpus(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 
