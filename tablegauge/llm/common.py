@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -196,16 +196,26 @@ def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def with_frequent_apart(rows: DataFrame, named: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join that deals out both sides and broadcasts neither, for sides that grow with the input.
+
+    Spark takes an exploded table to be as large as before, and a written one as its
+    compressed files, so that it would broadcast many times what it is allowed to.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def with_frequent_apart(rows: DataFrame, named: DataFrame, key: str, count: str, how: str = "inner", deal: bool = False) -> DataFrame:
     """``rows`` joined with ``named``, which has one row for each ``key``, and its ``count`` among ``rows``.
 
     Keys of over a thousandth of all rows, of which there are less than a thousand, are
-    broadcast, so that no task gets all rows of one of them.
+    broadcast, so that no task gets all rows of one of them. ``deal`` never broadcasts the others.
     """
     total = named.agg(F.sum(count)).first()[0] or 0
     often = named.where(F.col(count) * 1000 > total)
     apart = rows.join(F.broadcast(often.drop(count)), key)
-    return rows.join(F.broadcast(often.select(key)), key, "left_anti").join(named.drop(count), key, how).unionByName(apart)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return (dealt_join if deal else DataFrame.join)(rest, named.drop(count), key, how).unionByName(apart)
 
 
 class Memory(dict):

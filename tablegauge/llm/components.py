@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unwritten, written
+from .common import dealt_join, unwritten, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,10 +21,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if state[0] else 0):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = dealt_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # now a > b in every row: link each a's smaller neighbours, and a, to its smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        small = dealt_join(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         before, now = now, written(small, "edges")
         unwritten(before)
         state = _state(now)
@@ -39,5 +39,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _state(edges: DataFrame) -> tuple[int, int, int]:
     """Edges, leaves that are also centres, distinct leaves."""
     counts = edges.groupBy("a").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("leaves")).first()
-    chained = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").count()
+    chained = dealt_join(edges.select("b").distinct(), edges.select(F.col("a").alias("b")), "b", "left_semi").count()
     return int(counts["n"]), chained, int(counts["leaves"])

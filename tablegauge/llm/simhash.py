@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_rows, with_computed, with_frequent_apart, written
+from .common import dealt_join, document_rows, with_computed, with_frequent_apart, written
 from .components import connected_components
 
 DISTANCE = 3
@@ -81,7 +81,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, tables: int = 2) -> DataFram
     left, right = index[0], probe[0]
     for x, y in zip(index[1:], probe[1:], strict=True):
         left, right = left.unionByName(x), right.unionByName(y)
-    met = right.join(left, ["t", "v"]).where((F.col("mask") != 0) | (F.col("fp") < F.col("other")))
+    met = dealt_join(right, left, ["t", "v"]).where((F.col("mask") != 0) | (F.col("fp") < F.col("other")))
     near = met.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance))
     return near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
@@ -96,9 +96,9 @@ def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs = links(groups.select("fp"), distance).distinct()
     x = groups.select(F.col("fp").alias("a"), F.col("least").alias("la"))
     y = groups.select(F.col("fp").alias("b"), F.col("least").alias("lb"))
-    edges = pairs.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    edges = dealt_join(dealt_join(pairs, x, "a"), y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     reached = connected_components(edges)
-    return written(groups.join(reached.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies"), "fingerprint-components")
+    return written(dealt_join(groups, reached.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "copies"), "fingerprint-components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -114,5 +114,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     all_rows = written(fingerprints(docs, id_col, text_col, n), "fingerprints")
     rows = all_rows.where("doc_id is not null")
-    found = with_frequent_apart(rows, classes(rows, distance), "fp", "copies").unionByName(all_rows.where("doc_id is null"), allowMissingColumns=True)
+    found = with_frequent_apart(rows, classes(rows, distance), "fp", "copies", deal=True).unionByName(all_rows.where("doc_id is null"), allowMissingColumns=True)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
