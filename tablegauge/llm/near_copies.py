@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, document_rows, grams, mix, unwritten, with_computed, with_frequent_apart, written
+from .common import Words, dealt_join, document_rows, grams, mix, unwritten, with_computed, with_frequent_apart, written
 from .components import connected_components
 from .simhash import classes, fingerprint
 
@@ -71,7 +71,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 def _classed(signed: DataFrame) -> DataFrame:
     """``content, size, key`` of the sets of ``signed``: the classes of operator 6 that a set's texts belong to."""
     named = classes(signed.select("doc_id", "fp")).select("fp", F.xxhash64("component_id").alias("key"))
-    return signed.where("size > 0").select("content", "size", "fp").distinct().join(named, "fp").select("content", "size", "key").distinct()
+    return dealt_join(signed.where("size > 0").select("content", "size", "fp").distinct(), named, "fp").select("content", "size", "key").distinct()
 
 
 def _texts(contents: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -81,10 +81,10 @@ def _texts(contents: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame
         squeeze = zstandard.ZstdCompressor(level=3).compress
         return {"content": _signed([_content(shingles(t)) for t in texts]), "packed": [squeeze(t) for t in texts]}
 
-    ids = groups.join(contents, "content", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    ids = dealt_join(groups, contents, "content", "left_semi").select(F.col("least").alias("doc_id")).distinct()
     # a few rows may share an id, or an id and a text: only one of each set is kept
-    found = with_computed(rows.join(ids, "doc_id", "left_semi"), pack, "content long, packed binary").drop("doc_id").dropDuplicates(["content"])
-    return written(found.join(contents, "content", "left_semi"), "near-copy-texts")
+    found = with_computed(dealt_join(rows, ids, "doc_id", "left_semi"), pack, "content long, packed binary").drop("doc_id").dropDuplicates(["content"])
+    return written(dealt_join(found, contents, "content", "left_semi"), "near-copy-texts")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -111,7 +111,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, groups: DataFrame, similarity:
 
     asked = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
     texts = _texts(asked, rows, groups)
-    met = pairs.join(texts.select(F.col("content").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("content").alias("b"), F.col("packed").alias("y")), "b")
+    met = dealt_join(pairs, texts.select(F.col("content").alias("a"), F.col("packed").alias("x")), "a")
+    met = dealt_join(met, texts.select(F.col("content").alias("b"), F.col("packed").alias("y")), "b")
     out = written(met.sortWithinPartitions("b").mapInArrow(similar, "a long, b long"), "near-copy-links")
     unwritten(texts)
     return out
@@ -134,7 +135,7 @@ def _rarest_met(torn: DataFrame, rows: DataFrame, groups: DataFrame, similarity:
     sets = with_computed(packed, spread, "n int, s array<long>", "packed")
     tokens = written(sets.select("content", "n", F.explode("s").alias("s")), "near-copy-shingles")
     often = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")  # one that no other set has joins nothing, but comes first
-    ranked = tokens.join(often, "s", "left").groupBy("content", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("t"))
+    ranked = dealt_join(tokens, often, "s", "left").groupBy("content", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("t"))
     binned = lambda n: F.floor(F.log(n) / float(np.log(1.05)) + 1e-9).cast("int")
     share = similarity / (1 + similarity)
     # the most places from the front that any partner's size allows
@@ -144,12 +145,12 @@ def _rarest_met(torn: DataFrame, rows: DataFrame, groups: DataFrame, similarity:
     placed = first.select("content", "n", "at", F.col("t.s").alias("s"), binned(F.col("n")).alias("own"), bins.alias("other"))
     smallest = F.greatest(F.ceil(F.exp(F.col("other") * float(np.log(1.05))) - 1e-6), F.ceil(similarity * F.col("n") - 1e-9))
     placed = placed.where(F.col("n") - F.col("at") >= share * (F.col("n") + smallest) - 1e-6)
-    keyed = written(placed.join(torn, "content").select("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "content", "n", "at", "c").distinct(), "near-copy-rarest")
+    keyed = written(dealt_join(placed, torn, "content").select("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "content", "n", "at", "c").distinct(), "near-copy-rarest")
     x = keyed.select("s", "low", "high", F.col("own").alias("p_own"), F.col("content").alias("a"), F.col("n").alias("p"), F.col("at").alias("p_at"), F.col("c").alias("ca"))
     y = keyed.select("s", "low", "high", F.col("own").alias("q_own"), F.col("content").alias("b"), F.col("n").alias("q"), F.col("at").alias("q_at"), F.col("c").alias("cb"))
     enough = F.least(F.col("p") - F.col("p_at"), F.col("q") - F.col("q_at")) >= share * (F.col("p") + F.col("q")) - 1e-6
     sized = F.col("p_own") + F.col("q_own") == F.col("low") + F.col("high")
-    met = x.join(y, ["s", "low", "high"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & sized & enough)
+    met = dealt_join(x, y, ["s", "low", "high"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & sized & enough)
     return met.select("a", "b").distinct()
 
 
@@ -164,11 +165,11 @@ def _grouped(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     places = signed.groupBy("content", "doc_id", "tx").agg(F.count("*").alias("n"))
     groups = written(places.groupBy("content").agg(F.min(F.struct("doc_id", "tx", "n")).alias("head"), F.min("doc_id").alias("least"), F.sum("n").alias("copies")), "near-copy-groups")
     one = signed.dropDuplicates(["content"]).select("content", "size", F.explode("bands").alias("key")).unionByName(_classed(signed))
-    full = written(one.join(one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "near-copy-met")
+    full = written(dealt_join(one, one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "near-copy-met")
     # the middle of a group of copies meets the most others; each bucket's is compared with all of it
     middle = full.groupBy("content").agg(F.sum("n").alias("meets"))
-    met = full.join(middle, "content").select("key", F.struct("meets", "content", "size").alias("m"))
-    buckets = met.join(met.groupBy("key").agg(F.max("m").alias("most")), "key")
+    met = dealt_join(full, middle, "content").select("key", F.struct("meets", "content", "size").alias("m"))
+    buckets = dealt_join(met, met.groupBy("key").agg(F.max("m").alias("most")), "key")
     buckets = written(buckets.select("key", "m.content", "m.size", F.col("most.content").alias("b"), F.col("most.size").alias("b_size")), "near-copy-buckets")
     unwritten(full)
     alike = F.least("size", "b_size") >= similarity * F.greatest("size", "b_size")  # sizes that allow the similarity
@@ -176,18 +177,18 @@ def _grouped(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     stars = written(stars, "near-copy-pairs")
     links = _verified(stars, rows, groups, similarity)
     reached = connected_components(links)
-    named = buckets.join(reached.withColumnRenamed("node", "content"), "content", "left").select("key", "content", "size", F.coalesce("component", "content").alias("c"))
+    named = dealt_join(buckets, reached.withColumnRenamed("node", "content"), "content", "left").select("key", "content", "size", F.coalesce("component", "content").alias("c"))
     # buckets of two sets have compared them
     torn = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
-    torn = written(named.join(torn, "key", "left_semi").select("content", "c").distinct(), "near-copy-torn")
+    torn = written(dealt_join(named, torn, "key", "left_semi").select("content", "c").distinct(), "near-copy-torn")
     unwritten(buckets)
     if torn.limit(1).count():
-        rest = written(_rarest_met(torn, rows, groups, similarity).join(stars, ["a", "b"], "left_anti"), "near-copy-pairs")
+        rest = written(dealt_join(_rarest_met(torn, rows, groups, similarity), stars, ["a", "b"], "left_anti"), "near-copy-pairs")
         more = _verified(rest, rows, groups, similarity)
         reached = connected_components(links.unionByName(more))
-    named = groups.join(reached.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    named = dealt_join(groups, reached.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     heads = named.groupBy("component").agg(F.min("head").alias("first"), F.count("*").alias("sets"))
-    found = with_frequent_apart(named.select("content", "component", "copies"), heads, "component", "sets")
+    found = with_frequent_apart(named.select("content", "component", "copies"), heads, "component", "sets", deal=True)
     return signed.select("doc_id", "tx", "content"), written(found.select("content", "component", "copies", "first.*"), "near-copy-components")
 
 
@@ -203,7 +204,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unnamed = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
     signed, found = _grouped(rows.where("doc_id is not null"), similarity)
     final = found.select("content", F.col("doc_id").alias("component_id"), "copies")
-    return with_frequent_apart(signed.select("doc_id", "content"), final, "content", "copies").select("doc_id", "component_id").unionByName(unnamed)
+    return with_frequent_apart(signed.select("doc_id", "content"), final, "content", "copies", deal=True).select("doc_id", "component_id").unionByName(unnamed)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -221,7 +222,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = docs[text_col].cast("string").cast("binary")
 
     def of(some: DataFrame) -> DataFrame:
-        return docs.join(some, (docs[id_col].cast("long") == some[ours[0]]) & (F.xxhash64(text) == some[ours[1]]))
+        return dealt_join(docs, some, (docs[id_col].cast("long") == some[ours[0]]) & (F.xxhash64(text) == some[ours[1]]))
 
     firsts = written(firsts, "near-copy-firsts")
     again = firsts.where(F.col(ours[2]) > 1)
