@@ -29,8 +29,9 @@ def _tables(spark: SparkSession, d: str) -> dict[str, M.Labelled]:
 
 
 _STACKED = " UNION ALL ".join(f"SELECT '{n}' AS dataset_id, CAST({key} AS VARCHAR) AS key, CAST({label} AS VARCHAR) AS label, [{', '.join(f'CAST({c} AS DOUBLE)' for c in fs)}] AS x FROM {n}" for n, (key, label, fs) in TABLES.items())
+_HALF = " WHERE CAST(concat('0x', substr(md5(concat(key, '#42')), 1, 8)) AS BIGINT) / 4294967296.0 < 0.5"
 _LONG = f"""raw AS ({_STACKED}), once AS (SELECT dataset_id, label, x, min(key) AS key FROM raw WHERE label IS NOT NULL AND key IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 GROUP BY ALL),
-part_rows AS (SELECT * FROM once WHERE CAST(concat('0x', substr(md5(concat(key, '#42')), 1, 8)) AS BIGINT) / 4294967296.0 < 0.5),
+part_rows AS (SELECT * FROM once{_HALF}),
 long AS (SELECT dataset_id, key, label, unnest(range(len(x))) AS feature, unnest(x) AS value FROM part_rows),
 stats AS (SELECT dataset_id, feature, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, count(DISTINCT value) AS d FROM long GROUP BY ALL),
 shares AS (SELECT dataset_id, feature, value, count(*) AS c FROM long GROUP BY ALL),
@@ -64,11 +65,11 @@ _DIFFICULTY = f"""{_METRICS}, turned AS (SELECT dataset_id, {', '.join(f"{'-' if
 unit AS (SELECT dataset_id, {_UNIT} FROM turned), grouped AS (SELECT dataset_id, {', '.join(f"({' + '.join(cs)}) / {len(cs)} AS difficulty_{g}" for g, cs in M.GROUPS.items())} FROM unit)"""
 
 
-@R.add(f"WITH {_DIFFICULTY} SELECT dataset_id, {', '.join(f'round(difficulty_{g}, 6) AS difficulty_{g}' for g in M.GROUPS)}, round(({' + '.join(f'difficulty_{g}' for g in M.GROUPS)}) / 3, 6) AS difficulty, row_number() OVER (ORDER BY dataset_id) - 1 AS position FROM grouped")
+@R.add(f"WITH {_DIFFICULTY.replace(_HALF, '')} SELECT dataset_id, {', '.join(f'round(difficulty_{g}, 6) AS difficulty_{g}' for g in M.GROUPS)}, round(({' + '.join(f'difficulty_{g}' for g in M.GROUPS)}) / 3, 6) AS difficulty, row_number() OVER (ORDER BY dataset_id) - 1 AS position FROM grouped")
 def many_tables_difficulty(spark: SparkSession, d: str) -> DataFrame:
-    """The five tables' difficulty, put into the result store, replaced there, read back and ordered by the store's index."""
+    """The difficulty of all rows of the five tables, put into the result store, replaced there, read back and ordered by the store's index."""
     path = shared_path(spark, "results")
-    found = M.difficulty(M.metrics(M.prepared(M.cleaned(M.stacked(_tables(spark, d)), 0.5), keyed=False)))
+    found = M.difficulty(M.metrics(M.prepared(M.cleaned(M.stacked(_tables(spark, d))), keyed=False)))
     R_.put(found.withColumn("difficulty", F.lit(None).cast("double")), path, "difficulty")
     R_.put(found, path, "difficulty")
     R_.write_index(spark, path, f"{path}-index")

@@ -79,3 +79,24 @@ def test_ranks_in_any_order(spark):
         own = sorted((v is None, -(v or 0), k) for h, v, k in rows if h == g)
         assert [got[k] for _, _, k in own] == list(range(1, len(own) + 1))
     assert ranked_in_order(df.where("false"), ["g"], [F.col("k")]).count() == 0
+
+
+def test_difficulty_is_of_all_rows(spark, tmp_path, monkeypatch):
+    """No sample is drawn: every row without gaps is prepared and measured."""
+    from tablegauge.plans import many
+
+    d = f"file://{tmp_path}"
+    made = {
+        "lineitem": ("id as l_orderkey", "1 as l_linenumber", "substring('ANR', int(id % 3) + 1, 1) as l_returnflag", "id * 1D as l_quantity", "id * 3D as l_extendedprice", "id % 7 * 1D as l_discount", "id % 5 * 1D as l_tax"),
+        "orders": ("id as o_orderkey", "substring('FO', int(id % 2) + 1, 1) as o_orderstatus", "id * 2D as o_totalprice", "id % 9 as o_custkey"),
+        "customer": ("id as c_custkey", "concat('m', id % 2) as c_mktsegment", "id * 5D as c_acctbal", "id % 4 as c_nationkey"),
+        "part": ("id as p_partkey", "concat('b', id % 3) as p_brand", "id * 7D as p_retailprice", "id % 8 as p_size"),
+        "supplier": ("id as s_suppkey", "id % 2 as s_nationkey", "id * 1.5D as s_acctbal"),
+    }
+    for name, columns in made.items():
+        spark.range(60).selectExpr(*columns).write.parquet(f"{d}/{name}.parquet")
+    seen = []
+    metrics = many.M.metrics
+    monkeypatch.setattr(many.M, "metrics", lambda long: seen.append({r["dataset_id"]: r["n_rows"] for r in metrics(long).collect()}) or metrics(long))
+    assert many.many_tables_difficulty(spark, d).count() == 5
+    assert seen == [dict.fromkeys(made, 60)]
