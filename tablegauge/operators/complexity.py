@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stored import discarded, stored
 from .metric_neighbours import nearest
 from .moments import class_counts, imbalance, summary
+from .neighbour_passes import nearest_enemies
 
 #: Rows up to which ``neighbours`` offers exact neighbours by one broadcast.
 EXACT_ROWS = 5000
@@ -111,9 +112,9 @@ def kdn(near: DataFrame) -> DataFrame:
     return near.groupBy("key").agg(F.avg((F.col("label") != F.col("other_label")).cast("int")).alias("kdn"))
 
 
-def nearest_enemy(near: DataFrame) -> DataFrame:
-    """``key, distance`` to the nearest neighbour of another label; rows without one are left out."""
-    return near.where("label <> other_label").groupBy("key").agg(F.min("distance").alias("distance"))
+def nearest_enemy(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """``key, distance`` to the nearest of all rows of another label; rows without one are left out."""
+    return nearest_enemies(df, key, label, vector)
 
 
 def knn_overlap(near_with_self: DataFrame) -> DataFrame:
