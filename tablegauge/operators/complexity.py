@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stored import discarded, stored
 from .metric_neighbours import nearest
 from .moments import class_counts, imbalance, summary
-from .neighbour_passes import nearest_enemies
+from .neighbour_passes import nearest_enemies, neighbour_labels
 
 #: Rows up to which ``neighbours`` offers exact neighbours by one broadcast.
 EXACT_ROWS = 5000
@@ -117,9 +117,9 @@ def nearest_enemy(df: DataFrame, key: str, label: str, vector: str) -> DataFrame
     return nearest_enemies(df, key, label, vector)
 
 
-def knn_overlap(near_with_self: DataFrame) -> DataFrame:
-    """One minus the accuracy of a neighbours' majority vote (ties to the lesser label)."""
-    votes = near_with_self.groupBy("key", "label", "other_label").agg(F.count("*").alias("n"))
+def knn_overlap(df: DataFrame, key: str, label: str, vector: str, k: int) -> DataFrame:
+    """One minus the accuracy of the majority vote of ``k`` neighbours, the row itself being one (ties to the lesser label)."""
+    votes = neighbour_labels(df, key, label, vector, k)
     vote = votes.groupBy("key", "label").agg(F.max_by("other_label", F.struct("n", -F.col("other_label"))).alias("vote"))
     return vote.agg((1 - F.avg((F.col("vote") == F.col("label")).cast("int"))).alias("knn_overlap"))
 
